@@ -128,6 +128,7 @@ FROM {part}""",
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the given timestamps carry no zone
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
