@@ -116,7 +116,7 @@ def region_stats(edges: DataFrame) -> DataFrame:
     crossings = F.greatest(F.col("travel") / height, F.lit(1.0))
     bands = F.least(F.col("n") / 4, F.col("n") * 2 / crossings)
     return stats.select(
-        "ctx", "fid", "minx", "maxx", "miny", "maxy", "vmin", "vmax",
+        "ctx", "fid", "minx", "maxx", "miny", "maxy", "vmin", "vmax", "n",
         F.greatest(F.ceil(bands), F.lit(1)).cast("int").alias("nb"),
     )
 

@@ -8,6 +8,8 @@ Everything is a join on (region, band); no region is ever gathered in one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,78 +123,103 @@ def sides_of_pieces(pieces: DataFrame, index: DataFrame, keys: list[str]) -> Dat
     return grouped.selectExpr(*kept, *EDGE_KEY, "CAST(_c % 2 AS int) AS l", "CAST((_c + _on) % 2 AS int) AS r", "_on > 0 AS hit")
 
 
-def _renamed_boxes(stats: DataFrame, name: str) -> DataFrame:
-    return stats.withColumnRenamed("fid", name)
+# Edges of one region are handled in spatial chunks of about this many, so that a huge region meets a small one only
+# with the edges nearby.
+CHUNK_EDGES = 64
 
 
-def region_pairs(a_stats: DataFrame, b_stats: DataFrame) -> DataFrame:
-    """(ctx, aid, bid) for regions of two tables whose boxes meet."""
-    return box_pairs(_renamed_boxes(a_stats, "aid"), _renamed_boxes(b_stats, "bid"), ["aid"], ["bid"])
+@dataclass
+class Regions:
+    """An edge table written down once, with the extent and band index of its regions."""
 
+    edges: DataFrame  # ctx, aid, chunk, x1..y2, inl and extra columns
+    stats: DataFrame
+    index: DataFrame
 
-def _with_other(edges: DataFrame, pairs: DataFrame, b_stats: DataFrame, how: str) -> DataFrame:
-    """Edges of a with, per paired region b, its band columns and box."""
-    other = pairs.join(_renamed_boxes(b_stats, "bid"), ["ctx", "bid"])
-    return edges.withColumnRenamed("fid", "aid").join(other, ["ctx", "aid"], how)
 
+def prepared(edges: DataFrame) -> Regions:
+    """``edges`` should already be cut: they are read several times."""
+    stats = cut(region_stats(edges))
+    parts = f"greatest(1, CAST(ceil(sqrt(n / {CHUNK_EDGES})) AS bigint))"
+    def step(axis: str) -> str:
+        mid = f"({axis}1 + {axis}2) / 2"
+        return f"least(_g - 1, CAST(floor(({mid} - min{axis}) / greatest(max{axis} - min{axis}, 1e-12) * _g) AS bigint))"
+    sized = edges.join(stats.selectExpr("ctx", "fid", *BOX, f"{parts} AS _g"), ["ctx", "fid"])
+    chunked = sized.selectExpr("*", f"{step('x')} * _g + {step('y')} AS chunk").drop(*BOX, "_g")
+    return Regions(chunked.withColumnRenamed("fid", "aid"), stats, banded_edges(edges, stats))
 
-def _classified(edges: DataFrame, pairs: DataFrame, b_stats: DataFrame, b_index: DataFrame, whole: bool) -> DataFrame:
-    """Pieces of a's edges against each paired region b: ctx, aid, bid, x1..y2, inl, l, r, hit.
 
-    ``whole`` also returns the edges that meet no paired region (they are outside of all of them).
-    """
-    cand = _with_other(edges, pairs, b_stats, "left" if whole else "inner")
-    if not whole:
-        cand = cand.filter(MEETS_BOX)
-    keys = ["ctx", "aid", "bid", *EDGE_KEY]
-    cuts = with_cut_points(near_segments(cand.filter(MEETS_BOX), b_index)).select(*keys, *BAND, "inl", "nx", "ny")
-    pieces = cut(cut_edges(cand, cuts, keys, [*BAND, "inl"]))
-    return sides_of_pieces(pieces, b_index, ["aid", "inl"])
+def partners(a: Regions, b: Regions, where: str = "true") -> DataFrame:
+    """(ctx, aid, chunk, bid, extent and bands of b) for chunks of a's edges whose box meets the box of a region b."""
+    boxes = a.edges.groupBy("ctx", "aid", "chunk").agg(
+        F.expr("min(least(x1, x2))").alias("minx"), F.expr("max(greatest(x1, x2))").alias("maxx"),
+        F.expr("min(least(y1, y2))").alias("miny"), F.expr("max(greatest(y1, y2))").alias("maxy"))
+    met = box_pairs(boxes, b.stats.withColumnRenamed("fid", "bid"), ["aid", "chunk"], ["bid"]).filter(where)
+    return cut(met.join(b.stats.withColumnRenamed("fid", "bid").select("ctx", "bid", *BOX, *BAND), ["ctx", "bid"]))
 
 
-def overlay(a: DataFrame, b: DataFrame, keep: str, pairs: DataFrame | None = None) -> DataFrame:
-    """Boundary edges of ``a and b`` (keep="both") or ``a without b`` (keep="first") per pair of regions.
+def near_edges(a: Regions, pairs: DataFrame) -> DataFrame:
+    """Edges of a with each region b they may touch."""
+    return a.edges.join(pairs, ["ctx", "aid", "chunk"]).filter(MEETS_BOX)
 
-    "both" pairs every two regions of equal ctx whose boxes meet; "first" expects at most one paired region b per
-    region a. Result: ctx, aid, bid (NULL where "first" met nothing), x1..y2, inl.
+
+def common_boundary(a: Regions, b: Regions, where: str = "true") -> DataFrame:
+    """Boundary edges of ``a and b`` for every pair of regions with equal ctx: ctx, aid, bid, x1..y2, inl."""
+    keys = ["ctx", "aid", "bid", *EDGE_KEY]
+    def inside(src: Regions, dst: Regions, condition: str) -> DataFrame:
+        cand = near_edges(src, partners(src, dst, condition)).select(*keys, "inl", *BAND)
+        cuts = with_cut_points(near_segments(cand, dst.index)).select(*keys, *BAND, "inl", "nx", "ny")
+        pieces = cut(cut_edges(cand, cuts, keys, [*BAND, "inl"]))
+        sides = sides_of_pieces(pieces, dst.index, ["aid", "inl"])
+        marked = sides.selectExpr("ctx", "aid", "bid", *EDGE_KEY, "hit", "inl = 1 AND l = 1 AS _l", "inl = 0 AND r = 1 AS _r")
+        return marked.filter("_l <> _r").selectExpr("ctx", "aid", "bid", *EDGE_KEY, "CAST(_l AS int) AS inl", "hit")
+    swapped = where.replace("aid", "_").replace("bid", "aid").replace("_", "bid")
+    of_b = inside(b, a, swapped).filter("NOT hit")  # shared pieces were counted with a
+    of_b = of_b.selectExpr("ctx", "bid AS aid", "aid AS bid", *EDGE_KEY, "inl")
+    return inside(a, b, where).drop("hit").unionByName(of_b)
+
+
+def sided_pieces(edges: DataFrame) -> DataFrame:
+    """Cut all edges of a ctx at each other and tell, per piece, which layers lie left and right of it.
+
+    ``edges`` carry a boolean ``base``: False for regions of the first layer, True for those of the second. Result:
+    ctx, x1..y2, a_l, a_r, b_l, b_r (union of the first and of the second layer); coincident pieces appear once.
     """
-    a_stats, b_stats = cut(region_stats(a)), cut(region_stats(b))
-    a_index, b_index = banded_edges(a, a_stats), banded_edges(b, b_stats)
-    if pairs is None:
-        pairs = cut(region_pairs(a_stats, b_stats))
-    swapped = pairs.select("ctx", F.col("aid").alias("bid"), F.col("bid").alias("aid"))
-    of_a = _classified(a, pairs, b_stats, b_index, whole=keep == "first")
-    of_b = _classified(b, swapped, a_stats, a_index, whole=False).filter(~F.col("hit"))
-    of_b = of_b.select("ctx", F.col("bid").alias("aid"), F.col("aid").alias("bid"), *EDGE_KEY, "inl", "l", "r")
-    own_l, own_r = "(inl = 1)", "(inl = 0)"
-    if keep == "both":
-        a_l, a_r = f"{own_l} AND l = 1", f"{own_r} AND r = 1"
-        b_l, b_r = a_l, a_r
-    else:
-        a_l, a_r = f"{own_l} AND l = 0", f"{own_r} AND r = 0"
-        b_l, b_r = f"l = 1 AND NOT {own_l}", f"r = 1 AND NOT {own_r}"
-    def boundary(df: DataFrame, left: str, right: str) -> DataFrame:
-        marked = df.selectExpr("ctx", "aid", "bid", *EDGE_KEY, f"({left}) AS _l", f"({right}) AS _r").filter("_l <> _r")
-        return marked.selectExpr("ctx", "aid", "bid", *EDGE_KEY, "CAST(_l AS int) AS inl")
-    return boundary(of_a, a_l, a_r).unionByName(boundary(of_b, b_l, b_r))
+    regions = prepared(edges)
+    pairs = partners(regions, regions, "aid <> bid")
+    cand = near_edges(regions, pairs)
+    keys = ["ctx", "aid", *EDGE_KEY]
+    extra = ["inl", "base", "chunk"]
+    cuts = with_cut_points(near_segments(cand, regions.index)).select(*keys, *extra, "nx", "ny")
+    pieces = cut(cut_edges(regions.edges, cuts, keys, extra))
+    base_of = edges.groupBy("ctx", F.col("fid").alias("bid")).agg(F.bool_or("base").alias("b_base"))
+    near = pieces.join(pairs, ["ctx", "aid", "chunk"]).filter(MEETS_BOX)
+    sides = sides_of_pieces(near, regions.index, ["aid"]).join(base_of, ["ctx", "bid"])
+    flag = lambda side, layer: F.bool_or((F.col(side) == 1) & (F.col("b_base") == F.lit(layer)))
+    seen = sides.groupBy("ctx", "aid", *EDGE_KEY).agg(
+        flag("l", False).alias("a_l"), flag("r", False).alias("a_r"), flag("l", True).alias("b_l"), flag("r", True).alias("b_r"),
+        F.bool_or(F.col("hit") & (F.col("bid") < F.col("aid"))).alias("copy"))
+    joined = pieces.join(seen, ["ctx", "aid", *EDGE_KEY], "left").filter("NOT coalesce(copy, false)")
+    return joined.selectExpr(
+        "ctx", *EDGE_KEY, "coalesce(a_l, false) OR (NOT base AND inl = 1) AS a_l", "coalesce(a_r, false) OR (NOT base AND inl = 0) AS a_r",
+        "coalesce(b_l, false) OR (base AND inl = 1) AS b_l", "coalesce(b_r, false) OR (base AND inl = 0) AS b_r")
+
+
+def boundary_of(pieces: DataFrame, combination: str) -> DataFrame:
+    """Boundary (ctx, x1..y2, inl) of a combination of the layers, such as ``a AND NOT b``."""
+    def on(side: str) -> str:
+        return " ".join(f"{w}_{side}" if w in ("a", "b") else w for w in combination.split())
+    marked = pieces.selectExpr("ctx", *EDGE_KEY, f"({on('l')}) AS _l", f"({on('r')}) AS _r").filter("_l <> _r")
+    return marked.selectExpr("ctx", *EDGE_KEY, "CAST(_l AS int) AS inl")
 
 
 def dissolve(edges: DataFrame, fid: str = "all") -> DataFrame:
     """Union of all regions of one ctx, as the edge table of a single region."""
-    stats = cut(region_stats(edges))
-    index = banded_edges(edges, stats)
-    pairs = cut(region_pairs(stats, stats).filter(F.col("aid") != F.col("bid")))
-    cand = _with_other(edges, pairs, stats, "inner").filter(MEETS_BOX)
-    keys = ["ctx", "aid", *EDGE_KEY]
-    cuts = with_cut_points(near_segments(cand, index)).select(*keys, "inl", "nx", "ny")
-    pieces = cut(cut_edges(edges.withColumnRenamed("fid", "aid"), cuts, keys, ["inl"]))
-    near = _with_other(pieces.withColumnRenamed("aid", "fid"), pairs, stats, "inner").filter(MEETS_BOX)
-    sides = sides_of_pieces(near, index, ["aid", "inl"])
-    seen = sides.groupBy("ctx", "aid", *EDGE_KEY).agg(
-        F.max("l").alias("l"), F.max("r").alias("r"),
-        F.coalesce(F.bool_or(F.col("hit") & (F.col("bid") < F.col("aid"))), F.lit(False)).alias("copy"))
-    joined = pieces.join(seen, ["ctx", "aid", *EDGE_KEY], "left")
-    kept = joined.selectExpr(
-        "ctx", *EDGE_KEY, "inl = 1 OR coalesce(l, 0) = 1 AS _l", "inl = 0 OR coalesce(r, 0) = 1 AS _r", "copy",
-    ).filter("_l <> _r AND NOT coalesce(copy, false)")
-    return kept.select("ctx", F.lit(fid).alias("fid"), *EDGE_KEY, F.col("_l").cast("int").alias("inl"))
+    pieces = sided_pieces(edges.withColumn("base", F.lit(False)))
+    return boundary_of(pieces, "a").select("ctx", F.lit(fid).alias("fid"), *EDGE_KEY, "inl")
+
+
+def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union of the regions of a without the union of the regions of b, per ctx: ctx, x1..y2, inl."""
+    tagged = lambda df, mark, base: df.select("ctx", F.concat(F.lit(mark), "fid").alias("fid"), *EDGE_KEY, "inl", F.lit(base).alias("base"))
+    return boundary_of(sided_pieces(cut(tagged(a, "a", False).unionByName(tagged(b, "b", True)))), "a AND NOT b")

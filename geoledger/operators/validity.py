@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.operators.edges import TOUCH_DEG, banded_edges, edge_table, region_stats, ring_segments
+from geoledger.operators.edges import TOUCH_DEG, banded_edges, boundary_area, edge_table, region_stats, ring_segments
 from geoledger.operators.locate import points_in_regions
-from geoledger.operators.overlay import PROPER_CROSSING, near_segments, with_segment_terms
+from geoledger.operators.overlay import PROPER_CROSSING, common_boundary, near_segments, prepared, with_segment_terms
 from geoledger.session import cut
 
 
@@ -61,13 +61,8 @@ def bounds(features: DataFrame) -> DataFrame:
 
 def overlapping_pairs(features: DataFrame, min_overlap_km2: float) -> DataFrame:
     """(ctx, left_id, right_id, overlap_km2) of unordered feature pairs that overlap by more than the limit."""
-    from geoledger.operators.edges import boundary_area
-    from geoledger.operators.overlay import overlay, region_pairs
-
-    edges = cut(edge_table(features, F.col("ctx"), F.col("id")))
-    stats = cut(region_stats(edges))
-    pairs = cut(region_pairs(stats, stats).filter("aid < bid"))
-    pieces = overlay(edges, edges, "both", pairs)
+    regions = prepared(cut(edge_table(features, F.col("ctx"), F.col("id"))))
+    pieces = common_boundary(regions, regions, "aid < bid")
     areas = pieces.groupBy("ctx", F.col("aid").alias("left_id"), F.col("bid").alias("right_id")).agg(
         F.abs(boundary_area()).alias("overlap_km2"))
     return areas.filter(F.col("overlap_km2") > min_overlap_km2)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from geoledger import vocab
 from geoledger.functions.labels import labelled
-from geoledger.operators.candidates import box_pairs
-from geoledger.operators.edges import banded_edges, boundary_area, edge_table, region_stats, sheared_sql
+from geoledger.operators.edges import boundary_area, edge_table, sheared_sql
 from geoledger.operators.locate import point_status, points_in_regions
-from geoledger.operators.overlay import MEETS_BOX, SEGMENTS_MEET, dissolve, near_segments, overlay, with_segment_terms
+from geoledger.operators.overlay import (
+    SEGMENTS_MEET, boundary_of, common_boundary, dissolve, near_edges, near_segments, partners, prepared, sided_pieces,
+    with_segment_terms,
+)
 from geoledger.operators.rings import labelled_parts, part_polygons
 from geoledger.session import cut
 
@@ -43,19 +45,13 @@ def status_regions(features: DataFrame) -> DataFrame:
     return cut(dissolve(edges))
 
 
-def gained_areas(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(boundary of new-without-old per status, old status regions)."""
-    side = lambda df, name: _status(df).select("ctx", "id", "status", "geometry", F.lit(name).alias("_side"))
-    both = side(previous, "old").unionByName(side(current, "new"))
-    edges = cut(edge_table(both, F.concat_ws(SEP, "ctx", "status", "_side"), F.col("id")))
-    regions = cut(dissolve(edges).withColumn("fid", F.element_at(F.split("ctx", SEP), -1))
-                  .withColumn("ctx", F.expr("substring(ctx, 1, length(ctx) - 4)")))
-    old, new = regions.filter("fid = 'old'"), regions.filter("fid = 'new'")
-    return overlay(new, old, "first").select("ctx", "x1", "y1", "x2", "y2", "inl"), old
-
-
-def _split_ctx(df: DataFrame) -> DataFrame:
-    return df.withColumn("to_status", F.element_at(F.split("ctx", SEP), 2)).withColumn("ctx", F.element_at(F.split("ctx", SEP), 1))
+def gained_areas(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Pieces of all borders, cut at each other within (pair, status), with new (a) and old (b) on both sides."""
+    side = lambda df, mark, base: _status(df).select(
+        "ctx", "status", F.concat(F.lit(mark), "id").alias("id"), "geometry", F.lit(base).alias("base"))
+    both = side(previous, "old ", True).unionByName(side(current, "new ", False))
+    edges = cut(edge_table(both, F.concat_ws(SEP, "ctx", "status"), F.col("id"), keep=("base",)))
+    return cut(sided_pieces(edges))
 
 
 @dataclass
@@ -68,28 +64,43 @@ class Changes:
     parts: DataFrame      # directed edges for ring assembly
 
 
-def changed_parts(previous: DataFrame, current: DataFrame, min_part_km2: float = vocab.MIN_PART_KM2) -> Changes:
-    boundary, old = gained_areas(previous, current)
-    parts = labelled_parts(boundary)
+def _as_edges(parts: DataFrame, ctx: str, fid: str) -> DataFrame:
     up = f"{sheared_sql('sx', 'sy')} < {sheared_sql('ex', 'ey')}"
-    edges = _split_ctx(parts.selectExpr(
-        "ctx", "CAST(part AS string) AS fid",
+    return parts.selectExpr(
+        f"{ctx} AS ctx", f"{fid} AS fid",
         f"CASE WHEN {up} THEN sx ELSE ex END AS x1", f"CASE WHEN {up} THEN sy ELSE ey END AS y1",
         f"CASE WHEN {up} THEN ex ELSE sx END AS x2", f"CASE WHEN {up} THEN ey ELSE sy END AS y2",
-        f"CAST({up} AS int) AS inl"))
+        f"CAST({up} AS int) AS inl", "status")
+
+
+def changed_parts(previous: DataFrame, current: DataFrame, min_part_km2: float = vocab.MIN_PART_KM2) -> Changes:
+    """Connected parts of every gained area, and the connected parts of the previous statuses.
+
+    Both are labelled in one run; working with connected parts keeps every later join local.
+    """
+    pieces = gained_areas(previous, current)
+    tagged = lambda df, tag: df.withColumn("ctx", F.concat_ws(SEP, "ctx", F.lit(tag)))
+    labelled = labelled_parts(tagged(boundary_of(pieces, "a AND NOT b"), "gain").unionByName(tagged(boundary_of(pieces, "b"), "old")))
+    word = lambda i: f"element_at(split(ctx, '{SEP}'), {i})"
+    named = labelled.selectExpr("*", f"{word(1)} AS pair", f"{word(2)} AS status", f"{word(3)} AS kind")
+    gains, old = named.filter("kind = 'gain'"), named.filter("kind = 'old'")
+    edges = _as_edges(gains, "pair", "CAST(part AS string)").withColumnRenamed("status", "to_status")
+    old_regions = _as_edges(old, "pair", "concat(part, ' ', status)").drop("status")
     areas = cut(edges.groupBy("ctx", "fid", "to_status").agg(F.abs(boundary_area()).alias("area_km2"))
                 .filter(F.col("area_km2") >= min_part_km2))
     kept = cut(edges.join(areas.select("ctx", "fid"), ["ctx", "fid"], "left_semi"))
-    return Changes(kept, areas, old, parts)
+    rings = gains.drop("ctx", "kind").withColumnRenamed("pair", "ctx").join(
+        areas.select("ctx", F.col("fid").cast("bigint").alias("part")), ["ctx", "part"], "left_semi")
+    return Changes(kept, areas, old_regions, rings)
 
 
 def origin_areas(changes: Changes) -> DataFrame:
     """(ctx, fid, from_status, overlap_km2): how much of each changed part had each previous status."""
-    old = changes.old_regions.withColumn("fid", F.element_at(F.split("ctx", SEP), 2)).withColumn(
-        "ctx", F.element_at(F.split("ctx", SEP), 1))
-    pieces = overlay(changes.edges.drop("to_status"), old, "both")
-    return pieces.groupBy("ctx", F.col("aid").alias("fid"), F.col("bid").alias("from_status")).agg(
-        F.abs(boundary_area()).alias("overlap_km2"))
+    parts, old = prepared(changes.edges.drop("to_status")), prepared(cut(changes.old_regions))
+    pieces = common_boundary(parts, old)
+    status = F.expr("substring(bid, instr(bid, ' ') + 1)")
+    by_region = pieces.groupBy("ctx", "aid", "bid").agg(boundary_area().alias("km2"))
+    return by_region.groupBy("ctx", F.col("aid").alias("fid"), status.alias("from_status")).agg(F.sum(F.abs("km2")).alias("overlap_km2"))
 
 
 def dominant_origin(overlaps: DataFrame, min_overlap_km2: float = vocab.MIN_OVERLAP_KM2) -> DataFrame:
@@ -104,15 +115,13 @@ def touching_features(changes: Changes, current: DataFrame) -> DataFrame:
     keyed = _status(current)
     feature_edges = cut(edge_table(keyed, F.concat_ws(SEP, "ctx", "status"), F.col("id")))
     part_edges = changes.edges.withColumn("ctx", F.concat_ws(SEP, "ctx", "to_status"))
-    f_stats, p_stats = cut(region_stats(feature_edges)), cut(region_stats(part_edges))
-    pairs = cut(box_pairs(p_stats.withColumnRenamed("fid", "aid"), f_stats.withColumnRenamed("fid", "bid"), ["aid"], ["bid"]))
-    other = pairs.join(f_stats.withColumnRenamed("fid", "bid"), ["ctx", "bid"])
-    cand = part_edges.withColumnRenamed("fid", "aid").join(other, ["ctx", "aid"]).filter(MEETS_BOX)
-    border = with_segment_terms(near_segments(cand, banded_edges(feature_edges, f_stats))).filter(SEGMENTS_MEET)
+    parts, shapes = prepared(part_edges), prepared(feature_edges)
+    cand = near_edges(parts, partners(parts, shapes))
+    border = with_segment_terms(near_segments(cand, shapes.index)).filter(SEGMENTS_MEET)
     first = lambda edges, name: edges.groupBy("ctx", F.col("fid").alias(name)).agg(
         F.min(F.struct("x1", "y1")).alias("p")).select("ctx", F.col(name).alias("pid"), F.col("p.x1").alias("x"), F.col("p.y1").alias("y"))
-    inside = points_in_regions(first(part_edges, "part"), feature_edges, f_stats).select("ctx", F.col("pid").alias("aid"), "bid")
-    around = points_in_regions(first(feature_edges, "feature"), part_edges, p_stats).select(
+    inside = points_in_regions(first(part_edges, "part"), feature_edges, shapes.stats).select("ctx", F.col("pid").alias("aid"), "bid")
+    around = points_in_regions(first(feature_edges, "feature"), part_edges, parts.stats).select(
         "ctx", F.col("bid").alias("aid"), F.col("pid").alias("bid"))
     met = border.select("ctx", "aid", "bid").unionByName(inside).unionByName(around).distinct()
     return met.select(F.element_at(F.split("ctx", SEP), 1).alias("ctx"), F.col("aid").alias("fid"), F.col("bid").alias("id"))
@@ -143,8 +152,7 @@ def diff_snapshots(previous: DataFrame, current: DataFrame, min_part_km2: float
     changes = changed_parts(previous, current, min_part_km2)
     origin = dominant_origin(origin_areas(changes))
     proof = provenance(touching_features(changes, current), current)
-    polygons = part_polygons(changes.parts.withColumn("_s", F.element_at(F.split("ctx", SEP), 2))
-                             .withColumn("ctx", F.element_at(F.split("ctx", SEP), 1)).drop("_s"))
+    polygons = part_polygons(changes.parts)
     shapes = polygons.select("ctx", F.col("part").cast("string").alias("fid"), "geometry")
     joined = (changes.areas.join(origin, ["ctx", "fid"], "left").join(proof, ["ctx", "fid"], "left")
               .join(shapes, ["ctx", "fid"]))

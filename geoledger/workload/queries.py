@@ -13,7 +13,7 @@ from geoledger.functions import values as V
 from geoledger.functions.labels import labelled, localised_name, localised_text
 from geoledger.operators import merges as M
 from geoledger.operators.edges import boundary_area, edge_table, feature_area_km2
-from geoledger.operators.overlay import dissolve, overlay
+from geoledger.operators.overlay import boundary_of, common_boundary, prepared
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
 from geoledger.plans import diff as D
 from geoledger.plans import intake, messages, readside, registry_rules, snapshot_rules
@@ -168,14 +168,14 @@ def feature_overlaps(spark, sf):
 
 @query
 def cross_snapshot_overlap(spark, sf):
-    edges = [cut(edge_table(f, F.col("ctx"), F.col("id"))) for f in (_old(spark, sf), _new(spark, sf))]
-    return overlay(*edges, "both").groupBy(F.col("aid").alias("old_id"), F.col("bid").alias("new_id")).agg(
+    both = [prepared(cut(edge_table(f, F.col("ctx"), F.col("id")))) for f in (_old(spark, sf), _new(spark, sf))]
+    return common_boundary(*both).groupBy(F.col("aid").alias("old_id"), F.col("bid").alias("new_id")).agg(
         F.round(boundary_area(), 2).alias("overlap_km2")).filter("overlap_km2 > 0")
 
 
 @query
 def gained_area_by_status(spark, sf):
-    boundary, _ = D.gained_areas(_old(spark, sf), _new(spark, sf))
+    boundary = boundary_of(D.gained_areas(_old(spark, sf), _new(spark, sf)), "a AND NOT b")
     return boundary.groupBy(F.element_at(F.split("ctx", D.SEP), 2).alias("to_status")).agg(F.round(boundary_area(), 1).alias("area_km2"))
 
 

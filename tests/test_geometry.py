@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import feature, rect
 from geoledger.operators.edges import boundary_area, edge_table, feature_area_km2
 from geoledger.operators.locate import point_status
-from geoledger.operators.overlay import dissolve, overlay
+from geoledger.operators.overlay import common_boundary, dissolve, prepared, subtract
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
 from geoledger.session import cut
 
@@ -20,6 +20,10 @@ def edges(spark, rows):
     return cut(edge_table(df, F.col("ctx"), F.col("fid")))
 
 
+def common(a, b):
+    return common_boundary(prepared(a), prepared(b))
+
+
 def planar(df, *keys):
     term = F.expr("(x1 + x2) / 2 * (y2 - y1)")
     area = F.sum(F.when(F.col("inl") == 1, term).otherwise(-term))
@@ -36,9 +40,9 @@ def test_equal_area_of_known_cell(spark):
 def test_rectangle_with_triangle_and_bar(spark):
     old = edges(spark, [("c", "o", rect(0, 0, 4, 4))])
     new = cut(dissolve(edges(spark, [("c", "n1", [[[[2.0, 0.0], [8.0, 0.0], [2.0, 6.0], [2.0, 0.0]]]]), ("c", "n2", rect(5, 0, 6, 3))])))
-    assert abs(planar(overlay(new, old, "both"), "ctx")[("c",)] - 8) < 1e-9
-    assert abs(planar(overlay(new, old, "first"), "ctx")[("c",)] - 10.5) < 1e-9
-    assert abs(planar(overlay(old, new, "first"), "ctx")[("c",)] - 8) < 1e-9
+    assert abs(planar(common(new, old), "ctx")[("c",)] - 8) < 1e-9
+    assert abs(planar(subtract(new, old), "ctx")[("c",)] - 10.5) < 1e-9
+    assert abs(planar(subtract(old, new), "ctx")[("c",)] - 8) < 1e-9
 
 
 def _cells(rects):
@@ -57,7 +61,7 @@ def test_random_rectangles_count_unit_cells(spark):
     left = edges(spark, [(p, f"a{i}", rect(*r)) for p, (a, _) in problems.items() for i, r in enumerate(a)])
     right = edges(spark, [(p, f"b{i}", rect(*r)) for p, (_, b) in problems.items() for i, r in enumerate(b)])
     da, db = cut(dissolve(left)), cut(dissolve(right))
-    union, both, first = planar(da, "ctx"), planar(overlay(da, db, "both"), "ctx"), planar(overlay(da, db, "first"), "ctx")
+    union, both, first = planar(da, "ctx"), planar(common(da, db), "ctx"), planar(subtract(da, db), "ctx")
     for p, (a, b) in problems.items():
         assert abs(union[(p,)] - len(_cells(a))) < 1e-6
         assert abs(both[(p,)] - len(_cells(a) & _cells(b))) < 1e-6
@@ -95,7 +99,7 @@ def test_random_convex_polygons_against_clipping(spark):
     ring = lambda p: [[[list(v) for v in p + p[:1]]]]
     a = edges(spark, [(k, "a", ring(p)) for k, (p, _) in pairs.items()])
     b = edges(spark, [(k, "b", ring(q)) for k, (_, q) in pairs.items()])
-    both, first, whole = planar(overlay(a, b, "both"), "ctx"), planar(overlay(a, b, "first"), "ctx"), planar(a, "ctx")
+    both, first, whole = planar(common(a, b), "ctx"), planar(subtract(a, b), "ctx"), planar(a, "ctx")
     for k, (p, q) in pairs.items():
         want = _clip_area(p, q)
         assert abs(both.get((k,), 0.0) - want) < 1e-6, k
