@@ -49,7 +49,7 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
     if not approved:
         raise Rejected("publication needs an explicit approval after human review")
     moment = utc(now)
-    documents = cut(read_snapshot(spark, candidate_path))
+    documents = read_snapshot(spark, candidate_path)
     violations = cut(validate_snapshot(documents, moment, evidence, sources))
     if not violations.isEmpty():
         raise Rejected("snapshot rejected", violations.orderBy("ctx", "idx", "rule"))
@@ -59,7 +59,7 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
     day = head.snapshot_date
     digest = content_digest(spark, candidate_path).first().sha256
 
-    features = cut(feature_rows(documents).drop("properties_text", "geometry_type", "coordinates"))
+    features = cut(feature_rows(documents).drop("document", "properties_text", "geometry_type", "coordinates"))
     manifest = read_manifest(spark, root)
     before = previous_date(manifest, day).first().date
     previous = open_snapshot(spark, root, "current", before or "", schemas.SNAPSHOT_FEATURES)

@@ -1,7 +1,7 @@
 """Fail-closed rules of a snapshot: (ctx, idx, rule, message) rows; a snapshot is accepted when there are none.
 
 Input is the document table of ``sources.geojson.read_snapshot``; per-feature rules also run on any feature table
-with the same columns, so a whole archive can be judged at once (ctx = snapshot date).
+with the same columns, so a whole archive can be judged at once (ctx tells snapshots apart and is never NULL).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _at(df: DataFrame, rule: str, message: Column) -> DataFrame:
 
 def document_rules(documents: DataFrame) -> DataFrame:
     """V-S1 to V-S3."""
-    docs = documents.withColumn("idx", F.lit(None).cast("bigint")).withColumn("ctx", F.col("metadata.snapshot_date"))
+    docs = documents.withColumn("idx", F.lit(None).cast("bigint")).withColumn("ctx", F.col("document"))
     broken = docs.filter("_corrupt IS NOT NULL")
     readable = docs.filter("_corrupt IS NULL")
     return reduce(DataFrame.unionByName, [
@@ -118,8 +118,8 @@ def validate_features(features: DataFrame, now: Column, known_evidence: DataFram
 def validate_snapshot(documents: DataFrame, now: Column, known_evidence: DataFrame | None = None,
                       known_sources: DataFrame | None = None, delay_hours: int = vocab.DELAY_HOURS,
                       max_area_km2: float = vocab.MAX_FEATURE_KM2) -> DataFrame:
-    """All snapshot rules over documents as read; order by ctx, idx, rule for a report."""
-    features = cut(feature_rows(documents.filter("_corrupt IS NULL")).withColumn("ctx", F.col("snapshot_date")))
+    """All snapshot rules over documents as read (ctx = file); order by ctx, idx, rule for a report."""
+    features = cut(feature_rows(documents.filter("_corrupt IS NULL")).withColumn("ctx", F.col("document")))
     return document_rules(documents).unionByName(
         validate_features(features, now, known_evidence, known_sources, delay_hours, max_area_km2))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,21 +28,28 @@ def build_session(app: str = "geoledger", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; invent one only for a local master."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one is invented only for a local master without one."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="geoledger-"), "checkpoints"))
-    else:
+        return configured
+    existing = context._jsc.sc().getCheckpointDir()
+    if existing.isDefined():
+        return existing.get()
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="geoledger-"), "checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and go on from there.
+
+    The table survives lost executors, ends the lineage, and unlike a checkpointed RDD it is compressed, can be read
+    column by column and has a known size, from which the planner chooses join strategies.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

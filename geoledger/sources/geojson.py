@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger import schemas
+from geoledger.session import cut
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; unreadable files keep their text in ``_corrupt`` and become rule failures."""
     reader = spark.read.schema(schemas.SNAPSHOT_DOCUMENT).option("multiLine", True)
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return cut(parsed.withColumn("document", F.col("_metadata.file_path")))  # parsed once, read by every rule
 
 
 def to_multipolygon(kind: str = "geometry_type", coordinates: str = "coordinates"):
@@ -24,13 +26,14 @@ def to_multipolygon(kind: str = "geometry_type", coordinates: str = "coordinates
 
 def feature_rows(documents: DataFrame) -> DataFrame:
     """One row per feature with its index; ``properties_text`` keeps the raw object for key tests."""
+    own = [c for c in ("document",) if c in documents.columns]
     rows = documents.select(
-        F.col("metadata.snapshot_date").alias("snapshot_date"), F.posexplode("features").alias("idx", "f"))
+        *own, F.col("metadata.snapshot_date").alias("snapshot_date"), F.posexplode("features").alias("idx", "f"))
     typed = rows.select(
-        "snapshot_date", F.col("idx").cast("bigint").alias("idx"), F.col("f.properties").alias("properties_text"),
+        *own, "snapshot_date", F.col("idx").cast("bigint").alias("idx"), F.col("f.properties").alias("properties_text"),
         F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"),
         F.from_json("f.properties", schemas.FEATURE_PROPERTIES).alias("p"))
-    return typed.select("snapshot_date", "idx", "properties_text", "geometry_type", "coordinates", "p.*").withColumn(
+    return typed.select(*own, "snapshot_date", "idx", "properties_text", "geometry_type", "coordinates", "p.*").withColumn(
         "geometry", to_multipolygon())
 
 

@@ -1,79 +1,93 @@
-"""Changes between snapshots: parts, origin, provenance, points."""
+"""Changes between snapshots. All cases are pairs (ctx) of one job, as in production."""
+
+import pytest
 
 from conftest import feature, rect
 from geoledger.plans.diff import change_summary, consecutive_pairs, diff_snapshots, point_status_changes, point_status_index
-
-
-def rings(row):
-    return [len(part) for part in row.geometry]
-
-
-def test_new_area_is_one_change(spark, features):
-    current = features([feature(1, "control_ua", rect(30, 48, 30.05, 48.05))])
-    found = diff_snapshots(features([]), current).collect()
-    assert len(found) == 1 and abs(found[0].area_km2 - 20.734) < 1e-9
-    assert found[0].from_status is None and found[0].summary.startswith("без опубликованного статуса → ")
-
-
-def test_identical_snapshots_have_no_changes(spark, features):
-    same = features([feature(1, "control_ua", rect(30, 48, 30.05, 48.05)), feature(2, "contested", rect(30.05, 48, 30.1, 48.05))])
-    assert diff_snapshots(same, same).count() == 0
-
-
-def test_parts_origin_provenance_and_tie(spark, features):
-    previous = features([feature(1, "control_ru", rect(0, 0, 2, 1)), feature(2, "contested", rect(2, 0, 4, 1)), feature(3, "control_ua", rect(20, 0, 21, 1))])
-    current = features([
-        feature(11, "control_ua", rect(0, 0, 4, 1), 0.97, ("e2", "e1"), ("s2",)),        # equal overlap with two statuses
-        feature(12, "control_ua", rect(4, 1, 5, 2), 0.94, ("e3",), ("s1",)),             # touches the first in a corner
-        feature(13, "contested", rect(20, 0, 21, 1), None, ("e4",), ("s3",)),
-    ])
-    found = {(round(r.area_km2), r.to_status): r for r in diff_snapshots(previous, current).collect()}
-    assert len(found) == 3
-    tie = next(r for r in found.values() if r.from_status == "control_ru")
+from geoledger.session import cut
+
+TRIANGLE = [[[[2.0, 0.0], [3.0, 1.0], [1.0, 1.0], [2.0, 0.0]]]]
+SAME = [(1, "control_ua", rect(30, 48, 30.05, 48.05)), (2, "contested", rect(30.05, 48, 30.1, 48.05))]
+PREVIOUS = {
+    "same": SAME,
+    "tie": [(1, "control_ru", rect(0, 0, 2, 1)), (2, "contested", rect(2, 0, 4, 1)), (3, "control_ua", rect(20, 0, 21, 1))],
+    "holes": [(1, "a", rect(1, 1, 2, 2)), (2, "a", rect(2, 2, 3, 3))],
+    "touch": [(1, "a", TRIANGLE)],
+    "island": [(1, "a", rect(1, 1, 9, 9))],
+    "split": [(1, "a", rect(1, 0, 2, 4))],
+    "loss": [(1, "a", rect(0, 0, 1, 1))],
+}
+CURRENT = {
+    "new": [(1, "control_ua", rect(30, 48, 30.05, 48.05))],
+    "same": SAME,
+    "tie": [
+        (11, "control_ua", rect(0, 0, 4, 1), 0.97, ("e2", "e1"), ("s2",)),  # equal overlap with two statuses
+        (12, "control_ua", rect(4, 1, 5, 2), 0.94, ("e3",), ("s1",)),       # touches the first in a corner
+        (13, "contested", rect(20, 0, 21, 1), None, ("e4",), ("s3",)),
+    ],
+    "holes": [(1, "a", rect(0, 0, 4, 4))],
+    "touch": [(2, "a", rect(0, 0, 4, 4))],
+    "island": [(3, "a", rect(0, 0, 10, 10))],
+    "split": [(4, "a", rect(0, 0, 4, 4))],
+    "small": [(1, "a", rect(0, 0, 0.0001, 0.0001)), (2, "a", rect(1, 1, 1.001, 1.001))],
+    "summary": [(1, "b", rect(0, 0, 1, 1)), (2, "a", rect(3, 0, 4, 1))],
+}
+
+
+@pytest.fixture(scope="module")
+def diff(features):
+    table = lambda cases: features([feature(*row, ctx=name) for name, rows in cases.items() for row in rows])
+    return cut(diff_snapshots(table(PREVIOUS), table(CURRENT)))
+
+
+@pytest.fixture(scope="module")
+def found(diff):
+    out = {}
+    for r in diff.collect():
+        out.setdefault(r.date, []).append(r)
+    return out
+
+
+def rings(rows):
+    return sorted([len(part) for part in r.geometry] for r in rows)
+
+
+def test_new_area_is_one_change(found):
+    row, = found["new"]
+    assert abs(row.area_km2 - 20.734) < 1e-9 and row.from_status is None
+    assert row.summary == "без опубликованного статуса → контроль украинских сил"
+
+
+def test_no_change_and_gains_only(found):
+    assert "same" not in found and "loss" not in found
+
+
+def test_origin_provenance_and_tie(found):
+    assert len(found["tie"]) == 3
+    tie = next(r for r in found["tie"] if r.from_status == "control_ru")
     assert tie.evidence_ids == ["e1", "e2", "e3"] and tie.source_ids == ["s1", "s2"] and tie.confidence == 0.94
     assert [r.reviewer for r in tie.reviews] == ["reviewer-11", "reviewer-12"]
-    turned = next(r for r in found.values() if r.to_status == "contested")
+    turned = next(r for r in found["tie"] if r.to_status == "contested")
     assert turned.from_status == "control_ua" and turned.confidence == 0.93
-    assert turned.id.startswith("chg-2026-01-02-") and len(turned.id) == len("chg-2026-01-02-") + 16
-
-
-def test_holes_and_pinched_rings(spark, features):
-    previous = features([
-        feature(1, "a", rect(1, 1, 2, 2), ctx="holes"), feature(2, "a", rect(2, 2, 3, 3), ctx="holes"),
-        feature(3, "a", [[[[2.0, 0.0], [3.0, 1.0], [1.0, 1.0], [2.0, 0.0]]]], ctx="touch"),
-        feature(4, "a", rect(1, 1, 9, 9), ctx="island"),
-        feature(5, "a", rect(1, 0, 2, 4), ctx="split"),
-    ])
-    current = features([
-        feature(1, "a", rect(0, 0, 4, 4), ctx="holes"), feature(2, "a", rect(0, 0, 4, 4), ctx="touch"),
-        feature(3, "a", rect(0, 0, 10, 10), ctx="island"), feature(4, "a", rect(0, 0, 4, 4), ctx="split"),
-    ])
-    by_ctx = {}
-    for r in diff_snapshots(previous, current).collect():
-        by_ctx.setdefault(r.date, []).append(r)
-    assert [rings(r) for r in by_ctx["holes"]] == [[3]]
-    assert [rings(r) for r in by_ctx["touch"]] == [[2]]
-    assert [rings(r) for r in by_ctx["island"]] == [[2]]
-    assert sorted(rings(r) for r in by_ctx["split"]) == [[1], [1]]
-    for rows in by_ctx.values():
-        for r in rows:
-            for part in r.geometry:
-                for ring in part:
-                    assert ring[0] == ring[-1] and len({tuple(p) for p in ring}) == len(ring) - 1
+    assert turned.id.startswith("chg-tie-") and len(turned.id) == len("chg-tie-") + 16
 
 
-def test_only_gains_are_reported(spark, features):
-    assert diff_snapshots(features([feature(1, "a", rect(0, 0, 1, 1))]), features([])).count() == 0
+def test_holes_and_pinched_rings(found):
+    assert rings(found["holes"]) == [[3]] and rings(found["touch"]) == [[2]] and rings(found["island"]) == [[2]]
+    assert rings(found["split"]) == [[1], [1]]
+    for name in ("holes", "touch", "island", "split"):
+        for row in found[name]:
+            for part in row.geometry:
+                for ring in part:
+                    assert ring[0] == ring[-1] and len({tuple(p) for p in ring}) == len(ring) - 1
 
 
-def test_small_parts_are_dropped(spark, features):
-    found = diff_snapshots(features([]), features([feature(1, "a", rect(0, 0, 0.0001, 0.0001)), feature(2, "a", rect(1, 1, 1.001, 1.001))]))
-    assert found.count() == 1
+def test_small_parts_are_dropped(found):
+    assert len(found["small"]) == 1
 
 
-def test_summary(spark, features):
-    current = features([feature(1, "b", rect(0, 0, 1, 1)), feature(2, "a", rect(3, 0, 4, 1))])
-    row = change_summary(diff_snapshots(features([]), current)).first()
+def test_summary(diff):
+    row = change_summary(diff.filter("date = 'summary'")).first()
     assert list(row.by_status_km2) == ["a", "b"] and row.feature_count == 2
     assert abs(sum(row.by_status_km2.values()) - row.area_change_km2) < 0.002
 
@@ -92,8 +106,8 @@ def test_points(spark, features):
     assert gone == {"gain": "unknown", "swap": "unknown", "same": "unknown", "edge": "unknown"}
 
 
-def test_whole_archive_in_one_job(spark, features):
-    days = [feature(1, "a", rect(0, 0, 1 + d, 1), ctx=f"2026-01-0{d + 1}") for d in range(4)]
-    archive = features(days).withColumnRenamed("ctx", "snapshot_date")
-    found = diff_snapshots(*consecutive_pairs(archive)).filter("date > '2026-01-01'").orderBy("date").collect()
-    assert [(r.date, r.geometry[0][0][0][0]) for r in found] == [("2026-01-02", 1.0), ("2026-01-03", 2.0), ("2026-01-04", 3.0)]
+def test_archive_dates_pair_up(features):
+    archive = features([feature(1, "a", rect(0, 0, 1 + d, 1), ctx=f"2026-01-0{d + 1}") for d in range(3)]).withColumnRenamed("ctx", "snapshot_date")
+    previous, current = consecutive_pairs(archive)
+    assert sorted((r.snapshot_date, r.ctx) for r in previous.collect()) == [("2026-01-01", "2026-01-02"), ("2026-01-02", "2026-01-03")]
+    assert current.count() == 3
