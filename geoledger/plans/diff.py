@@ -26,7 +26,10 @@ SEP = "\u001f"
 
 
 def consecutive_pairs(archive: DataFrame, date_col: str = "snapshot_date") -> tuple[DataFrame, DataFrame]:
-    """(previous, current) feature tables with ctx = the later date, for every two neighbouring dates of an archive."""
+    """(previous, current) feature tables with ctx = the later date, for every two neighbouring dates of an archive.
+
+    The unpartitioned window only sees the distinct dates, one row per published day.
+    """
     days = archive.select(date_col).distinct()
     follow = days.withColumn("_next", F.lead(date_col).over(Window.orderBy(date_col)))
     current = archive.withColumn("ctx", F.col(date_col).cast("string"))

@@ -85,7 +85,17 @@ def message_summary(chunk: Column, profile: FeedProfile) -> Column:
 
 def extract_point_updates(pages: DataFrame, now: Column, profile: FeedProfile, delay_hours: int = vocab.DELAY_HOURS) -> DataFrame:
     """One row per coordinate link of every released message (narrow: no shuffle)."""
-    messages = dated_messages(pages, profile).filter(released(F.col("published"), now, delay_hours))
+    return message_updates(dated_messages(pages, profile), now, profile, delay_hours)
+
+
+def held_messages(messages: DataFrame, now: Column, delay_hours: int = vocab.DELAY_HOURS) -> DataFrame:
+    """Messages that are still too fresh at ``now``; released and held messages together are all that have a time."""
+    return messages.filter("published IS NOT NULL").filter(~released(F.col("published"), now, delay_hours))
+
+
+def message_updates(dated: DataFrame, now: Column, profile: FeedProfile, delay_hours: int = vocab.DELAY_HOURS) -> DataFrame:
+    """Updates of the messages (rows of ``dated_messages``) that are old enough."""
+    messages = dated.filter(released(F.col("published"), now, delay_hours))
     group = lambda g: F.regexp_extract_all("chunk", F.lit(profile.link_pattern()), F.lit(g))
     links = messages.select(
         "page_id", "page_pos", "post_id", "published", "published_text", "chunk",

@@ -123,14 +123,16 @@ def layer(features: DataFrame, status: str) -> DataFrame:
 
 
 def point_card(points: DataFrame, claims: DataFrame, events: DataFrame, point_id: str | None = None) -> DataFrame:
-    """Points with their claims and events as ordered arrays; without an id, the cards of all points."""
+    """(id, name, kind, ordinal, record_id, summary): each point with its claims, then its events, one row per record.
+
+    Points without records keep one row. Records stay rows: a point may own a large share of all of them.
+    """
     chosen = points if point_id is None else points.filter(F.col("id") == point_id)
-    def gathered(records: DataFrame, name: str) -> DataFrame:
-        related = records if point_id is None else records.filter(F.col("settlement_id") == point_id)
-        entry = F.struct("ordinal", F.col("id"), "summary")
-        return related.groupBy(F.col("settlement_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias(name))
-    joined = chosen.join(gathered(claims, "claims"), "id", "left").join(gathered(events, "events"), "id", "left")
-    return joined
+    def related(records: DataFrame, kind: str) -> DataFrame:
+        own = records if point_id is None else records.filter(F.col("settlement_id") == point_id)
+        return own.select(F.col("settlement_id").alias("_point"), F.lit(kind).alias("kind"), "ordinal", F.col("id").alias("record_id"), "summary")
+    records = related(claims, "claim").unionByName(related(events, "event"))
+    return chosen.select("id", "name").join(records, F.col("id") == F.col("_point"), "left").drop("_point")
 
 
 def point_card_counts(points: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:

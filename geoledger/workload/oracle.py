@@ -274,9 +274,11 @@ SELECT p.id, coalesce(a.aliases, '') AS aliases FROM s_places p LEFT JOIN (SELEC
 _sql("point_cards", ("points", "claims", "events"), """
 SELECT id, coalesce(c.n, 0) AS claim_count, coalesce(e.n, 0) AS event_count FROM s_points
 LEFT JOIN (SELECT settlement_id, count(*) AS n FROM s_claims GROUP BY 1) c ON c.settlement_id = id LEFT JOIN (SELECT settlement_id, count(*) AS n FROM s_events GROUP BY 1) e ON e.settlement_id = id""")
-_sql("point_card", ("points", "claims", "events"), """
-SELECT id, name, CAST((SELECT count(*) FROM s_claims WHERE settlement_id = 'pt-4') AS INTEGER) AS claims,
-  (SELECT string_agg(id, ',' ORDER BY ordinal) FROM s_events WHERE settlement_id = 'pt-4') AS event_ids FROM s_points WHERE id = 'pt-4'""")
+_CARDS = """SELECT p.id, p.name, r.kind, r.ordinal, r.record_id, r.summary FROM s_points p LEFT JOIN (
+  SELECT settlement_id, 'claim' AS kind, ordinal, id AS record_id, summary FROM s_claims
+  UNION ALL SELECT settlement_id, 'event', ordinal, id, summary FROM s_events) r ON r.settlement_id = p.id"""
+_sql("point_card", ("points", "claims", "events"), _CARDS + " WHERE p.id = 'pt-4'")
+_sql("all_point_cards", ("points", "claims", "events"), _CARDS)
 _sql("unverified_records", ("claims", "events"), f"""
 SELECT 0 AS origin, ordinal, id, verification_status FROM s_claims UNION ALL SELECT 1, ordinal, id, verification_status FROM s_events WHERE verification_status IN {_list(vocab.UNVERIFIED)}""")
 _sql("located_events", ("events",), f"SELECT id, verification_status FROM s_events WHERE verification_status IN {_list(vocab.VERIFIED)} AND lat IS NOT NULL")

@@ -12,7 +12,7 @@ from geoledger.plans.snapshot_rules import validate_snapshot
 from geoledger.sources.archive import open_snapshot, read_manifest
 from geoledger.sources.geojson import read_snapshot
 from geoledger.sources.tables import empty_table, read_json_table
-from geoledger.streaming.release import release_stream
+from geoledger.streaming.release import read_released, release_stream
 
 NOW = datetime(2026, 1, 10, 12, tzinfo=timezone.utc)
 
@@ -125,9 +125,8 @@ def test_delayed_release_stream(spark, tmp_path):
                           "page_id string, html string").coalesce(1).write.mode("append").parquet(str(inbox))
     def run(now):
         pages = spark.readStream.schema("page_id string, html string").parquet(str(inbox))
-        release_stream(pages, str(tmp_path / "bronze"), str(tmp_path / "released"), str(tmp_path / "cp"), PROFILE, lambda: utc(now)).awaitTermination()
-        return {r.post_id for r in spark.read.parquet(str(tmp_path / "released")).collect()}
-    assert run(datetime(2026, 1, 10, 12)) == {"1"}
+        release_stream(pages, str(tmp_path / "out"), str(tmp_path / "cp"), PROFILE, lambda: utc(now)).awaitTermination()
+        return sorted(r.post_id for r in read_released(spark, str(tmp_path / "out")).collect())
+    assert run(datetime(2026, 1, 10, 12)) == ["1"]
     spark.createDataFrame([("c", message(3, "2026-01-09T00:00:00+00:00"))], "page_id string, html string").coalesce(1).write.mode("append").parquet(str(inbox))
-    assert run(datetime(2026, 1, 11, 12)) == {"1", "2", "3"}
-    assert spark.read.parquet(str(tmp_path / "released")).count() == 3
+    assert run(datetime(2026, 1, 11, 12)) == ["1", "2", "3"]
