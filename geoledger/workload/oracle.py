@@ -184,8 +184,10 @@ updates AS (SELECT 'feed-' || substr(sha256(post_id || '|' || la || '|' || lo),
   strftime(utc, '%Y-%m-%dT%H:%M:%S+00:00') AS published_at, substr(stamp, 1, 10) AS event_date, label,
   '— ' || event_type || ' & more' || CASE WHEN user_id % 9 = 0 THEN '' WHEN user_id % 5 = 0 THEN '' ELSE ' Loc ' || event_type || ' "' || CAST(user_id AS VARCHAR) || '"' END
     || CASE WHEN user_id % 4 = 0 THEN ' second' ELSE '' END AS summary,
-  CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lon, sequence FROM links)"""
-_sql("point_updates", ("message_parts",), "SELECT * FROM updates", _LINKS)
+  CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lon, sequence, utc FROM links)"""
+_sql("point_updates", ("message_parts",), "SELECT * EXCLUDE (utc) FROM updates", _LINKS)
+_sql("updates_over_two_polls", ("message_parts",), """
+SELECT CASE WHEN utc <= TIMESTAMP '2024-01-09' THEN 1 ELSE 2 END AS poll, id, sequence FROM updates""", _LINKS)
 _sql("rejected_messages", ("message_parts",), "SELECT page_id, post_id, stamp AS published_text FROM msg WHERE zone = '' AND user_id % 7 <> 0", _LINKS)
 _sql("merged_events", ("message_parts", "events"), """
 SELECT false AS from_feed, verification_status, count(*) AS rows, max(id) AS max_id, max(title) AS max_title FROM s_events GROUP BY verification_status

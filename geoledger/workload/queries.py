@@ -262,6 +262,16 @@ def point_updates(spark, sf):
                         F.col("event_date").cast("string").alias("event_date"), "label", "summary", "lat", "lon", "sequence")
 
 
+@query
+def updates_over_two_polls(spark, sf):
+    """An early poll releases what is old enough and holds the rest; a later one releases from the held messages."""
+    early = V.utc(datetime(2024, 1, 10))
+    dated = messages.dated_messages(_pages(spark, sf), PROFILE)
+    first = messages.message_updates(dated, early, PROFILE)
+    second = messages.message_updates(messages.held_messages(dated, early), V.utc(NOW), PROFILE)
+    return first.withColumn("poll", F.lit(1)).unionByName(second.withColumn("poll", F.lit(2))).select("poll", "id", "sequence")
+
+
 @query
 def rejected_messages(spark, sf):
     return messages.rejected_messages(_pages(spark, sf), PROFILE).select("page_id", "post_id", "published_text")
