@@ -155,3 +155,32 @@ def evidence_schema_violations(evidence: DataFrame) -> DataFrame:
     hits.append(F.when(~absent(F.col("evidence_type")) & ~F.col("evidence_type").isin(*vocab.EVIDENCE_TYPES),
                        F.struct(F.lit("evidence_type").alias("field"), F.lit("not allowed").alias("message"))))
     return evidence.select("ordinal", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("ordinal", "v.*")
+
+
+def metadata_schema_violations(documents: DataFrame) -> DataFrame:
+    """Published constraints of the document head (V-J1): (document, path, message). Keys must exist even in an empty snapshot."""
+    state = F.col("metadata.moderation_status")
+    hits = [
+        F.when(F.coalesce(F.col("type") != "FeatureCollection", F.lit(True)), F.struct(F.lit("type").alias("path"), F.lit("must be FeatureCollection").alias("message"))),
+        F.when(F.col("features").isNull(), F.struct(F.lit("features").alias("path"), F.lit("required").alias("message"))),
+        F.when(F.col("metadata.methodology_version").isNull(), F.struct(F.lit("metadata.methodology_version").alias("path"), F.lit("required").alias("message"))),
+        F.when(~F.coalesce(state.isin(*vocab.MODERATION_STATES), F.lit(False)),
+               F.struct(F.lit("metadata.moderation_status").alias("path"), F.lit("not allowed").alias("message"))),
+        F.when(F.col("metadata.snapshot_date").isNotNull() & F.col("metadata.snapshot_date").try_cast("date").isNull(),
+               F.struct(F.lit("metadata.snapshot_date").alias("path"), F.lit("not a date").alias("message"))),
+    ]
+    readable = documents.filter("_corrupt IS NULL")
+    return readable.select("document", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("document", "v.*")
+
+
+def event_schema_violations(events: DataFrame) -> DataFrame:
+    """Published constraints of events and claims (V-J1): (ordinal, field, message)."""
+    def hit(bad: Column, field: str, message: str) -> Column:
+        return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
+    hits = [hit(absent(F.col(f)), f, "required and not empty") for f in ("id", "title", "summary")]
+    hits += [hit(F.col(f).isNull(), f, "required") for f in ("event_date", "verification_status", *vocab.EVENT_ARRAY_FIELDS)]
+    hits += [
+        hit(F.col("event_date").try_cast("date").isNull() & F.col("event_date").isNotNull(), "event_date", "not a date"),
+        hit(~F.col("verification_status").isin(*vocab.EVENT_STATUSES), "verification_status", "not allowed"),
+    ]
+    return events.select("ordinal", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("ordinal", "v.*")

@@ -68,6 +68,10 @@ _sql("registry_rule_counts", ("sources", "evidence", "events", "claims"),
          [_SOURCES, _EVIDENCE, _event_rules("s_events", "events"), _event_rules("s_claims", "claims"), _MANIFEST]) + ") GROUP BY collection, rule")
 _sql("evidence_schema", ("evidence",),
      "SELECT 'evidence_type' AS field, 'required' AS message, count(*) AS violations FROM s_evidence WHERE evidence_type = ''")
+_sql("event_schema", ("events",), f"""
+SELECT ordinal, 'title' AS field, 'required and not empty' AS message FROM s_events WHERE title = ''
+UNION ALL SELECT ordinal, 'summary', 'required and not empty' FROM s_events WHERE summary IS NULL
+UNION ALL SELECT ordinal, 'verification_status', 'not allowed' FROM s_events WHERE verification_status NOT IN {_list(vocab.EVENT_STATUSES)}""")
 _sql("duplicate_evidence_ids", ("evidence",), "SELECT id, count(*) AS occurrences FROM s_evidence GROUP BY id HAVING count(*) > 1")
 _sql("later_evidence", ("evidence",),
      "SELECT id, count(*) AS later_rows FROM (SELECT id, rank() OVER (PARTITION BY id ORDER BY ordinal) AS rk FROM s_evidence) WHERE rk > 1 GROUP BY id")

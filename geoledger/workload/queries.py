@@ -83,6 +83,11 @@ def evidence_schema(spark, sf):
         F.count(F.lit(1)).alias("violations"))
 
 
+@query
+def event_schema(spark, sf):
+    return snapshot_rules.event_schema_violations(standin(spark, sf, "events"))
+
+
 @query
 def duplicate_evidence_ids(spark, sf):
     return M.duplicates(standin(spark, sf, "evidence"), "id")
