@@ -39,8 +39,13 @@ def _outside(column: str, allowed: tuple[str, ...]) -> Column:
     return ~F.coalesce(F.col(column).isin(*allowed), F.lit(False))
 
 
+def _any(df: DataFrame) -> DataFrame:
+    """One row when ``df`` has any, else none: these rules speak about the table, not about a row."""
+    return df.agg(F.count(F.lit(1)).alias("found")).filter("found > 0")
+
+
 def _repeated(df: DataFrame, key: str, collection: str, rule: str, message: str) -> DataFrame:
-    return _rows(duplicates(df, key).limit(1), collection, rule, F.lit(message))
+    return _rows(_any(duplicates(df, key)), collection, rule, F.lit(message))
 
 
 def source_rules(sources: DataFrame, sides: tuple[str, ...] = vocab.SIDES) -> DataFrame:
@@ -77,8 +82,8 @@ def event_rules(events: DataFrame, collection: str, sources: DataFrame, evidence
 def manifest_rules(manifest: DataFrame) -> DataFrame:
     """Dates unique and newest first. Neighbours meet by an equi-join on the ordinal, not by one global window."""
     following = manifest.select((F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("_later"))
-    rising = manifest.join(following, "ordinal").filter(F.col("_later") > F.col("date")).limit(1)
-    return _rows(rising.select("date"), "manifest", "V-D15", F.lit("dates must be reverse chronological")).unionByName(
+    rising = _any(manifest.join(following, "ordinal").filter(F.col("_later") > F.col("date")))
+    return _rows(rising, "manifest", "V-D15", F.lit("dates must be reverse chronological")).unionByName(
         _repeated(manifest, "date", "manifest", "V-D14", "duplicate dates"))
 
 

@@ -106,6 +106,28 @@ def test_random_convex_polygons_against_clipping(spark):
         assert abs(both.get((k,), 0.0) + first.get((k,), 0.0) - whole[(k,)]) < 1e-6, k
 
 
+def _star(rnd, n=16):
+    cx, cy = rnd.uniform(-1, 1), rnd.uniform(-1, 1)
+    spikes = [(2 * math.pi * i / n, rnd.uniform(0.3, 3)) for i in range(n)]
+    return [(cx + r * math.cos(a), cy + r * math.sin(a)) for a, r in spikes]
+
+
+def test_concave_polygons_keep_the_area_identities(spark):
+    """Stars against stars: common + rest = whole on both sides, and union = both wholes - common."""
+    rnd = random.Random(9)
+    pairs = {f"p{i}": (_star(rnd), _star(rnd, 23)) for i in range(12)}
+    ring = lambda p: [[[list(v) for v in p + p[:1]]]]
+    a = edges(spark, [(k, "a", ring(p)) for k, (p, _) in pairs.items()])
+    b = edges(spark, [(k, "b", ring(q)) for k, (_, q) in pairs.items()])
+    both, a_only, b_only = planar(common(a, b), "ctx"), planar(subtract(a, b), "ctx"), planar(subtract(b, a), "ctx")
+    union = planar(dissolve(cut(a.unionByName(b))), "ctx")
+    for k in [(k,) for k in pairs]:
+        size = lambda p: sum(u[0] * v[1] - v[0] * u[1] for u, v in zip(p, p[1:] + p[:1])) / 2
+        whole_a, whole_b = (size(p) for p in pairs[k[0]])
+        assert abs(both[k] + a_only[k] - whole_a) < 1e-6 and abs(both[k] + b_only[k] - whole_b) < 1e-6
+        assert abs(union[k] - (whole_a + whole_b - both[k])) < 1e-6
+
+
 def test_identical_copies_and_shared_borders(spark):
     one = [("c", "a", rect(0, 0, 2, 2)), ("c", "b", rect(0, 0, 2, 2)), ("c", "d", rect(2, 0, 4, 2))]
     table = edges(spark, one)
