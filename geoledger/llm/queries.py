@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import toxicity
+from geoledger.llm import quality_gam, toxicity
 from geoledger.llm.labelled import remainder
+from geoledger.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,4 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, trained).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = cut(quality_gam.measure(_table(spark, sf_dir, "documents")))
+    model = quality_gam.train(measured, _table(spark, sf_dir, "labels"))
+    return quality_gam.score_quality(measured, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier}
