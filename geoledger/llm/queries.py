@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import quality_gam, toxicity
+from geoledger.llm import page_diff, quality_gam, quality_rules, toxicity, url_lists
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -20,10 +20,52 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, trained).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality_gam.measure(_table(spark, sf_dir, "documents")))
     model = quality_gam.train(measured, _table(spark, sf_dir, "labels"))
     return quality_gam.score_quality(measured, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier}
+def page_captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures; the given table has no fetch times, so each follows from the page's id (one year, to the second)."""
+    seconds = F.col("page_id") * 7919 % 366 * 86400 + F.col("page_id") % 86400
+    return pages.select("page_id", "url", F.timestamp_seconds(seconds + 1704067200).alias("fetched_at"))
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated list events for the hosts of the pages and their parent domains, dealt out by a hash of the name."""
+    host = url_lists.host_of(F.col("url"))
+    number = lambda name, at: F.conv(F.substring(F.md5(F.col(name).cast("binary")), at, 4), 16, 10).cast("int")
+    hosts = pages.select(host.alias("host")).where("host is not null").distinct()
+    parents = hosts.select(F.substring_index("host", ".", -3).alias("domain")).distinct().where(number("domain", 1) % 3 == 0)
+    when = lambda shift: F.timestamp_seconds((number("domain", 5) + shift) % 366 * 86400 + 1704067200)
+    kind = F.when(number("domain", 9) % 2 == 0, "spam").otherwise("malware").alias("list")
+    dated = parents.select("domain", kind, F.explode(F.array(*[
+        F.struct(F.lit(action).alias("action"), when(97 * k).alias("at")) for k, action in enumerate(("add", "remove", "add"))])).alias("e"))
+    single = hosts.select(F.col("host").alias("domain")).where(number("domain", 1) % 5 == 0)
+    return dated.select("domain", "list", "e.action", "e.at").unionByName(
+        single.select("domain", F.lit("phishing").alias("list"), F.lit("add").alias("action"), when(0).alias("at")))
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_lists.filter_urls(page_captures(pages), list_events(pages))
+    return judged.select("page_id", "url", F.unix_timestamp("fetched_at").alias("fetched_s"), "blocked", "matched", "n_lists")
+
+
+def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_url_lists": op7_url_lists,
+    "op8_page_diff": op8_page_diff,
+}
