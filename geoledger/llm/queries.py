@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import page_diff, quality_gam, quality_rules, toxicity, url_lists
+from geoledger.llm import page_diff, quality_gam, quality_rules, substring_dedup, toxicity, url_lists
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality_gam.measure(_table(spark, sf_dir, "documents")))
     model = quality_gam.train(measured, _table(spark, sf_dir, "labels"))
@@ -65,6 +69,7 @@ def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_url_lists": op7_url_lists,
     "op8_page_diff": op8_page_diff,
