@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
+from geoledger.llm import packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed tokenizer files lie; every executor has them at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trained = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -70,6 +77,10 @@ def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -78,4 +89,5 @@ QUERIES = {
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_url_lists": op7_url_lists,
     "op8_page_diff": op8_page_diff,
+    "op9_packing": op9_packing,
 }
