@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
+from geoledger.llm import order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -42,6 +42,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(measured, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_order_minhash": op5_order_minhash,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_url_lists": op7_url_lists,
     "op8_page_diff": op8_page_diff,
