@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
+from geoledger.llm import gru_lm, order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -85,6 +85,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = gru_lm.language_model_scores(_table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return scores.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -95,4 +100,5 @@ QUERIES = {
     "op7_url_lists": op7_url_lists,
     "op8_page_diff": op8_page_diff,
     "op9_packing": op9_packing,
+    "op10_gru_lm": op10_gru_lm,
 }
