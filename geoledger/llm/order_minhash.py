@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.llm.alignment import within
+from geoledger.llm.names import spare_name
 from geoledger.llm.wordarrays import Words, mix, row_chunks, text_column
 from geoledger.session import cut
 
@@ -213,7 +214,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its class, all columns kept. Rows with one id stay together."""
     classes = near_duplicate_classes(docs, similarity)
-    gone = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__copy")).distinct())
+    copy = spare_name(docs, "copy")
+    gone = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(copy)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("__copy"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(copy), "left_anti")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.llm.names import spare_name
 from geoledger.session import cut
 
 #: Token positions that a mask looks at: 11011011, 1110010101, 1010011011.
@@ -90,7 +91,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without an overlap with the benchmark, all columns kept."""
-    found = cut(find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct())
+    leak = spare_name(docs, "leak")
+    found = cut(find_overlaps(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct())
     if found.count() <= BROADCAST_HITS:
         found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")

@@ -9,7 +9,8 @@ join may be split further by adaptive execution. Events of one domain are linked
 
 Defined results: a null, relative or over-long host (over 253 characters) matches nothing; a null time matches nothing;
 null or unknown actions, domains and times of events are ignored; of several events of one domain, list and instant an
-addition wins; repeated captures give repeated rows; an interval holds its start but not its end.
+addition wins; repeated captures give repeated rows; an interval holds its start but not its end; columns of the
+captures that are named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 MAX_HOST = 253
+ADDED = ("blocked", "matched", "n_lists")
 
 
 def host_of(url: Column) -> Column:
@@ -56,4 +58,4 @@ def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", at: st
             .groupBy("host", "at").agg(F.max_by("domain", F.struct(F.length("domain"), "domain")).alias("matched"),
                                        F.count_distinct("list").alias("n_lists")))
     return (keyed.join(hits, ["host", "at"], "left")
-            .select("row.*", F.col("matched").isNotNull().alias("blocked"), "matched", F.coalesce("n_lists", F.lit(0)).cast("long").alias("n_lists")))
+            .select(*[F.col("row")[c].alias(c) for c in captures.columns if c.lower() not in ADDED], F.col("matched").isNotNull().alias("blocked"), "matched", F.coalesce("n_lists", F.lit(0)).cast("long").alias("n_lists")))
