@@ -42,7 +42,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -51,6 +51,22 @@ def unpack(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
+def squeeze(values: np.ndarray, rising: bool = True) -> bytes:
+    """Integers in few bytes: differences of rising values, byte by byte, compressed."""
+    if rising and len(values):
+        values = np.append(values[:1], values[1:] - values[:-1])
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, kind: type, rising: bool = True) -> np.ndarray:
+    """The values that ``squeeze`` got."""
+    n, size = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(blob[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    values = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, n).T).view(kind).reshape(n)
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in compressed chunks: ``chunk``, ``n_words``, ``blob``; written, so that chunks never change."""
 
@@ -133,19 +149,19 @@ def _anchors(chunks: DataFrame, buckets: int) -> DataFrame:
         block[np.searchsorted(unique, keys[(first - words.bounds[texts]) % BLOCK == 0])] = True
         low = (unique & _LOW).astype(np.uint32)
         for bucket, at in _by_bucket(unique >> np.uint64(32)):
-            yield (bucket, chunk, low[at][~many[at]].tobytes(), low[at][many[at]].tobytes(), low[at][block[at]].tobytes())
+            yield (bucket, chunk, *(squeeze(low[at][kind]) for kind in (~many[at], many[at], block[at])))
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda name: [np.frombuffer(b, dtype=np.uint32) for b in table.column(name).to_pylist()]
+        read = lambda name: [unsqueeze(b, np.uint32) for b in table.column(name).to_pylist()]
         one, many, blocks = read("one"), read("many"), read("blocks")
         values, n = np.unique(np.concatenate([*one, *many, *many]), return_counts=True)
         shared = np.intersect1d(values[n > 1], np.concatenate(blocks))
         rows = []
         for chunk, a, b in zip(table.column("chunk").to_pylist(), one, many):
-            mine = np.concatenate([a, b])
+            mine = np.sort(np.concatenate([a, b]))
             hit = mine[np.isin(mine, shared, assume_unique=True)]
             if len(hit):
-                rows.append((chunk, hit.tobytes()))
+                rows.append((chunk, squeeze(hit)))
         bucket = table.column("bucket")[0].as_py()
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()),
                          pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "found"])
@@ -163,7 +179,7 @@ def _earlier(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
         chunk = row.column("chunk")[0].as_py()
         _, words, ids = _opened(row.column("blob")[0].as_py())
         first, keys = _short_keys(words, buckets)
-        known = np.sort(np.concatenate([np.frombuffer(a["found"], dtype=np.uint32).astype(np.uint64) | np.uint64(a["bucket"] << 32)
+        known = np.sort(np.concatenate([unsqueeze(a["found"], np.uint32).astype(np.uint64) | np.uint64(a["bucket"] << 32)
                                         for a in row.column("answers")[0].as_py()]))
         at = first[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]
         # windows that hold a whole anchor start up to 25 words before it, in the same document
@@ -180,11 +196,11 @@ def _earlier(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
         new = np.append(True, (two[1:] != two[:-1]) | (bucket[1:] != bucket[:-1]))
         bucket, two, own = bucket[new], two[new], own[new]
         for b, at in _by_bucket(bucket):
-            yield b, chunk, two[at].tobytes(), own[at].tobytes()
+            yield b, chunk, squeeze(two[at]), squeeze(own[at], rising=False)
 
     def least(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(b, dtype=np.uint64) for b in table.column("hashes").to_pylist()]
-        ids = [np.frombuffer(b, dtype=np.int64) for b in table.column("least").to_pylist()]
+        hashes = [unsqueeze(b, np.uint64) for b in table.column("hashes").to_pylist()]
+        ids = [unsqueeze(b, np.int64, rising=False) for b in table.column("least").to_pylist()]
         every, own = np.concatenate(hashes), np.concatenate(ids)
         order = np.lexsort((own, every))
         new = np.append(True, every[order][1:] != every[order][:-1])
@@ -193,7 +209,7 @@ def _earlier(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
         for chunk, mine, local in zip(table.column("chunk").to_pylist(), hashes, ids):
             hit = mine[smallest[np.searchsorted(values, mine)] < local]
             if len(hit):
-                rows.append((chunk, hit.tobytes()))
+                rows.append((chunk, squeeze(hit)))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "found"])
 
     return (chunks.select("chunk", "blob").join(answers, "chunk")
@@ -229,7 +245,7 @@ def _decided(docs: DataFrame, emit: Callable, schema: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, words, ids = _opened(batch.column("blob")[k].as_py())
-                found = [np.frombuffer(b, dtype=np.uint64) for b in batch.column("found")[k].as_py() or ()]
+                found = [unsqueeze(b, np.uint64) for b in batch.column("found")[k].as_py() or ()]
                 yield emit(rows, words, removed_words(words, ids, np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)))
 
     return joined.mapInArrow(run, schema)

@@ -63,3 +63,14 @@ def test_banded_alignment_agrees_with_plain_edit_distance():
     wanted = [_distance(a.tolist(), b.tolist()) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
     assert within(pairs, 0.2).tolist() == wanted
     assert 50 < sum(wanted) < 250
+
+
+def test_squeezed_integers_come_back():
+    from geoledger.llm.substring_dedup import squeeze, unsqueeze
+
+    random = np.random.default_rng(5)
+    for kind in (np.uint32, np.uint64):
+        values = np.unique(random.integers(0, np.iinfo(kind).max, 1000, dtype=kind, endpoint=True))
+        assert (unsqueeze(squeeze(values), kind) == values).all() and len(unsqueeze(squeeze(values[:0]), kind)) == 0
+    ids = random.integers(-5, 2**62, 100)
+    assert (unsqueeze(squeeze(ids, rising=False), np.int64, rising=False) == ids).all()
