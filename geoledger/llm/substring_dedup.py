@@ -53,7 +53,9 @@ def unpack(blob: bytes) -> pa.RecordBatch:
 
 def squeeze(values: np.ndarray, rising: bool = True) -> bytes:
     """Integers in few bytes: differences of rising values, byte by byte, compressed."""
-    if rising and len(values):
+    if not len(values):
+        return b""
+    if rising:
         values = np.append(values[:1], values[1:] - values[:-1])
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
     return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
@@ -61,6 +63,8 @@ def squeeze(values: np.ndarray, rising: bool = True) -> bytes:
 
 def unsqueeze(blob: bytes, kind: type, rising: bool = True) -> np.ndarray:
     """The values that ``squeeze`` got."""
+    if not blob:
+        return np.zeros(0, dtype=kind)
     n, size = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
     planes = pa.decompress(blob[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
     values = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, n).T).view(kind).reshape(n)
