@@ -34,7 +34,7 @@ EPOCHS = 2
 POPULATION = 4
 CROSSOVERS = 10
 WELL_FILLED = 0.98
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000  # about 120 MB in a Python worker
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,6 +47,32 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Ids of words that this Python worker has tokenised, by tokeniser file; a worker serves many tasks.
+_REMEMBERED: dict[str, dict[bytes, bytes]] = {}
+
+
+def _word_ids(words: list[bytes], path: str) -> Iterator[bytes]:
+    """Ids of single words. Many go to the tokeniser in one text, parted by a special token, which it never joins with others."""
+    tokenizer = _tokenizer(path)
+    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+    if not added:
+        yield from (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
+        return
+    mark, text = next(iter(added.items()))
+    every = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    for low in range(0, len(words), 256):
+        part = words[low:low + 256]
+        if any(t in w for w in part for t in every):
+            yield from (np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in part)
+            continue
+        ids = np.array(tokenizer.encode(text.join([w.decode() for w in part]), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+        raw, start = ids.tobytes(), 0
+        for end in ends:
+            yield raw[4 * start:4 * end]
+            start = end + 1
+
+
 def token_ids(texts: list[str], path: str, cache: dict[bytes, bytes]) -> Iterator[np.ndarray]:
     """Ids of each text, without the end token. The tokeniser drops white space and never joins words across it, so a
     text is the sequence of its words and each distinct word is tokenised once."""
@@ -55,10 +81,7 @@ def token_ids(texts: list[str], path: str, cache: dict[bytes, bytes]) -> Iterato
     if len(cache) + len(missing) > CACHE_WORDS:
         cache.clear()
         missing = sorted({w for words in split for w in words})
-    for low in range(0, len(missing), 4096):
-        part = missing[low:low + 4096]
-        for word, coded in zip(part, _tokenizer(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            cache[word] = np.array(coded.ids, dtype="<u4").tobytes()
+    cache.update(zip(missing, _word_ids(missing, path)))
     for words in split:
         yield np.frombuffer(b"".join([cache[w] for w in words]), dtype="<u4")
 
@@ -67,7 +90,7 @@ def tokenised_pieces(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache = _REMEMBERED.setdefault(path, {})
         for batch in batches:
             texts, ids = text_column(batch), batch.column("doc_id").cast(pa.int64())
             for low, high in row_chunks(texts):
