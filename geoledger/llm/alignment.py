@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CELLS = 2_000_000  # cells of a group of pairs in memory; only a single longer pair takes more
+CELLS = 1_000_000  # cells of a group of pairs in memory; only a single longer pair takes more
 NARROW = 12
 
 

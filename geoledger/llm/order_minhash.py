@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.llm.alignment import within
+from geoledger.llm.memory import tidy
 from geoledger.llm.names import spare_name
 from geoledger.llm.wordarrays import Words, mix, row_chunks, text_column
 from geoledger.session import cut
@@ -113,7 +114,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                      pa.array([next(keys) if n else None for n in words.counts.tolist()], pa.list_(pa.int64()))],
                     names=["doc_id", "d1", "d2", "n_words", "keys"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, n_words long, keys array<long>"))
+    return cut(docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, d1 long, d2 long, n_words long, keys array<long>"))
 
 
 def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
     # rows that repeat an id: one of their texts, always the same
-    return cut(chosen.mapInArrow(run, f"id {kind}, words binary").groupBy("id").agg(F.max("words").alias("words")))
+    return cut(chosen.mapInArrow(tidy(run), f"id {kind}, words binary").groupBy("id").agg(F.max("words").alias("words")))
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -145,15 +146,15 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 arrays = [[np.frombuffer(x, dtype=np.uint32) for x in part.column(c).to_pylist()] for c in ("wa", "wb")]
                 found = within(list(zip(*arrays)), 1 - similarity)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found)], names=["a", "b", "linked"])
 
     met = (pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
            .join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a"))
-    return met.select("a", "b", "wa", "wb").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+    return met.select("a", "b", "wa", "wb").mapInArrow(tidy(run), f"a {kind}, b {kind}, linked boolean")
 
 
 def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

@@ -229,7 +229,7 @@ def pack(docs: DataFrame, path: str, shard_pieces: int = SHARD_PIECES) -> DataFr
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
     none = F.array().cast("array<binary>")
     islands = (members.select("shard", lengths.alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-               .repartition("shard", "island"))
+               .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "island"))
     state = cut(_epoch(islands.withColumn("layouts", none), 0))
     for epoch in range(1, EPOCHS):
         moved = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
