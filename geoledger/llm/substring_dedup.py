@@ -5,7 +5,7 @@ probes it. A repeat of 50 words holds at least one whole block of the document i
 document anchors every repeat; around the anchors the 50-word windows are compared, and runs of equal windows are the
 maximal exact repeats. A word goes if a window that covers it also starts in a document with a smaller id.
 
-Data flow: documents are packed into compressed chunks of about 2 MB of text, written once. A chunk sends each bucket of
+Data flow: documents are packed into compressed chunks of about 1 MB of text, written once. A chunk sends each bucket of
 the hash space its distinct window hashes (so a passage in a third of all documents is sent once a chunk, not once a
 document), the bucket answers which of them are anchors, and the chunk, met again by a join, sends the 50-word windows
 around them in the same way and is told which start in smaller documents of other chunks. Buckets grow in number with the
@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import Words, by_text, mix, row_chunks, text_column
 from geoledger.session import cut
 
 WINDOW = 50
 BLOCK = 25  # a window of 50 words holds one whole block wherever it starts
-CHUNK_BYTES = 2 << 20
-BUCKET_WINDOWS = 2_000_000
+CHUNK_BYTES = 1 << 20
+BUCKET_WINDOWS = 1_000_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 _SECOND = np.uint64(0x5851F42D4C957F2D)
@@ -85,7 +86,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                                                  names=["chunk", "n_words", "blob"])
                 number += 1
 
-    return cut(docs.mapInArrow(run, "chunk long, n_words long, blob binary"))
+    return cut(docs.mapInArrow(tidy(run), "chunk long, n_words long, blob binary"))
 
 
 def _opened(blob: bytes) -> tuple[pa.RecordBatch, Words, np.ndarray]:
@@ -128,7 +129,7 @@ def _rows(blobs: Callable, schema: pa.Schema) -> Callable:
                     columns = list(zip(*rows[low:low + 1024]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def _anchors(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -252,7 +253,7 @@ def _decided(docs: DataFrame, emit: Callable, schema: str) -> DataFrame:
                 found = [unsqueeze(b, np.uint64) for b in batch.column("found")[k].as_py() or ()]
                 yield emit(rows, words, removed_words(words, ids, np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:

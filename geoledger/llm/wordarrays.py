@@ -79,13 +79,13 @@ class Words:
         heads = self.offsets[:-1]
         heads = heads[heads < len(data)]
         first[heads] |= inside[heads]
-        kept = np.flatnonzero(inside)
+        kept = np.flatnonzero(inside).astype(np.int32 if len(data) < 1 << 31 else np.int64)
         self.starts = np.flatnonzero(first)
         at = np.flatnonzero(first[kept])
         self.lengths = np.diff(np.append(at, len(kept)))
         self.bounds = np.searchsorted(self.starts, self.offsets)
         if len(at):
-            place = np.arange(len(kept)) - np.repeat(at, self.lengths)
+            place = np.arange(len(kept), dtype=kept.dtype) - np.repeat(at.astype(kept.dtype), self.lengths)
             sums = np.add.reduceat(_CODES[data[kept]] * powers(_BASE, int(self.lengths.max()))[place], at)
             self.hashes = mix(sums + self.lengths.astype(np.uint64) * _STEP)
         else:
