@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import row_chunks, text_column
 from geoledger.session import cut
 
@@ -105,7 +106,7 @@ def tokenised_pieces(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), _PIECE)
 
 
 class Packing:
@@ -213,7 +214,7 @@ def _epoch(islands: DataFrame, epoch: int) -> DataFrame:
                      pa.array([best.numbers(len(lengths)).tobytes()], pa.binary()), pa.array([len(best.bins)], pa.int32()),
                      pa.array([best.fitness[1]], pa.float64())], names=["shard", "island", "lengths", "elite", "n_bins", "fill"])
 
-    return islands.mapInArrow(run, "shard long, island int, lengths array<int>, elite binary, n_bins int, fill double")
+    return islands.mapInArrow(tidy(run), "shard long, island int, lengths array<int>, elite binary, n_bins int, fill double")
 
 
 def pack(docs: DataFrame, path: str, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -251,6 +252,6 @@ def pack(docs: DataFrame, path: str, shard_pieces: int = SHARD_PIECES) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    placed = members.join(best, "shard").mapInArrow(place, _PIECE + ", sequence_id long, offset long")
+    placed = members.join(best, "shard").mapInArrow(tidy(place), _PIECE + ", sequence_id long, offset long")
     whole = pieces.where(F.col("length") == CAPACITY).select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(whole)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.llm.labelled import label_sample, sigmoid
+from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import Words, by_text, row_chunks, text_column
 
 #: Labelled documents of either class that may be used for learning.
@@ -91,7 +92,7 @@ def measure(docs: DataFrame) -> DataFrame:
                                                  names=["doc_id", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, features array<float>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, features array<float>")
 
 
 def _tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -212,4 +213,4 @@ def score_quality(measured: DataFrame, model: AdditiveModel) -> DataFrame:
                                              names=["doc_id", "score", "predicted"])
 
     kind = measured.schema["doc_id"].dataType.simpleString()
-    return measured.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return measured.select("doc_id", "features").mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from geoledger.session import cut
 from geoledger.llm.labelled import fit_logistic, label_sample, sigmoid
+from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import PUNCTUATED, Words, by_text, mix, row_chunks, text_column
 
 #: Labelled documents of either class that may be used: about four fifths are counted, the rest fits the curve.
@@ -150,12 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     sample = label_sample(labels, "toxic", per_class)
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class ids
-              .mapInArrow(_sketch, f"doc_id {kind}, label int, text string, k1 long, k2 long, k3 long, k4 long"))
+              .mapInArrow(tidy(_sketch), f"doc_id {kind}, label int, text string, k1 long, k2 long, k3 long, k4 long"))
     for key in ("k1", "k2", "k3", "k4"):  # one text of each group of copies is counted
         chosen = chosen.groupBy("label", key).agg(F.min(F.struct(*[c for c in chosen.columns if c not in ("label", key)])).alias("row")).select("label", "row.*")
     chosen = cut(chosen.select("doc_id", "label", "text"))
     counted = F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0
-    pairs = (chosen.where(counted).select("label", "text").mapInArrow(_count, "label int, prev long, word long, n long")
+    pairs = (chosen.where(counted).select("label", "text").mapInArrow(tidy(_count), "label int, prev long, word long, n long")
              .groupBy("prev", "word").agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
              .persist())
     both = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             found = _evidence(shared.value, text_column(batch))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "a", "b"])
 
-    rows = chosen.where(~counted).select("label", "text").mapInArrow(measure, "label int, a double, b double").toArrow()
+    rows = chosen.where(~counted).select("label", "text").mapInArrow(tidy(measure), "label int, a double, b double").toArrow()
     x = np.column_stack([rows.column("a").to_numpy(), rows.column("b").to_numpy()])
     return model, fit_logistic(x, rows.column("label").to_numpy().astype(float), ridge=1e-2)
 
@@ -199,7 +200,7 @@ def score_toxicity(docs: DataFrame, trained: tuple[KneserNeyPair, np.ndarray]) -
                                              names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), f"doc_id {kind}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, trained: tuple[KneserNeyPair, np.ndarray]) -> DataFrame:
@@ -212,4 +213,4 @@ def drop_toxic(docs: DataFrame, trained: tuple[KneserNeyPair, np.ndarray]) -> Da
             found = sigmoid(_evidence(model, text_column(batch)) @ weights[:-1] + weights[-1])
             yield batch.filter(pa.array(found < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
