@@ -42,8 +42,8 @@ def own_date(text: Column) -> Column:
 
 
 def https_with_host(url: Column) -> Column:
-    parsed = lambda part: F.try_parse_url(F.coalesce(url, F.lit("")), F.lit(part))
-    return F.coalesce((F.lower(parsed("PROTOCOL")) == "https") & (F.coalesce(parsed("HOST"), F.lit("")) != ""), F.lit(False))
+    """HTTPS scheme and a non-empty host part; what the host or the path look like does not matter."""
+    return F.rlike(F.coalesce(url, F.lit("")), F.lit(r"^[\x00-\x20]*(?i)https://[^/?#]"))
 
 
 def absent(column: Column) -> Column:

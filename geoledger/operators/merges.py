@@ -39,6 +39,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
+def single_row(df: DataFrame) -> DataFrame:
+    """The only row of ``df``, or none; more than one stops the run instead of picking any of them."""
+    counted = df.agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*df.columns)).alias("_row")).filter("_n > 0")
+    sole = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("expected one row, found more")).cast(counted.schema["_row"].dataType))
+    return counted.select(sole.alias("_row")).select("_row.*")
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """(key, occurrences) of keys seen more than once."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
@@ -52,7 +59,7 @@ def later_occurrences(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def unknown_members(df: DataFrame, row_keys: list[str], array_col: str, known: DataFrame, known_id: str = "id") -> DataFrame:
     """(row keys, unknown): sorted distinct array members that the registry does not hold."""
-    exploded = df.select(*row_keys, F.explode(array_col).alias("_id")).distinct()
+    exploded = df.select(*row_keys, F.explode(F.array_distinct(array_col)).alias("_id"))  # row keys are unique
     missing = exploded.join(known.select(F.col(known_id).alias("_id")), "_id", "left_anti")
     return missing.groupBy(*row_keys).agg(F.sort_array(F.collect_list("_id")).alias("unknown"))
 

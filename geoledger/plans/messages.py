@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoledger import schemas, vocab
 from geoledger.functions.text import after_marker, before_stops, collapse_space, filled, plain_text, strip_chars
 from geoledger.functions.values import own_date, released, short_digest, zoned_timestamp
-from geoledger.operators.merges import alias_set, keyed_merge, replace_source
+from geoledger.operators.merges import alias_set, keyed_merge, replace_source, single_row
 
 # Coordinates (six decimals) whose place names are known.
 KNOWN_PLACES = (
@@ -216,7 +216,7 @@ def point_feed_status(events: DataFrame, status: DataFrame, now: Column) -> Data
         F.max_by(F.struct("event_date", "published_at"), key).alias("_latest"), F.count(F.lit(1)).alias("_events"),
         F.count_if(is_point).alias("_points"),
         F.count_distinct(F.when(is_point, F.coalesce("location_label", F.lit("\u0000")))).alias("_labels"))
-    old = status.limit(1)
+    old = single_row(status)
     merged = facts.join(old, F.lit(True), "left")
     own = ("state", "point_feed_date", "point_feed_published_at", "point_feed_updated_at", "point_update_count", "new_settlements")
     keep = [c for c in status.columns if c not in own]

@@ -9,20 +9,13 @@ from pyspark.sql import functions as F
 
 from geoledger import schemas, vocab
 from geoledger.functions.values import utc
-from geoledger.operators.merges import upsert
+from geoledger.operators.merges import single_row
 from geoledger.plans.diff import change_summary, diff_snapshots, point_status_changes, point_status_index
 from geoledger.plans.snapshot_rules import validate_snapshot
 from geoledger.session import cut
-from geoledger.sources.archive import open_snapshot, previous_date, read_manifest, write_partition
+from geoledger.sources.archive import commit_manifest_row, open_snapshot, previous_date, read_manifest, write_partition
 from geoledger.sources.geojson import feature_rows, read_snapshot
-from geoledger.sources.tables import content_digest, read_parquet_table, write_table
-
-CHANGES = (
-    "id string, date string, layer string, from_status string, to_status string, status string, name string, summary string,"
-    " area_km2_exact double, area_km2 double, confidence double, evidence_ids array<string>, source_ids array<string>,"
-    f" reviews array<{schemas.MODERATION}>, geometry {schemas.MULTIPOLYGON}"
-)
-
+from geoledger.sources.tables import content_digest, read_newest_version, write_version
 
 class Rejected(RuntimeError):
     """Publication refused; ``violations`` holds the failed rules."""
@@ -43,8 +36,9 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
             methodology_version: str = "1.0") -> str:
     """Publish a reviewed candidate below ``root`` and return its date.
 
-    Partitions and the audit row are written first and the manifest last: a date counts as published once the
-    manifest names it, and running the same publication again replaces what an interrupted run left.
+    Partitions and the audit row are written first, then the manifest's row for the date, which is the commit: it is a
+    partition of its own, so no step ever rewrites what earlier publications left. The current status follows as a new
+    version. Running the same publication again replaces what an interrupted run left.
     """
     if not approved:
         raise Rejected("publication needs an explicit approval after human review")
@@ -88,10 +82,10 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
         F.col("sha256").alias("snapshot_sha256"), F.lit(vocab.DELAY_HOURS).alias("public_delay_hours"),
         F.lit(vocab.PUBLICATION_WARNING).alias("warning"))
     write_partition(status, root, "status", day)
-    status_path = f"{root}/status_current"
-    kept = cut(read_parquet_table(spark, status_path, schemas.STATUS).select(
-        "point_feed_date", "point_feed_published_at", "point_feed_updated_at", "point_update_count"))
-    write_table(status.join(kept.limit(1), F.lit(True), "left"), status_path)
+    old = cut(read_newest_version(spark, f"{root}/status_current", schemas.STATUS))
+    kept = single_row(old.select("point_feed_date", "point_feed_published_at", "point_feed_updated_at", "point_update_count"))
+    version = (old.agg(F.max("version").alias("v")).first().v or 0) + 1
     audit_row(features, digest, moment).write.mode("append").parquet(f"{root}/audit")
-    write_table(cut(upsert(manifest, row, "date").orderBy(F.desc("date"))), f"{root}/manifest")
+    commit_manifest_row(row, root)
+    write_version(status.join(kept, F.lit(True), "left"), f"{root}/status_current", version)
     return day

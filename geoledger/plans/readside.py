@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 from geoledger import vocab
 from geoledger.functions.text import name_matches
 from geoledger.functions.values import freshness, located
-from geoledger.operators.merges import first_match, pick
-
-
-def period_filter(day: Column, anchor: Column, days: int) -> Column:
-    """Less than ``days`` before the anchor; later dates pass as well."""
-    return F.datediff(anchor, day) < days
+from geoledger.operators.merges import first_match, pick, single_row
 
 
 def changes_for_period(archived: DataFrame, manifest: DataFrame, current: DataFrame, anchor: date, period: str = "day") -> DataFrame:
-    """Changes of all published dates in the period, one per id (or geometry), the last one in manifest order winning.
+    """Changes of all published dates in the period, one per id (or geometry), the last one in manifest order winning:
+    the manifest is newest first, so of several dates the oldest wins.
 
     ``archived`` is partitioned by snapshot_date and compared with a literal, so only eligible partitions are read.
     ``manifest`` carries date and ordinal. When no date is eligible the current changes are shown.
@@ -32,7 +28,7 @@ def changes_for_period(archived: DataFrame, manifest: DataFrame, current: DataFr
     keep = [c for c in current.columns if c in archived.columns and c != "snapshot_date"]
     both = in_period.select(*keep, "ordinal").unionByName(fallback.select(*keep, F.col("ordinal").cast("bigint")))
     position = F.struct("ordinal", *([F.col("pos")] if "pos" in keep else [F.col("id")]))
-    key = F.coalesce("id", F.to_json("geometry")) if "geometry" in keep else F.col("id")
+    key = F.coalesce(F.nullif("id", F.lit("")), F.to_json("geometry")) if "geometry" in keep else F.col("id")
     return pick(both.withColumn("_key", key), ["_key"], position, last=True).drop("_key", "ordinal")
 
 
@@ -111,6 +107,7 @@ def located_events(events: DataFrame) -> DataFrame:
 
 
 def located_points(points: DataFrame) -> DataFrame:
+    """Points that can be drawn on a map."""
     return points.filter(located(F.col("lat"), F.col("lon")))
 
 
@@ -161,7 +158,7 @@ def dashboard_status(status: DataFrame, points: DataFrame, events: DataFrame, cl
     def any_row(df: DataFrame | None, name: str) -> DataFrame:
         base = df if df is not None else events.limit(0)
         return base.agg((F.count(F.lit(1)) > 0).alias(name))
-    one = status.limit(1)
+    one = single_row(status)
     for row in (seen, claimed, named, any_row(snapshot_features, "has_snapshot"), any_row(reference_features, "has_reference")):
         one = one.join(F.broadcast(row))  # one row each
     return one.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger import vocab
@@ -80,9 +80,10 @@ def event_rules(events: DataFrame, collection: str, sources: DataFrame, evidence
 
 
 def manifest_rules(manifest: DataFrame) -> DataFrame:
-    """Dates unique and newest first. Neighbours meet by an equi-join on the ordinal, not by one global window."""
-    following = manifest.select((F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("_later"))
-    rising = _any(manifest.join(following, "ordinal").filter(F.col("_later") > F.col("date")))
+    """Dates unique and newest first, in the order of the ordinals, which may have gaps. One row for each published date,
+    so one window over the table is small."""
+    following = F.lead("date").over(Window.orderBy("ordinal"))
+    rising = _any(manifest.select("date", following.alias("_later")).filter(F.col("_later") > F.col("date")))
     return _rows(rising, "manifest", "V-D15", F.lit("dates must be reverse chronological")).unionByName(
         _repeated(manifest, "date", "manifest", "V-D14", "duplicate dates"))
 

@@ -18,6 +18,11 @@ SNAPSHOT_FEATURES = (
     "snapshot_date string, idx bigint, id string, name string, status string, valid_from string, confidence double,"
     f" evidence_ids array<string>, source_ids array<string>, moderation {MODERATION}, geometry {MULTIPOLYGON}"
 )
+CHANGES = (
+    "id string, date string, layer string, from_status string, to_status string, status string, name string, summary string,"
+    " area_km2_exact double, area_km2 double, confidence double, evidence_ids array<string>, source_ids array<string>,"
+    f" reviews array<{MODERATION}>, geometry {MULTIPOLYGON}"
+)
 SOURCES = (
     "id string, name string, role string, side string, kind string, url string, health string, health_label string,"
     " license_status string, monitor boolean, usage_note string"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoledger import schemas
 from geoledger.sources.tables import read_parquet_table
 
-ARCHIVED = ("current", "changes", "points", "events", "status")
+#: Tables of an archived date and what a reader of one sees; moved points carry the columns of the registry besides.
+ARCHIVE_SCHEMAS = {
+    "current": schemas.SNAPSHOT_FEATURES, "changes": schemas.CHANGES, "points": f"{schemas.POINTS}, previous_status string, changed_at string",
+    "events": schemas.EVENTS, "status": schemas.STATUS,
+}
 
 
 def write_partition(df: DataFrame, root: str, table: str, snapshot_date: str) -> None:
@@ -24,13 +28,42 @@ def open_snapshot(spark: SparkSession, root: str, table: str, snapshot_date: str
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each published date; no order is implied (``ordered_manifest`` gives one)."""
     return read_parquet_table(spark, f"{root}/manifest", schemas.MANIFEST)
 
 
+def commit_manifest_row(row: DataFrame, root: str) -> None:
+    """Put the rows' dates into the manifest. Each date is a partition of its own: other dates are never rewritten."""
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{root}/manifest")
+
+
+def ordered_manifest(manifest: DataFrame) -> DataFrame:
+    """The manifest newest first, as it is published, with its position (one row for each date, so one task is enough)."""
+    return manifest.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("date"))).cast("bigint") - 1)
+
+
 def previous_date(manifest: DataFrame, snapshot_date: str) -> DataFrame:
     """One row (date): the latest other published date; NULL before the first publication."""
     return manifest.filter(F.col("date") != snapshot_date).agg(F.max("date").alias("date"))
 
 
 def archive_record(manifest: DataFrame, snapshot_date: str) -> DataFrame:
+    """The manifest row of a date: no row, no archive."""
     return manifest.filter(F.col("date") == snapshot_date)
+
+
+def open_archive(spark: SparkSession, root: str, selected: str = "current") -> dict[str, DataFrame]:
+    """The tables a reader sees: of the newest published date (``current``) or of an archived one.
+
+    Besides the archived tables there is ``previous``, the areas of the date before; it is empty for an archived date,
+    which is shown alone. A date that the manifest does not name gives empty tables.
+    """
+    manifest = read_manifest(spark, root)
+    day = selected
+    if selected == "current":
+        day = manifest.agg(F.max("date").alias("date")).first().date or ""
+    known = "" if archive_record(manifest, day).isEmpty() else day
+    tables = {name: open_snapshot(spark, root, name, known, schema) for name, schema in ARCHIVE_SCHEMAS.items()}
+    before = previous_date(manifest.filter(F.col("date") < known), known).first().date if selected == "current" and known else None
+    tables["previous"] = open_snapshot(spark, root, "current", before or "", schemas.SNAPSHOT_FEATURES)
+    return tables

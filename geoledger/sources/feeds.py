@@ -23,37 +23,42 @@ def read_message_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page_id"), F.col("value").alias("html"))
 
 
-def _child(tags: str) -> str:
-    return rf"(?is)<(?:[\w.-]+:)?(?:{tags})(?:\s[^>]*)?>\s*(?:<!\[CDATA\[(.*?)\]\]>|([^<]*))"
+_ENTRY = ("struct<title:array<string>,link:array<struct<_VALUE:string,_href:string>>,pubDate:array<string>,"
+          "published:array<string>,updated:array<string>>")
+_LISTS = f"item array<{_ENTRY}>, entry array<{_ENTRY}>"
+_FEED = f"channel struct<{_LISTS.replace(' array', ':array')}>, {_LISTS}, _corrupt string"
+_READING = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
-def _first_text(entry, tags: str):
-    """Text of the first matching child that has any text at all; whitespace-only text counts and gives ''."""
-    cdata = F.regexp_extract_all(entry, F.lit(_child(tags)), F.lit(1))
-    plain = F.regexp_extract_all(entry, F.lit(_child(tags)), F.lit(2))
-    merged = F.zip_with(cdata, plain, lambda a, b: F.concat(a, b))
-    return F.coalesce(F.get(F.filter(merged, lambda t: F.length(t) > 0), F.lit(0)), F.lit(""))
+def _first_text(*texts: str):
+    """The first text that is not empty, with white space collapsed; white space alone counts as found and gives ''."""
+    every = F.concat(*[F.coalesce(F.col(t), F.array()) for t in texts])
+    return F.coalesce(collapse_space(F.get(F.filter(every, lambda t: F.length(t) > 0), F.lit(0))), F.lit(""))
+
+
+def parsed_feeds(feeds: DataFrame) -> DataFrame:
+    """Feed documents through Spark's XML reader, in any namespace; ``feed._corrupt`` holds a text that is not XML."""
+    return feeds.withColumn("feed", F.from_xml("xml", _FEED, _READING))
+
+
+def rejected_feeds(feeds: DataFrame) -> DataFrame:
+    """(source_id, feed_pos, xml) of documents that are not well-formed XML; kept apart so that one does not stop a run."""
+    return parsed_feeds(feeds).filter("xml IS NULL OR feed IS NULL OR feed._corrupt IS NOT NULL").select("source_id", "feed_pos", "xml")
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """Entries of feed documents: source_id, feed_pos, entry_pos, title, url, published_at_raw.
 
-    ``feeds`` carry source_id, feed_pos and xml. Entries are ``item`` or ``entry`` elements at any depth and in any
-    namespace; the link falls back to its href attribute. Texts that hold no such element give no rows.
+    ``feeds`` carry source_id, feed_pos and xml. Entries are ``item`` or ``entry`` elements of the root or of its
+    channel; the link falls back to its href attribute. Documents that hold no such element or are no XML give no rows.
     """
-    from geoledger.functions.text import unescape_entities
-
-    pattern = r"(?is)<(?:[\w.-]+:)?(?:item|entry)(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?(?:item|entry)\s*>"
-    entries = feeds.select(
-        "source_id", "feed_pos", F.posexplode(F.regexp_extract_all("xml", F.lit(pattern), F.lit(1))).alias("entry_pos", "entry"))
-    entry = F.col("entry")
-    href = F.regexp_extract(entry, r"(?is)<(?:[\w.-]+:)?link\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1)
-    raw = entries.select(
-        "source_id", "feed_pos", "entry_pos", _first_text(entry, "title").alias("title"),
-        F.coalesce(filled(collapse_space(_first_text(entry, "link"))), href).alias("url"),
-        _first_text(entry, "pubDate|published|updated").alias("published_at_raw"))
-    return raw.select("source_id", "feed_pos", "entry_pos", *[
-        collapse_space(unescape_entities(F.col(c))).alias(c) for c in ("title", "url", "published_at_raw")])
+    lists = [F.coalesce(F.col(c), F.array()) for c in ("feed.channel.item", "feed.channel.entry", "feed.item", "feed.entry")]
+    entries = parsed_feeds(feeds).filter("feed._corrupt IS NULL").select("source_id", "feed_pos", F.posexplode(F.concat(*lists)).alias("entry_pos", "e"))
+    href = F.coalesce(F.get(F.col("e.link._href"), F.lit(0)), F.lit(""))
+    return entries.select(
+        "source_id", "feed_pos", "entry_pos", _first_text("e.title").alias("title"),
+        F.coalesce(filled(_first_text("e.link._VALUE")), href).alias("url"),
+        _first_text("e.pubDate", "e.published", "e.updated").alias("published_at_raw"))
 
 
 def read_feed_files(spark: SparkSession, path: str, source_id: str, row_tag: str = "item") -> DataFrame:

@@ -11,23 +11,45 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _only_missing(problem: AnalysisException) -> None:
+    """Raise again unless the path does not exist: anything else unreadable must not pass for an empty table."""
+    if problem.getCondition() != "PATH_NOT_FOUND":
+        raise problem
+
+
 def read_json_table(spark: SparkSession, path: str, schema: str, required: bool = False) -> DataFrame:
     """JSON array (or lines) with a fixed schema; an absent path gives an empty table unless ``required``."""
     try:
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    except AnalysisException:
+    except AnalysisException as problem:
         if required:
             raise
+        _only_missing(problem)
         return empty_table(spark, schema)
 
 
 def read_parquet_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        _only_missing(problem)
         return empty_table(spark, schema)
 
 
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    """Add a numbered version of a small table. Older versions stay, so a run that breaks off loses nothing; a version
+    that was written before by the same run is replaced."""
+    dated = df.drop("version").withColumn("version", F.lit(version).cast("bigint"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def read_newest_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the highest version, with the column ``version``; an empty frame before the first one."""
+    every = read_parquet_table(spark, path, f"{schema}, version bigint")
+    newest = every.agg(F.max("version").alias("_newest"))
+    return every.join(F.broadcast(newest), F.col("version") == F.col("_newest")).drop("_newest")  # one row
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replace a whole table."""
     df.write.mode("overwrite").parquet(path)

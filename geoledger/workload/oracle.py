@@ -32,12 +32,12 @@ def _list(values) -> str:
 _SOURCES = (
     _missing("s_sources", "V-D3", vocab.SOURCE_FIELDS, "sources")
     + f" UNION ALL SELECT 'sources', ordinal, 'V-D4', 'invalid side' FROM s_sources WHERE side NOT IN {_list(vocab.SIDES)}"
-    + " UNION ALL SELECT 'sources', ordinal, 'V-D5', 'url must be HTTPS' FROM s_sources WHERE NOT starts_with(url, 'https://')"
+    + " UNION ALL SELECT 'sources', ordinal, 'V-D5', 'url must be HTTPS' FROM s_sources WHERE NOT regexp_matches(url, '(?i)^https://[^/?#]')"
     + " UNION ALL SELECT 'sources', NULL, 'V-D1', 'duplicate ids' FROM (SELECT 1 FROM s_sources GROUP BY id HAVING count(*) > 1 LIMIT 1)")
 _EVIDENCE = (
     _missing("s_evidence", "V-D6", vocab.EVIDENCE_FIELDS, "evidence")
     + " UNION ALL SELECT 'evidence', ordinal, 'V-D7', 'unknown source_id' FROM s_evidence WHERE source_id NOT IN (SELECT id FROM s_sources)"
-    + " UNION ALL SELECT 'evidence', ordinal, 'V-D8', 'url must be HTTPS' FROM s_evidence WHERE NOT starts_with(url, 'https://')"
+    + " UNION ALL SELECT 'evidence', ordinal, 'V-D8', 'url must be HTTPS' FROM s_evidence WHERE NOT regexp_matches(url, '(?i)^https://[^/?#]')"
     + " UNION ALL SELECT 'evidence', NULL, 'V-D2', 'duplicate ids' FROM (SELECT 1 FROM s_evidence GROUP BY id HAVING count(*) > 1 LIMIT 1)")
 
 
@@ -53,7 +53,7 @@ def _event_rules(table: str, collection: str) -> str:
 
 _MANIFEST = (
     "SELECT 'manifest' AS collection, CAST(NULL AS BIGINT) AS ordinal, 'V-D15' AS rule, 'dates must be reverse chronological' AS message FROM"
-    " (SELECT 1 FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE CAST(b.o_orderdate AS DATE) > CAST(a.o_orderdate AS DATE) LIMIT 1)"
+    " (SELECT 1 FROM (SELECT CAST(o_orderdate AS DATE) AS d, lead(CAST(o_orderdate AS DATE)) OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n > d LIMIT 1)"
     " UNION ALL SELECT 'manifest', NULL, 'V-D14', 'duplicate dates' FROM (SELECT 1 FROM orders GROUP BY CAST(o_orderdate AS DATE) HAVING count(*) > 1 LIMIT 1)")
 
 _sql("evidence_unknown_source", ("sources", "evidence"),
@@ -106,19 +106,21 @@ UNION ALL SELECT {_path('evidence_ids')}, 'evidence_ids has repeated items' FROM
 UNION ALL SELECT {_path('moderation.reviewer')}, 'reviewer is required and must not be empty' FROM s_features WHERE reviewer = ''
 UNION ALL SELECT {_path('moderation.decision')}, 'decision must be approved' FROM s_features WHERE decision <> 'approved'""")
 _sql("snapshot_documents", ("features",), """
-SELECT p_brand AS snapshot_date, count(*) AS features, count(confidence) AS with_confidence, CAST(sum(len(evidence_ids)) AS BIGINT) AS evidence,
-  CAST(sum(p_size) AS DOUBLE) AS widths FROM s_features JOIN part ON p_partkey = idx GROUP BY p_brand""")
+SELECT 'd-' || CAST(idx // 8 % 25 AS VARCHAR) AS snapshot_date, CAST(sum(place) AS BIGINT) AS positions, count(DISTINCT place) AS places, count(*) AS features, count(confidence) AS with_confidence, CAST(sum(len(evidence_ids)) AS BIGINT) AS evidence,
+  CAST(sum(p_size) AS DOUBLE) AS widths FROM (SELECT *, row_number() OVER (PARTITION BY idx // 8 ORDER BY idx) - 1 AS place FROM s_features)
+JOIN part ON p_partkey = idx GROUP BY 1""")
 
+_DAY = "CAST(CAST(DATE '2024-01-02' + CAST(c AS INTEGER) AS DATE) AS VARCHAR)"
 _COLUMN_M = SQL_METRES_PER_LON_DEGREE / 128
 
 
 def _cells(rects: str) -> str:
-    return (f"(SELECT DISTINCT status, x, unnest(range(y0, y1)) AS y FROM (SELECT status, y0, y1, unnest(range(x0, x1)) AS x FROM {rects}))")
+    return (f"(SELECT DISTINCT c, status, x, unnest(range(y0, y1)) AS y FROM (SELECT c, status, y0, y1, unnest(range(x0, x1)) AS x FROM {rects}))")
 
 
 _AREA = f"round(sum({_COLUMN_M!r} * ({_y('y + 1')} - {_y('y')})) / 1e6, 1)"
 _GAINED = f"""c_old AS MATERIALIZED {_cells('s_rects_old')}, c_new AS MATERIALIZED {_cells('s_rects_new')},
-gained AS (SELECT status AS to_status, x, y FROM c_new ANTI JOIN c_old USING (status, x, y))"""
+gained AS (SELECT c, status AS to_status, x, y FROM c_new ANTI JOIN c_old USING (c, status, x, y))"""
 _sql("feature_area", ("rects_new",), f"""
 SELECT 'f-' || CAST(k AS VARCHAR) AS id, round((x1 - x0) * {_COLUMN_M!r} * ({_y('y1')} - {_y('y0')}) / 1e6, 3) AS area_km2 FROM s_rects_new""")
 _sql("feature_bounds", ("rects_new",), """
@@ -132,7 +134,7 @@ def _pair_area(a: str, b: str) -> str:
             + _y(f"least({a}.y1, {b}.y1)") + " - " + _y(f"greatest({a}.y0, {b}.y0)") + ") / 1e6")
 
 
-_MEET = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+_MEET = "a.c = b.c AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
 _sql("feature_overlaps", ("rects_new",), f"""
 SELECT least('f-' || CAST(a.k AS VARCHAR), 'f-' || CAST(b.k AS VARCHAR)) AS left_id, greatest('f-' || CAST(a.k AS VARCHAR), 'f-' || CAST(b.k AS VARCHAR)) AS right_id,
   round({_pair_area('a', 'b')}, 2) AS overlap_km2 FROM s_rects_new a JOIN s_rects_new b ON a.k < b.k AND {_MEET}""")
@@ -141,39 +143,47 @@ SELECT 'f-' || CAST(a.k AS VARCHAR) AS old_id, 'f-' || CAST(b.k AS VARCHAR) AS n
 FROM s_rects_old a JOIN s_rects_new b ON {_MEET}""")
 _sql("gained_area_by_status", ("rects_old", "rects_new"), f"SELECT to_status, {_AREA} AS area_km2 FROM gained GROUP BY to_status", _GAINED)
 _sql("change_area_by_transition", ("rects_old", "rects_new"),
-     f"SELECT c_old.status AS from_status, to_status, {_AREA} AS area_km2 FROM gained JOIN c_old USING (x, y) GROUP BY ALL", _GAINED)
+     f"SELECT c_old.status AS from_status, to_status, {_AREA} AS area_km2 FROM gained JOIN c_old USING (c, x, y) GROUP BY ALL", _GAINED)
 _sql("change_summary", ("rects_old", "rects_new"), f"""
-SELECT '2024-01-01' AS "from", '2024-01-02' AS "to", t.area_change_km2, to_status, {_AREA} AS km2
-FROM gained, (SELECT {_AREA} AS area_change_km2 FROM gained) t GROUP BY to_status, t.area_change_km2""", _GAINED)
+SELECT '2024-01-01' AS "from", {_DAY} AS "to", t.area_change_km2, to_status, {_AREA} AS km2
+FROM gained JOIN (SELECT c, {_AREA} AS area_change_km2 FROM gained GROUP BY c) t USING (c) GROUP BY c, to_status, t.area_change_km2""", _GAINED)
 # Parts: runs of gained cells per row, joined to components by reachability, then measured and traced to rectangles.
 _PARTS = _GAINED + f""",
-runs AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT to_status, y, min(x) AS xs, max(x) + 1 AS xe FROM
-  (SELECT *, x - row_number() OVER (PARTITION BY to_status, y ORDER BY x) AS island FROM gained) GROUP BY to_status, y, island)),
-links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM runs a JOIN runs b ON a.to_status = b.to_status AND abs(a.y - b.y) = 1 AND a.xs < b.xe AND b.xs < a.xe),
+runs AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT c, to_status, y, min(x) AS xs, max(x) + 1 AS xe FROM
+  (SELECT *, x - row_number() OVER (PARTITION BY c, to_status, y ORDER BY x) AS island FROM gained) GROUP BY c, to_status, y, island)),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM runs a JOIN runs b ON a.c = b.c AND a.to_status = b.to_status AND abs(a.y - b.y) = 1 AND a.xs < b.xe AND b.xs < a.xe),
 reach(r, root) AS (SELECT r, r FROM runs UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.r WHERE links.b > reach.root),
 part_of AS MATERIALIZED (SELECT runs.*, p.part FROM runs JOIN (SELECT r, min(root) AS part FROM reach GROUP BY r) p USING (r)),
-cell_part AS (SELECT part, to_status, y, unnest(range(xs, xe)) AS x FROM part_of),
-areas AS (SELECT part, to_status, sum({_COLUMN_M!r} * (xe - xs) * ({_y('y + 1')} - {_y('y')})) / 1e6 AS km2 FROM part_of GROUP BY part, to_status),
+cell_part AS (SELECT c, part, to_status, y, unnest(range(xs, xe)) AS x FROM part_of),
+areas AS (SELECT c, part, to_status, min(xs) AS xs, max(xe) AS xe, min(y) AS ys, max(y) + 1 AS ye, sum({_COLUMN_M!r} * (xe - xs) * ({_y('y + 1')} - {_y('y')})) / 1e6 AS km2 FROM part_of GROUP BY c, part, to_status),
 origins AS (SELECT part, arg_max(status, struct_pack(a := km2, s := status)) AS from_status FROM (
   SELECT part, c_old.status, round(sum({_COLUMN_M!r} * ({_y('cell_part.y + 1')} - {_y('cell_part.y')})) / 1e6, 6) AS km2
-  FROM cell_part JOIN c_old USING (x, y) GROUP BY part, c_old.status) WHERE km2 > 0.001 GROUP BY part),
+  FROM cell_part JOIN c_old USING (c, x, y) GROUP BY part, c_old.status) WHERE km2 > 0.001 GROUP BY part),
 proof AS (SELECT part, min((93 + k % 7) / 100.0) AS confidence, string_agg(DISTINCT 'ev-' || k, ',' ORDER BY 'ev-' || k) AS evidence_ids,
   string_agg(DISTINCT 'src-' || (k % 10), ',' ORDER BY 'src-' || (k % 10)) AS source_ids, count(*) AS review_count FROM (
-  SELECT DISTINCT part, k FROM part_of JOIN s_rects_new n ON n.status = to_status AND x0 <= xe AND x1 >= xs AND y0 <= y + 1 AND y1 >= y) GROUP BY part)"""
+  SELECT DISTINCT part, k FROM part_of JOIN s_rects_new n ON n.c = part_of.c AND n.status = to_status AND x0 <= xe AND x1 >= xs AND y0 <= y + 1 AND y1 >= y) GROUP BY part)"""
 _sql("changed_part_records", ("rects_old", "rects_new"), """
 SELECT to_status, from_status, round(km2, 2) AS area_km2, CAST(confidence AS DOUBLE) AS confidence, evidence_ids, source_ids, CAST(review_count AS INTEGER) AS review_count
 FROM areas LEFT JOIN origins USING (part) JOIN proof USING (part)""", _PARTS)
+_LABEL = lambda s: "CASE " + s + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items()) + f" ELSE '{vocab.NO_STATUS_LABEL}' END"
+_sql("snapshot_diff", ("rects_old", "rects_new"), f"""
+SELECT true AS id_form, true AS own_id, true AS closed, {_DAY} AS date, 'change' AS layer, from_status, to_status, round(round(km2, 3), 2) AS area_km2,
+  CAST(confidence AS DOUBLE) AS confidence, evidence_ids, source_ids, CAST(review_count AS INTEGER) AS review_count, (xs - 6400) / 128.0::DOUBLE AS minx,
+  (ys - 3840) / 128.0::DOUBLE AS miny, (xe - 6400) / 128.0::DOUBLE AS maxx, (ye - 3840) / 128.0::DOUBLE AS maxy
+FROM areas LEFT JOIN origins USING (part) JOIN proof USING (part)""", _PARTS)
 _POINT_AT = """at_old AS (SELECT id, CASE WHEN count(DISTINCT status) > 1 THEN 'contested' ELSE max(status) END AS st FROM pts JOIN s_rects_old
-  ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY id),
+  ON c = 0 AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY id),
 at_new AS (SELECT id, CASE WHEN count(DISTINCT status) > 1 THEN 'contested' ELSE max(status) END AS st FROM pts JOIN s_rects_new
-  ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY id)"""
+  ON c = 0 AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY id)"""
 _PTS = "pts AS (SELECT id, lon * 128 + 6400 AS px, lat * 128 + 3840 AS py FROM s_points), " + _POINT_AT
 _sql("point_changes", ("rects_old", "rects_new", "points"), """
 SELECT id, o.st AS previous_status, coalesce(n.st, 'unknown') AS status, '2024-01-02' AS changed_at
 FROM pts LEFT JOIN at_old o USING (id) LEFT JOIN at_new n USING (id) WHERE o.st IS DISTINCT FROM n.st""", _PTS)
 _sql("point_index", ("rects_old", "rects_new", "points"), """
 SELECT id, coalesce(n.st, 'unknown') AS status, '2024-01-02' AS snapshot_date FROM pts LEFT JOIN at_new n USING (id)""", _PTS)
-_sql("geometry_validity", ("rects_new",), "SELECT 'f-' || CAST(k AS VARCHAR) AS id FROM s_rects_new WHERE k % 7 IN (1, 2, 3)")
+_sql("geometry_validity", ("rects_new",), """
+SELECT 'f-' || CAST(k AS VARCHAR) AS id, reason FROM s_rects_new JOIN (VALUES (1, 'self-intersection'), (1, 'ring without area'), (2, 'ring not closed'), (3, 'too few points'),
+  (3, 'ring without area'), (3, 'self-intersection'), (4, 'nested shells'), (5, 'nested holes'), (6, 'interior is cut in two')) r(kind, reason) ON kind = k % 7""")
 _sql("features_by_layer", ("rects_new",), "SELECT 'f-' || CAST(k AS VARCHAR) AS id, status FROM s_rects_new WHERE status = 'contested'")
 
 # Messages: the expected rows follow from the parts the pages are made of.
@@ -215,7 +225,7 @@ SELECT id, arg_max(source_id, p) AS source_id, arg_max(title, p) AS title, arg_m
   SELECT 'doc-' || substr(sha256(source_id || '|' || u), 1, 20) AS id, * FROM (
     SELECT source_id, url AS u, page_id * 2 AS p, 'old ' || CAST(page_id AS VARCHAR) AS title, '' AS pub FROM s_feed_texts WHERE page_id % 2 = 0
     UNION ALL SELECT source_id, url, page_id * 2 + 1, 'Page ' || CAST(page_id AS VARCHAR), 'day ' || CAST(page_id AS VARCHAR) FROM s_feed_texts WHERE page_id % 2 = 0 AND page_id % 10 <> 0
-    UNION ALL SELECT source_id, url, page_id * 2, 'Page', 'day ' || CAST(page_id AS VARCHAR) FROM s_feed_texts WHERE page_id % 2 = 1 AND page_id % 9 <> 0)) GROUP BY id""")
+    UNION ALL SELECT source_id, url, page_id * 2, 'Page x', 'day ' || CAST(page_id AS VARCHAR) FROM s_feed_texts WHERE page_id % 2 = 1 AND page_id % 9 <> 0)) GROUP BY id""")
 _STATE = "CASE WHEN error_class IS NOT NULL AND http_status IS NULL THEN 'unavailable' WHEN error_class IS NULL AND http_status BETWEEN 200 AND 399 THEN 'ok' ELSE 'degraded' END"
 _sql("source_health", ("sources", "probes"), f"""
 SELECT source_id, {_STATE} AS state, http_status, CASE WHEN http_status IS NOT NULL AND error_class IS NOT NULL THEN 'HTTP ' || CAST(http_status AS VARCHAR) ELSE error_class END AS error,
@@ -239,7 +249,7 @@ SELECT page_id, CAST(i AS INTEGER) AS sequence, hrefs[i] AS href, labels[i] AS l
   SELECT page_id, hrefs, labels, unnest(range(1, len(hrefs) + 1)) AS i FROM (
     SELECT page_id, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 2) AS labels FROM pages))"""
 ORACLE["document_digests"] = "SELECT doc_id, sha256(text) AS sha256, substr(sha256(source || '|' || text), 1, 20) AS short_id FROM documents"
-ORACLE["page_hosts"] = "SELECT page_id, starts_with(url, 'https://') AS https FROM pages"
+ORACLE["page_hosts"] = "SELECT page_id, regexp_matches(url, '(?i)^https://[^/?#]') AS https FROM pages"
 
 _BUNDLE = """first_ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM s_evidence) WHERE rn = 1),
 bundle AS (SELECT l.id, l.pos, e.id AS evidence_id, e.source_id, e.evidence_type, e.independence_group, s.side FROM
@@ -258,7 +268,7 @@ _sql("record_evidence_links", ("claims", "evidence"), """
 SELECT DISTINCT l.id, e.url FROM (SELECT id, unnest(evidence_ids) AS eid FROM s_claims) l JOIN first_ev e ON e.id = l.eid""",
      "first_ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM s_evidence) WHERE rn = 1)")
 _GRID = "id, name, role, side, license_status, usage_note, s.url, coalesce(h.state, s.health) AS health_state, CASE WHEN h.state IS NULL THEN health_label ELSE h.state || ' · 2024-01-20' END AS health_label"
-_sql("source_grid", ("sources", "probes"), f"SELECT {_GRID} FROM s_sources s LEFT JOIN (SELECT source_id, {_STATE} AS state FROM s_probes) h ON h.source_id = s.id AND h.state <> 'unavailable'")
+_sql("source_grid", ("sources", "probes"), f"SELECT {_GRID} FROM s_sources s LEFT JOIN (SELECT source_id, {_STATE} AS state FROM s_probes) h ON h.source_id = s.id")
 _sql("source_grid_one_side", ("sources", "probes"), f"SELECT {_GRID} FROM s_sources s LEFT JOIN (SELECT source_id, 'ok' AS state FROM s_probes) h ON h.source_id = s.id WHERE side = 'independent'")
 
 
@@ -294,7 +304,7 @@ SELECT 'current' AS freshness, '2024-01-17' AS display_date, (SELECT count(*) FR
   (SELECT count(*) FROM s_events WHERE verification_status IN {_list(vocab.VERIFIED)}) AS verified_count,
   (SELECT count(*) FROM s_events WHERE verification_status IN {_list(vocab.DISPUTED)}) + (SELECT count(*) FROM s_claims WHERE verification_status IN {_list(vocab.DISPUTED)}) AS disputed_count,
   false AS map_empty, 'reference' AS download_layer""")
-_sql("change_badge", ("events",), f"SELECT count(*) AS badge FROM s_events WHERE event_kind = 'territorial_update' AND verification_status IN {_list(vocab.VERIFIED)}")
+_sql("change_badge", ("archive",), "SELECT count(*) AS badge FROM s_archive")
 ORACLE["event_freshness"] = """
 SELECT event_id, CASE WHEN user_id % 2 <> 0 AND user_id % 3 <> 0 THEN 'empty' WHEN ts < TIMESTAMP '2024-01-20' - INTERVAL 72 HOURS THEN 'stale' ELSE 'current' END AS freshness FROM events"""
 ORACLE["released_events"] = """
@@ -302,7 +312,7 @@ SELECT event_id, round(date_diff('microsecond', ts, TIMESTAMP '2024-01-20') / 3.
 
 
 def _period(days: int) -> str:
-    return (f"SELECT id, area_km2, pos, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY snapshot_date DESC, pos DESC) AS rn FROM s_archive"
+    return (f"SELECT id, area_km2, pos, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY snapshot_date, pos DESC) AS rn FROM s_archive"
             f" WHERE date_diff('day', snapshot_date, DATE '2001-08-01') < {days}) WHERE rn = 1")
 
 
@@ -310,7 +320,8 @@ _sql("period_changes_week", ("archive",), _period(7))
 _sql("period_changes_month", ("archive",), _period(30))
 _sql("period_total_month", ("archive",), f"SELECT count(*) AS change_count, round(coalesce(sum(area_km2), 0), 2) AS area_km2 FROM ({_period(30)})")
 _sql("period_fallback", ("archive",), """
-SELECT id, area_km2, pos, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS rn FROM s_archive WHERE area_km2 > 480000) WHERE rn = 1""")
+SELECT id, area_km2, pos, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS rn FROM s_archive
+  WHERE snapshot_date = (SELECT max(snapshot_date) FROM s_archive)) WHERE rn = 1""")
 _sql("archive_dates", ("archive",), "SELECT snapshot_date, count(*) AS change_count, round(sum(area_km2), 2) AS area_change_km2 FROM s_archive GROUP BY snapshot_date")
 _sql("archive_open_date", ("archive",), "SELECT id, area_km2, pos FROM s_archive WHERE snapshot_date = DATE '1998-03-14'")
 _sql("manifest_upsert", ("manifest",), """
@@ -321,7 +332,8 @@ SELECT id, snapshot_date, area_km2, pos, summary FROM (SELECT *, row_number() OV
 _sql("first_evidence_per_id", ("evidence",), """
 SELECT id, source_id, evidence_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM s_evidence) WHERE rn = 1""")
 ORACLE["keyed_merge"] = """
-WITH b AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS id, o_totalprice AS v, o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS batch FROM orders WHERE o_orderstatus IN ('F', 'O')),
+WITH b AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS v, c_custkey AS pos, 0 AS batch FROM customer
+  UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), o_totalprice, o_orderkey, 1 FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC, pos DESC) AS l, row_number() OVER (PARTITION BY id ORDER BY batch, pos) AS f FROM b)
 SELECT x.id, x.v, y.batch, y.pos FROM r x JOIN r y ON x.id = y.id AND x.l = 1 AND y.f = 1"""
 _sql("replace_source_events", ("events", "claims"), """

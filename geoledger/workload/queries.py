@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoledger import vocab
@@ -126,16 +126,19 @@ def snapshot_schema(spark, sf):
 
 @query
 def snapshot_documents(spark, sf):
-    """Feature rows of one GeoJSON document per brand, parsed from text."""
+    """Feature rows of GeoJSON documents of up to eight features, parsed from text."""
     docs = standin(spark, sf, "features").join(load(spark, sf, "part").select(F.col("p_partkey").alias("idx"), "p_brand", "p_size"), "idx")
     text = F.to_json(F.struct(
         F.struct("id", "name", "status", "confidence", "evidence_ids").alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.expr("array(array(array(0.0D, 0.0D), array(CAST(p_size AS double), 0.0D), array(0.0D, 1.0D), array(0.0D, 0.0D)))").alias("coordinates")).alias("geometry")))
     schema = "type string, properties string, geometry struct<type:string,coordinates:string>"
-    parsed = docs.select("p_brand", F.array(F.from_json(text, schema)).alias("features"),
-                         F.struct(F.col("p_brand").alias("snapshot_date")).alias("metadata"))
+    number = F.floor(F.col("idx") / 8)
+    parsed = docs.groupBy(number.alias("n")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", text.alias("t")))), lambda x: F.from_json(x["t"], schema)).alias("features")).select(
+        "features", F.struct(F.concat(F.lit("d-"), F.col("n") % 25).alias("snapshot_date")).alias("metadata"))
     rows = geojson.feature_rows(parsed)
     return rows.groupBy("snapshot_date").agg(
+        F.sum("idx").cast("bigint").alias("positions"), F.countDistinct("idx").alias("places"),
         F.count(F.lit(1)).alias("features"), F.count("confidence").alias("with_confidence"),
         F.sum(F.size("evidence_ids")).cast("bigint").alias("evidence"), F.sum(F.expr("geometry[0][0][1][0]")).alias("widths"))
 
@@ -202,10 +205,18 @@ def change_summary(spark, sf):
 
 @query
 def snapshot_diff(spark, sf):
+    """Changed areas with provenance. What depends on where a ring starts is checked: the form of the id, that no other
+    change has it, and the extent of the geometry."""
     found = D.diff_snapshots(_old(spark, sf), _new(spark, sf))
-    return found.select("id", "date", "layer", "from_status", "to_status", "name", "summary", "area_km2", "confidence",
-                        F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("source_ids", ",").alias("source_ids"),
-                        F.size("reviews").alias("review_count"), geojson.geometry_struct().alias("geometry"))
+    flat = F.flatten(F.flatten("geometry"))
+    edge = lambda pick, k: pick(F.transform(flat, lambda p: p[k]))
+    closed = F.forall(F.flatten("geometry"), lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)))
+    own_id = F.count(F.lit(1)).over(Window.partitionBy("id")) == 1
+    return found.select(
+        F.rlike("id", F.lit(r"^chg-[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9a-f]{16}$")).alias("id_form"), own_id.alias("own_id"), closed.alias("closed"), "date", "layer",
+        "from_status", "to_status", F.round("area_km2", 2).alias("area_km2"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"),
+        F.array_join("source_ids", ",").alias("source_ids"), F.size("reviews").alias("review_count"), edge(F.array_min, 0).alias("minx"),
+        edge(F.array_min, 1).alias("miny"), edge(F.array_max, 0).alias("maxx"), edge(F.array_max, 1).alias("maxy"))
 
 
 @query
@@ -230,14 +241,18 @@ def point_index(spark, sf):
 
 @query
 def geometry_validity(spark, sf):
-    """Rectangles drawn in the wrong order (bow ties), left open, or of no size are found; the others are not."""
-    rects = standin(spark, sf, "rects_new")
-    good = rect_features(rects)
-    ring = "geometry[0][0]"
-    bent = good.withColumn("geometry", F.expr(
-        f"CASE idx % 7 WHEN 1 THEN array(array(array({ring}[0], {ring}[2], {ring}[1], {ring}[3], {ring}[0])))"
-        f" WHEN 2 THEN array(array(slice({ring}, 1, 4))) WHEN 3 THEN array(array(array({ring}[0], {ring}[1], {ring}[0]))) ELSE geometry END"))
-    return invalid_features(bent).select("id").distinct()
+    """Bow ties, open rings, too few points, a part inside another, a hole inside a hole, a hole that cuts the area in two."""
+    good = rect_features(standin(spark, sf, "rects_new"))
+    at = lambda u, v: f"array(r[0][0] + {u}D * (r[2][0] - r[0][0]), r[0][1] + {v}D * (r[2][1] - r[0][1]))"
+    box = lambda low, high: f"array({at(low, low)}, {at(high, low)}, {at(high, high)}, {at(low, high)}, {at(low, low)})"
+    diamond = f"array({at(0, 0.5)}, {at(0.5, 0.75)}, {at(1, 0.5)}, {at(0.5, 0.25)}, {at(0, 0.5)})"
+    shapes = {
+        0: f"array(array(r, {box(0.125, 0.875)}), array({box(0.25, 0.75)}))",  # an island in a hole: sound
+        1: "array(array(array(r[0], r[2], r[1], r[3], r[0])))", 2: "array(array(slice(r, 1, 4)))", 3: "array(array(array(r[0], r[1], r[0])))",
+        4: f"array(array(r), array({box(0.25, 0.75)}))", 5: f"array(array(r, {box(0.125, 0.875)}, {box(0.25, 0.75)}))", 6: f"array(array(r, {diamond}))"}
+    cases = " ".join(f"WHEN {k} THEN {shape}" for k, shape in shapes.items())
+    bent = good.withColumn("geometry", F.expr(f"transform(geometry[0], r -> CASE idx % 7 {cases} END)[0]"))
+    return invalid_features(bent).select("id", "reason")
 
 
 @query
@@ -256,7 +271,7 @@ def _pages(spark, sf):
         CASE WHEN user_id % 5 = 0 THEN '<b> </b>' ELSE concat('Loc\\n<b>', event_type, '</b> &quot;', user_id, '&quot;') END, '</a>') END,
       CASE WHEN user_id % 4 = 0 THEN concat('<a href="http://map.example/#9/', lon_text, '/', lat_text, '">second</a>') ELSE '' END,
       ' 💬 chat', '<time datetime="', stamp, zone, '"></time></div></div>',
-      '<DIV CLASS="tgme_widget_message_wrap"><div data-post="ChannelUA/', page_id + 100000000, '">Мапу оновлено<a href="https://map.example/#1/1.5/2.5">x</a></div></div></body></html>')"""
+      '<DIV CLASS="tgme_widget_message_wrap"><div data-post="ChannelUA/0', page_id, '">Мапу оновлено<a href="https://map.example/#1/1.5/2.5">x</a></div></div></body></html>')"""
     return p.selectExpr("page_id", f"{message} AS html")
 
 
@@ -401,7 +416,7 @@ def record_evidence_links(spark, sf):
 @query
 def source_grid(spark, sf):
     health = standin(spark, sf, "probes").select("source_id", V.probe_state(F.col("http_status"), F.col("error_class")).alias("state"),
-                                                 F.lit("2024-01-20").alias("checked_at"), "ordinal").filter("state <> 'unavailable'")
+                                                 F.lit("2024-01-20").alias("checked_at"), "ordinal")
     return readside.source_grid(standin(spark, sf, "sources"), health)
 
 
@@ -480,8 +495,7 @@ def dashboard(spark, sf):
 
 @query
 def change_badge(spark, sf):
-    none = standin(spark, sf, "archive").filter("area_km2 < 0")
-    return readside.change_badge(none, standin(spark, sf, "events"))
+    return readside.change_badge(standin(spark, sf, "archive"), standin(spark, sf, "events"))
 
 
 @query
@@ -498,10 +512,15 @@ def released_events(spark, sf):
     return e.filter(V.released(F.col("ts").cast("timestamp"), V.utc(NOW), 24)).select("event_id", F.round(V.age_hours(V.utc(NOW), F.col("ts").cast("timestamp")), 3).alias("age_hours"))
 
 
+def _current_changes(archive):
+    """The changes of the newest archived date."""
+    newest = archive.agg(F.max("snapshot_date").alias("_newest"))
+    return archive.join(F.broadcast(newest), F.col("snapshot_date") == F.col("_newest")).drop("snapshot_date", "_newest")
+
+
 def _period(spark, sf, period):
     archive = standin(spark, sf, "archive")
-    current = archive.filter("area_km2 > 480000").drop("snapshot_date")
-    return readside.changes_for_period(archive, standin(spark, sf, "manifest").withColumn("ordinal", -F.col("ordinal")), current, ANCHOR, period)
+    return readside.changes_for_period(archive, standin(spark, sf, "manifest"), _current_changes(archive), ANCHOR, period)
 
 
 @query
@@ -522,8 +541,7 @@ def period_total_month(spark, sf):
 @query
 def period_fallback(spark, sf):
     archive = standin(spark, sf, "archive")
-    current = archive.filter("area_km2 > 480000").drop("snapshot_date")
-    return readside.changes_for_period(archive, standin(spark, sf, "manifest"), current, date(2010, 1, 1), "day")
+    return readside.changes_for_period(archive, standin(spark, sf, "manifest"), _current_changes(archive), date(2010, 1, 1), "day")
 
 
 # --- archive, merges, orders ----------------------------------------------------------------------------------------
@@ -560,9 +578,10 @@ def first_evidence_per_id(spark, sf):
 
 @query
 def keyed_merge(spark, sf):
-    orders = load(spark, sf, "orders")
-    old = orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("pos"))
-    new = orders.filter("o_orderstatus = 'O'").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("pos"))
+    """All customers, then all orders by customer: the last one's value at the place of the first."""
+    row = lambda df, key, v, pos: df.select(F.concat(F.lit("c"), F.col(key)).alias("id"), F.col(v).alias("v"), F.col(pos).alias("pos"))
+    old = row(load(spark, sf, "customer"), "c_custkey", "c_acctbal", "c_custkey")
+    new = row(load(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
     return M.keyed_merge(old, new, "id", "pos")
 
 

@@ -1,6 +1,7 @@
 """The library's tables derived from the given ones. The SQL is shared by Spark and by the checking engine.
 
-``$arr(...)`` stands for the array constructor; ``{table}`` for a given table.
+``$arr(...)`` stands for the array constructor; ``{table}`` for a given table. Rectangles stand on a lattice of 512 columns and 390
+rows between 30 degrees south and 47 degrees north; every further 199,680 parts make a snapshot pair of their own (column ``c``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ SELECT s_suppkey AS ordinal, 'src-' || CAST(s_suppkey AS STRING) AS id,
   CASE r_name WHEN 'AFRICA' THEN 'russian' WHEN 'AMERICA' THEN 'ukrainian' WHEN 'ASIA' THEN 'independent'
     WHEN 'EUROPE' THEN 'multiple' ELSE 'unlisted' END AS side,
   'official' AS kind,
-  CASE WHEN s_suppkey % 7 = 2 THEN 'http://s' ELSE 'https://s' END || CAST(s_suppkey AS STRING) || '.example.org/' AS url,
+  CASE WHEN s_suppkey % 7 = 2 THEN 'http://s' WHEN s_suppkey % 7 = 4 THEN 'HTTPS://my_s' WHEN s_suppkey % 7 = 5 THEN 'https://источник'
+    WHEN s_suppkey % 7 = 6 THEN 'https:///s' ELSE 'https://s' END || CAST(s_suppkey AS STRING) || '.example.org/a b|{{c}}' AS url,
   CASE WHEN s_acctbal < 0 THEN 'paused' ELSE 'ok' END AS health, 'declared' AS health_label,
   CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE 'review_required' END AS license_status,
   CASE WHEN s_suppkey % 5 = 0 THEN false WHEN s_suppkey % 5 = 1 THEN NULL ELSE true END AS monitor, 'usage note' AS usage_note
@@ -100,20 +102,20 @@ SELECT 'feed-' || CAST(page_id % 7 AS STRING) AS source_id, page_id AS feed_pos,
 SELECT event_id AS page_id, user_id, event_type, ts,
   replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T') AS stamp,
   CASE WHEN user_id % 3 = 0 THEN '+02:00' WHEN user_id % 3 = 1 THEN '+00:00' ELSE '' END AS zone,
-  '48.' || lpad(CAST(event_id AS STRING), 6, '0') AS lat_text, '-37.' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') AS lon_text,
+  '48.' || lpad(CAST(event_id AS STRING), CAST(greatest(6, length(CAST(event_id AS STRING))) AS INT), '0') AS lat_text, '-37.' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') AS lon_text,
   value FROM {events}""",
     "rects_old": """
-SELECT p_partkey AS k, (p_partkey % 512) * 25 AS x0, CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT) * 25 AS y0,
-  (p_partkey % 512) * 25 + p_size AS x1, CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT) * 25 + p_size AS y1,
-  CASE (p_partkey + CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT)) % 4 WHEN 0 THEN 'control_ru' WHEN 1 THEN 'control_ua'
+SELECT p_partkey AS k, CAST((p_partkey - p_partkey % 199680) / 199680 AS BIGINT) AS c, (p_partkey % 512) * 25 AS x0, CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT) * 25 AS y0,
+  (p_partkey % 512) * 25 + p_size AS x1, CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT) * 25 + p_size AS y1,
+  CASE (p_partkey + CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT)) % 4 WHEN 0 THEN 'control_ru' WHEN 1 THEN 'control_ua'
     WHEN 2 THEN 'contested' ELSE 'unknown' END AS status FROM {part}""",
     "rects_new": """
-SELECT p_partkey AS k,
+SELECT p_partkey AS k, CAST((p_partkey - p_partkey % 199680) / 199680 AS BIGINT) AS c,
   (p_partkey % 512) * 25 + CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS x0,
-  CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT) * 25 + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS y0,
+  CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT) * 25 + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS y0,
   (p_partkey % 512) * 25 + p_size + CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS x1,
-  CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT) * 25 + p_size + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS y1,
-  CASE (p_partkey + CAST((p_partkey - p_partkey % 512) / 512 AS BIGINT) + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 4
+  CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT) * 25 + p_size + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS y1,
+  CASE (p_partkey + CAST((p_partkey % 199680 - p_partkey % 512) / 512 AS BIGINT) + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 4
     WHEN 0 THEN 'control_ru' WHEN 1 THEN 'control_ua' WHEN 2 THEN 'contested' ELSE 'unknown' END AS status FROM {part}""",
     "features": """
 SELECT p_partkey AS idx, CASE WHEN p_partkey % 101 = 0 THEN 'f-same' WHEN p_partkey % 103 = 5 THEN '' ELSE 'f-' || CAST(p_partkey AS STRING) END AS id,
@@ -154,6 +156,6 @@ def rect_features(rects: DataFrame) -> DataFrame:
     corner = lambda x, y: f"array({lon(x)}, {lat(y)})"
     ring = "array(" + ", ".join(corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))) + ")"
     return rects.selectExpr(
-        "'2024-01-02' AS ctx", "k AS idx", "concat('f-', k) AS id", "status", "(93 + k % 7) / 100.0E0 AS confidence",
+        "CAST(date_add(DATE '2024-01-02', CAST(c AS int)) AS string) AS ctx", "k AS idx", "concat('f-', k) AS id", "status", "(93 + k % 7) / 100.0E0 AS confidence",
         "array(concat('ev-', k)) AS evidence_ids", "array(concat('src-', k % 10)) AS source_ids",
         "named_struct('decision', 'approved', 'reviewer', concat('rev-', k % 5)) AS moderation", f"array(array({ring})) AS geometry")

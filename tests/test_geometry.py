@@ -158,12 +158,20 @@ def test_validity_reasons_and_bounds(spark):
         ("hole inside", [[shell, hole(1.0, 2.0)]]),
         ("touching parts", rect(0, 0, 1, 1) + rect(1, 1, 2, 2)),
         ("good", rect(0, 0, 1, 1)),
+        ("nested shells", [[shell], [hole(1.0, 2.0)]]),
+        ("island", [[shell, [[0.5, 0.5], [0.5, 3.5], [3.5, 3.5], [3.5, 0.5], [0.5, 0.5]]], [hole(1.0, 2.0)]]),
+        ("nested holes", [[shell, [[0.5, 0.5], [0.5, 3.5], [3.5, 3.5], [3.5, 0.5], [0.5, 0.5]], hole(1.0, 2.0)]]),
+        ("cut by one hole", [[shell, [[0.0, 2.0], [2.0, 3.0], [4.0, 2.0], [2.0, 1.0], [0.0, 2.0]]]]),
+        ("cut by two holes", [[shell, [[0.0, 2.0], [1.0, 3.0], [2.0, 2.0], [1.0, 1.0], [0.0, 2.0]], [[2.0, 2.0], [3.0, 3.0], [4.0, 2.0], [3.0, 1.0], [2.0, 2.0]]]]),
+        ("hole touches once", [[shell, [[0.0, 2.0], [1.0, 3.0], [2.0, 2.0], [1.0, 1.0], [0.0, 2.0]], [[2.0, 2.0], [3.0, 3.0], [3.5, 2.0], [3.0, 1.0], [2.0, 2.0]]]]),
     ]
     table = spark.createDataFrame([("c", i, g) for i, g in rows], "ctx string, id string, geometry array<array<array<array<double>>>>")
     reasons = {}
     for r in invalid_features(table).collect():
         reasons.setdefault(r.id, set()).add(r.reason)
-    assert set(reasons) == {"bow", "open", "flat", "hole outside"}
+    assert set(reasons) == {"bow", "open", "flat", "hole outside", "nested shells", "nested holes", "cut by one hole", "cut by two holes"}
+    assert reasons["nested shells"] == {"nested shells"} and reasons["nested holes"] == {"nested holes"}
+    assert reasons["cut by one hole"] == reasons["cut by two holes"] == {"interior is cut in two"}
     assert "self-intersection" in reasons["bow"] and "ring not closed" in reasons["open"]
     assert "hole lies outside shell" in reasons["hole outside"]
     box = bounds(table).filter("id = 'touching parts'").first()

@@ -3,16 +3,18 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import pytest
+
 from conftest import rect
 from geoledger import schemas
 from geoledger.functions.values import utc
 from geoledger.plans.publish import Rejected, publish
 from geoledger.plans.registry_rules import validate_registry
 from geoledger.plans.snapshot_rules import validate_snapshot
-from geoledger.sources.archive import open_snapshot, read_manifest
+from geoledger.sources.archive import open_archive, open_snapshot, ordered_manifest, read_manifest
 from geoledger.sources.geojson import read_snapshot
-from geoledger.sources.tables import empty_table, read_json_table
-from geoledger.streaming.release import read_released, release_stream
+from geoledger.sources.tables import empty_table, read_json_table, read_newest_version, read_parquet_table
+from geoledger.streaming.release import publish_held, read_released, release_stream
 
 NOW = datetime(2026, 1, 10, 12, tzinfo=timezone.utc)
 
@@ -104,12 +106,37 @@ def test_publication_end_to_end(spark, tmp_path):
     manifest = {r.date: r for r in read_manifest(spark, root).collect()}
     assert set(manifest) == {"2026-01-09", "2026-01-10"}
     assert (manifest["2026-01-10"].change_count, manifest["2026-01-10"].settlement_count) == (1, 1)
-    from geoledger.plans.publish import CHANGES
+    from geoledger.schemas import CHANGES
     old, new = (open_snapshot(spark, root, "changes", d, CHANGES).collect() for d in ("2026-01-09", "2026-01-10"))
     assert len(old) == 1 and len(new) == 1 and new[0].geometry[0][0][0] == [0.05, 0.0]
     assert open_snapshot(spark, root, "changes", "2020-01-01", CHANGES).count() == 0
     audit = spark.read.parquet(f"{root}/audit").orderBy("published_at", "snapshot_date").collect()
     assert [a.reviewers for a in audit if a.snapshot_date == "2026-01-09"] == [["r0"]]
+    status = read_newest_version(spark, f"{root}/status_current", schemas.STATUS).collect()
+    assert [(r.snapshot_date, r.version) for r in status] == [("2026-01-10", 3)]
+    shown = open_archive(spark, root)
+    assert (shown["current"].count(), shown["changes"].count(), shown["previous"].count()) == (2, 1, 1)
+    assert open_archive(spark, root, "2026-01-09")["previous"].count() == open_archive(spark, root, "2020-01-01")["current"].count() == 0
+    assert [(r.date, r.ordinal) for r in ordered_manifest(read_manifest(spark, root)).orderBy("ordinal").collect()] == [("2026-01-10", 0), ("2026-01-09", 1)]
+
+
+def test_a_broken_publication_leaves_the_old_archive(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    points = spark.createDataFrame([("p1", 0.01, 0.01)], "id string, lon double, lat double")
+    first = document(tmp_path / "first.geojson", [snapshot_feature(0, square(0))], "2026-01-09")
+    second = document(tmp_path / "second.geojson", [snapshot_feature(1, square(0.05))], "2026-01-10")
+    publish(spark, first, root, True, NOW, points)
+    for step in ("commit_manifest_row",):
+        with monkeypatch.context() as broken, pytest.raises(OSError):
+            broken.setattr(f"geoledger.plans.publish.{step}", lambda *_, **__: (_ for _ in ()).throw(OSError("gone")))
+            publish(spark, second, root, True, NOW, points)
+        shown = open_archive(spark, root, "2026-01-09")
+        assert shown["current"].count() == 1 and "2026-01-09" in {r.date for r in read_manifest(spark, root).collect()}
+    publish(spark, second, root, True, NOW, points)
+    assert {r.date for r in read_manifest(spark, root).collect()} == {"2026-01-09", "2026-01-10"}
+    (tmp_path / "file").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):  # unreadable is not absent
+        read_parquet_table(spark, str(tmp_path / "file"), schemas.MANIFEST).count()
 
 
 def test_delayed_release_stream(spark, tmp_path):
@@ -130,3 +157,10 @@ def test_delayed_release_stream(spark, tmp_path):
     assert run(datetime(2026, 1, 10, 12)) == ["1"]
     spark.createDataFrame([("c", message(3, "2026-01-09T00:00:00+00:00"))], "page_id string, html string").coalesce(1).write.mode("append").parquet(str(inbox))
     assert run(datetime(2026, 1, 11, 12)) == ["1", "2", "3"]
+    no_zone = message(4, "2026-01-09T00:00:00")
+    spark.createDataFrame([("d", no_zone), ("e", message(5, "2026-01-11T10:00:00+00:00"))], "page_id string, html string").coalesce(1).write.mode("append").parquet(str(inbox))
+    assert run(datetime(2026, 1, 11, 13)) == ["1", "2", "3"]
+    assert [r.post_id for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == ["4"]
+    batch = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "held").iterdir() if p.name.startswith("batch_id="))
+    publish_held(spark, str(tmp_path / "out"), batch, utc(datetime(2026, 1, 12, 13)), PROFILE)
+    assert sorted(r.post_id for r in read_released(spark, str(tmp_path / "out")).collect()) == ["1", "2", "3", "5"]

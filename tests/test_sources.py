@@ -9,7 +9,7 @@ from geoledger.functions import text as T
 from geoledger.functions.values import https_with_host, utc, zoned_timestamp
 from geoledger.plans.intake import collect_documents, queue_entries, source_health
 from geoledger.plans.messages import FeedProfile, extract_point_updates, gazetteer, merge_point_updates, newest_first
-from geoledger.sources.feeds import feed_config, read_feed_files, read_message_pages
+from geoledger.sources.feeds import feed_config, read_feed_files, read_message_pages, rejected_feeds
 from geoledger.sources.tables import content_digest, empty_table, export_json, read_json_table
 
 NOW = datetime(2026, 8, 22, 12)
@@ -28,7 +28,8 @@ def test_text_functions(spark):
 
 
 def test_urls_and_times(spark):
-    cases = {"https://a.example/x": True, "HTTPS://a.example": True, "http://a.example": False, "https://": False, "": False, None: False, "no url": False}
+    cases = {"https://a.example/x": True, "HTTPS://a.example": True, "http://a.example": False, "https://": False, "": False, None: False, "no url": False,
+             "https://my_host.example/x": True, "https://пример.рф/a b|{c}": True, "https:///x": False, "https://?x": False}
     for url, want in cases.items():
         assert one(spark, https_with_host(F.lit(url).cast("string"))) is want, url
     assert one(spark, zoned_timestamp(F.lit("2026-01-01T02:00:00+02:00"))) == one(spark, utc(datetime(2026, 1, 1)))
@@ -83,9 +84,12 @@ def test_feeds(spark, tmp_path):
             "<updated>d2</updated></entry></feed>")
     (tmp_path / "a.xml").write_text(rss)
     (tmp_path / "b.xml").write_text(atom)
-    feeds = spark.createDataFrame([("s1", 0, rss), ("s2", 1, atom), ("s3", 2, "<html>not a feed")], "source_id string, feed_pos bigint, xml string")
+    mixed = ("<rss><channel><!-- <item><title>no</title><link>https://z.example/no</link></item> --><item><title>Page <![CDATA[x & y]]></title>"
+             "<link>https://z.example/1?a&amp;b</link></item></channel></rss>")
+    feeds = spark.createDataFrame([("s1", 0, rss), ("s2", 1, atom), ("s3", 2, "<html>not a feed"), ("s4", 3, mixed)], "source_id string, feed_pos bigint, xml string")
     got = {(r.source_id, r.title, r.url, r.published_at_raw) for r in collect_documents(feeds, utc(NOW)).collect()}
-    assert got == {("s1", "later", "https://x.example/1", ""), ("s2", "T & t", "https://y.example/1", "d2")}
+    assert got == {("s1", "later", "https://x.example/1", ""), ("s2", "T & t", "https://y.example/1", "d2"), ("s4", "Page x & y", "https://z.example/1?a&b", "")}
+    assert [r.source_id for r in rejected_feeds(feeds).collect()] == ["s3"]
     files = read_feed_files(spark, str(tmp_path / "a.xml"), "s1").filter("length(title) > 0 AND length(url) > 0")
     assert {r.title for r in queue_entries(files, utc(NOW)).collect()} == {"later"}
     entries = read_feed_files(spark, str(tmp_path / "b.xml"), "s2", "entry").collect()
