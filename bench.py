@@ -28,6 +28,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    QUERIES["search_points"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # not timed: starts the engine
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -7,11 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from geoledger.workload.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-GEOMETRY = {"dissolved_area_by_status", "feature_overlaps", "cross_snapshot_overlap", "gained_area_by_status", "change_area_by_transition",
-            "change_summary", "snapshot_diff", "geometry_validity"}
-NAMES = sorted(set(entry.oracle_sql()) - GEOMETRY)
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
