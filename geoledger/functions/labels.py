@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geoledger import vocab
+
 
 def labelled(code: Column, labels: dict[str, str], missing: str | None = None) -> Column:
     """Label of a code; unknown codes pass through, NULL becomes ``missing``."""
@@ -26,3 +28,8 @@ def localised_name(language: str, fallback: str = "Без названия") ->
 def localised_text(field: str, language: str) -> Column:
     """``title_<lang>`` or ``summary_<lang>`` with the plain column as fallback."""
     return first_filled(F.col(f"{field}_{language}"), F.col(field))
+
+
+def event_status_label(status: Column, language: str = "ru", labels: dict[str, dict[str, str]] = vocab.EVENT_STATUS_LABELS) -> Column:
+    """The label of a verification status in a language; a status without one is shown as it is."""
+    return labelled(status, labels.get(language, {}))

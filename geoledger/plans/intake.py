@@ -23,6 +23,11 @@ def queue_entries(entries: DataFrame, fetched_at: Column) -> DataFrame:
     return pick(documents, ["id"], F.struct("feed_pos", "entry_pos"), last=True).drop("feed_pos", "entry_pos")
 
 
+def in_publishing_order(documents: DataFrame) -> DataFrame:
+    """The review queue sorted by id."""
+    return documents.orderBy("id")
+
+
 def monitored(sources: DataFrame) -> DataFrame:
     return sources.filter(F.coalesce("monitor", F.lit(True)))
 

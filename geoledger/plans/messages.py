@@ -208,6 +208,15 @@ def event_order() -> list[Column]:
     return [F.desc(F.coalesce("published_at", "event_date", F.lit(""))), F.desc("id")]
 
 
+def in_publishing_order(tables: MergedTables) -> MergedTables:
+    """The tables as they are published: events and evidence newest first, points by name. Sorted writing keeps the order
+    over the files of a table."""
+    return MergedTables(
+        events=tables.events.orderBy(*event_order()),
+        evidence=tables.evidence.orderBy(F.desc(F.coalesce("published_at", F.lit(""))), F.desc("id")),
+        points=tables.points.orderBy(F.coalesce("name", F.lit("")), "id"), status=tables.status)
+
+
 def point_feed_status(events: DataFrame, status: DataFrame, now: Column) -> DataFrame:
     """Status record with the point-feed block renewed; all other keys stay."""
     is_point = ((F.col("event_kind") == vocab.POINT_EVENT_KIND) & F.col("location.lat").isNotNull() & F.col("location.lon").isNotNull())

@@ -45,9 +45,11 @@ def geometry_struct(geometry: str = "geometry"):
 
 
 def as_features(df: DataFrame, properties: list[str], geometry_json) -> DataFrame:
-    """One GeoJSON feature text per row; absent properties are left out."""
+    """One GeoJSON feature text per row, with the row's id as the feature's; absent properties are left out."""
     props = F.to_json(F.struct(*properties))
-    text = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geometry_json, F.lit("}"))
+    own_id = F.regexp_replace(F.to_json(F.struct("id")), r"^\{|\}$", "") if "id" in df.columns else F.lit("")
+    own_id = F.when(own_id != "", F.concat(own_id, F.lit(","))).otherwise("")
+    text = F.concat(F.lit('{"type":"Feature",'), own_id, F.lit('"properties":'), props, F.lit(',"geometry":'), geometry_json, F.lit("}"))
     return df.select(text.alias("value"))
 
 
@@ -56,6 +58,36 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").text(path)
 
 
+CHANGE_PROPERTIES = ["id", "date", "layer", "from_status", "to_status", "status", "name", "summary", "area_km2", "confidence",
+                     "evidence_ids", "source_ids", "reviews"]
+
+
+def change_features(changes: DataFrame) -> DataFrame:
+    """Changed areas as feature texts."""
+    return as_features(changes, CHANGE_PROPERTIES, geometry_struct())
+
+
+def collection_head(summary: DataFrame) -> DataFrame:
+    """The metadata text of a change collection from a row of ``change_summary``."""
+    names = ["from", "to", "area_change_km2", "by_status_km2", "feature_count"]
+    return summary.select(F.concat(F.lit('{"type":"FeatureCollection","metadata":'), F.to_json(F.struct(*names)), F.lit("}")).alias("value"))
+
+
+def write_changes(changes: DataFrame, summary: DataFrame, path: str) -> None:
+    """A change collection that is read and written in parallel: ``features`` one a line, ``head`` with the metadata."""
+    write_features(change_features(changes), f"{path}/features")
+    write_features(collection_head(summary), f"{path}/head")
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Line-delimited features as ``feature_rows`` gives them, without limits on a file's size; ``idx`` follows the files."""
+    lines = spark.read.text(path).select(F.from_json("value", "struct<properties:string,geometry:struct<type:string,coordinates:string>>").alias("f"))
+    typed = lines.select(
+        F.monotonically_increasing_id().alias("idx"), F.col("f.properties").alias("properties_text"), F.col("f.geometry.type").alias("geometry_type"),
+        F.col("f.geometry.coordinates").alias("coordinates"), F.from_json("f.properties", schemas.FEATURE_PROPERTIES).alias("p"))
+    return typed.select("idx", "properties_text", "geometry_type", "coordinates", "p.*").withColumn("geometry", to_multipolygon())
+
+
 def point_features(events: DataFrame, kind: str) -> DataFrame:
     """Point features of located events of one kind."""
     located = events.filter(

@@ -30,6 +30,7 @@ DELAY_HOURS = 24
 STALE_HOURS = 72
 PERIOD_DAYS = {"day": 1, "week": 7, "month": 30}
 
+# Texts of published records and labels.
 CHANGE_NAME = "Изменение территориального статуса"
 STATUS_LABELS = {
     "control_ru": "контроль российских сил",
@@ -37,6 +38,11 @@ STATUS_LABELS = {
     "contested": "оспариваемая зона",
     "unknown": "неопределённый статус",
 }
+EVENT_STATUS_LABELS = {
+    "ru": {"confirmed": "Подтверждено", "probable": "Оценка одного OSINT-источника", "corrected": "Уточнено"},
+    "uk": {"confirmed": "Підтверджено", "probable": "Оцінка одного OSINT-джерела", "corrected": "Уточнено"},
+    "en": {"confirmed": "Confirmed", "probable": "Single-source OSINT assessment", "corrected": "Corrected"},
+}
 NO_STATUS_LABEL = "без опубликованного статуса"
 PUBLICATION_WARNING = (
     "Аналитическая оценка по открытым источникам. Не используйте для решений, связанных с безопасностью."

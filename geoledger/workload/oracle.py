@@ -218,7 +218,7 @@ SELECT 'point_updates_live' AS state, arg_max(d, k) AS point_feed_date, count(*)
   SELECT event_date AS d, struct_pack(t := coalesce(published_at, event_date), id := id) AS k, lat IS NOT NULL AS located, event_kind AS kind, coalesce(location_label, '?') AS label FROM s_events
   UNION ALL SELECT event_date, struct_pack(t := published_at, id := id), true, 'territorial_update', label FROM updates)""", _LINKS)
 _sql("update_point_features", ("events",), """
-SELECT '{"type":"Feature","properties":{"id":"' || id || '","verification_status":"' || verification_status || '"},"geometry":{"type":"Point","coordinates":['
+SELECT '{"type":"Feature","id":"' || id || '","properties":{"id":"' || id || '","verification_status":"' || verification_status || '"},"geometry":{"type":"Point","coordinates":['
   || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']}}' AS value FROM s_events WHERE event_kind = 'territorial_update' AND lat IS NOT NULL""")
 _sql("review_queue", ("feed_texts",), """
 SELECT id, arg_max(source_id, p) AS source_id, arg_max(title, p) AS title, arg_max(u, p) AS url, arg_max(pub, p) AS published_at_raw, 'unreviewed' AS review_status FROM (
@@ -348,3 +348,6 @@ _sql("latest_event", ("events",), "SELECT id, event_date FROM s_events ORDER BY
 _sql("location_labels", ("events",), "SELECT event_kind, count(DISTINCT coalesce(location_label, '?')) AS labels, count(*) AS updates FROM s_events GROUP BY event_kind")
 _sql("coordinate_lookup", ("events", "claims"), """
 SELECT e.id, p.title FROM s_events e LEFT JOIN (SELECT lat, lon, arg_min(title, ordinal) AS title FROM s_claims WHERE lat IS NOT NULL GROUP BY lat, lon) p ON p.lat = e.lat AND p.lon = e.lon""")
+_sql("event_status_labels", ("events",), "SELECT id, " + ", ".join(
+    "CASE verification_status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE verification_status END AS {language}"
+    for language, labels in vocab.EVENT_STATUS_LABELS.items()) + " FROM s_events")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoledger import vocab
 from geoledger.functions import text as T
 from geoledger.functions import values as V
-from geoledger.functions.labels import labelled, localised_name, localised_text
+from geoledger.functions.labels import event_status_label, labelled, localised_name, localised_text
 from geoledger.operators import merges as M
 from geoledger.operators.edges import boundary_area, edge_table, feature_area_km2
 from geoledger.operators.overlay import boundary_of, common_boundary, prepared
@@ -443,6 +443,12 @@ def place_names(spark, sf):
         labelled(F.col("status"), vocab.STATUS_LABELS, vocab.NO_STATUS_LABEL).alias("status_label"))
 
 
+@query
+def event_status_labels(spark, sf):
+    return standin(spark, sf, "events").select(
+        "id", *[event_status_label(F.col("verification_status"), language).alias(language) for language in ("ru", "uk", "en")])
+
+
 @query
 def event_titles(spark, sf):
     return standin(spark, sf, "events").select("id", localised_text("title", "uk").alias("title"))

@@ -117,3 +117,29 @@ def test_tables(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).columns == ["id", "source_id"]
     import hashlib
     assert content_digest(spark, str(path)).first().sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
+
+
+def test_ordered_and_exported_outputs(spark, tmp_path):
+    import json
+
+    from geoledger.plans.messages import MergedTables, in_publishing_order
+    from geoledger.sources.geojson import read_features, write_changes
+
+    events = spark.createDataFrame([("a", None, "2026-01-01"), ("b", "2026-01-03", None), ("c", "2026-01-03", None), ("d", None, None)],
+                                   "id string, published_at string, event_date string")
+    evidence = spark.createDataFrame([("x", None), ("y", "2026-01-01"), ("z", "2026-01-01")], "id string, published_at string")
+    points = spark.createDataFrame([("1", "Я"), ("2", None), ("3", "А")], "id string, name string")
+    sorted_tables = in_publishing_order(MergedTables(events, evidence, points, events))
+    ids = lambda df: [r.id for r in df.collect()]
+    assert (ids(sorted_tables.events), ids(sorted_tables.evidence), ids(sorted_tables.points)) == (["c", "b", "a", "d"], ["z", "y", "x"], ["2", "3", "1"])
+    changes = spark.sql("SELECT 'chg-\"1' AS id, '2026-01-02' AS date, 'change' AS layer, 'contested' AS status, 0.5D AS area_km2, CAST(NULL AS string) AS from_status,"
+                        " 'contested' AS to_status, 'n' AS name, 's' AS summary, 0.95D AS confidence, array('e') AS evidence_ids, array('s') AS source_ids,"
+                        " array('r') AS reviews, array(array(array(array(0D, 0D), array(1D, 0D), array(1D, 1D), array(0D, 0D)))) AS geometry")
+    summary = spark.sql("SELECT '2026-01-01' AS from, '2026-01-02' AS to, 0.5D AS area_change_km2, map('contested', 0.5D) AS by_status_km2, 1L AS feature_count")
+    write_changes(changes, summary, str(tmp_path / "changes"))
+    feature = json.loads(spark.read.text(str(tmp_path / "changes/features")).first().value)
+    assert feature["id"] == feature["properties"]["id"] == 'chg-"1' and feature["geometry"]["type"] == "Polygon"
+    head = json.loads(spark.read.text(str(tmp_path / "changes/head")).first().value)
+    assert head["metadata"] == {"from": "2026-01-01", "to": "2026-01-02", "area_change_km2": 0.5, "by_status_km2": {"contested": 0.5}, "feature_count": 1}
+    row = read_features(spark, str(tmp_path / "changes/features")).first()
+    assert (row.id, row.confidence, len(row.geometry[0][0])) == ('chg-"1', 0.95, 4)
