@@ -5,11 +5,12 @@ function a text keeps the two smallest labelled windows in the order in which th
 such an ordered pair are candidates, so texts with the same windows in another order rarely are. A candidate is a link if
 the edit distance of the word sequences, found by alignment in a band, is at most a fifth of the longer one.
 
-Skew: exact copies are reduced to one representative before anything else. In a bucket every text is compared with the
-bucket's smallest id only, those that are not linked to it then with the smallest of the rest, and so on for ``ROUNDS``
-rounds, so a bucket of any size makes pairs in proportion to its texts; what a bucket of dissimilar texts leaves open is
-found in the other buckets that similar texts share. Buckets meet their smallest id by a join that adaptive execution
-can split. Classes are the connected components of the links, found by jobs over tables of links.
+Skew: exact copies are reduced to one representative before anything else. All pairs of a bucket are tested: its members are
+dealt over blocks of about ``BLOCK`` (fewer where texts are long) and every two blocks form a group, so a bucket of any size is spread over many tasks and no
+task holds more than two blocks. A pair is tested only in the first of the buckets that it shares, which the keys tell without a
+shuffle. Lengths, word histograms and position-wise differences bound the distance and settle most pairs; the others are aligned.
+A batch of groups returns how many links each text has there and a spanning forest of them, so rows grow with texts and not with pairs;
+the work grows with the pairs of a bucket. Classes are the connected components of the links, found by jobs over tables of links.
 
 Defined results: a text with fewer than five words is one window; null and texts without words form classes of their own;
 rows that repeat a ``doc_id`` are told apart by their texts; a text whose smallest id is null has a null class and no links;
@@ -18,6 +19,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,10 @@ from geoledger.session import cut
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
-ROUNDS = 3
+BLOCK = 256
+BLOCK_WORDS = 1 << 20
+BINS = 256
+PAIRS = 512
 BROADCAST_IDS = 1_000_000
 
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -140,44 +145,176 @@ def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(chosen.mapInArrow(tidy(run), f"id {kind}, words binary").groupBy("id").agg(F.max("words").alias("words")))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``, ``linked`` for every pair."""
-    kind = pairs.schema["a"].dataType.simpleString()
+_GROUP = ("k", "key", "p", "q")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches that end where a group ends, and the borders of their groups; rows come sorted by group."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in _GROUP]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        held = batch.slice(starts[-1])
+        if starts[-1]:
+            yield batch.slice(0, starts[-1]), starts
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _untested(group: pa.RecordBatch, keys: np.ndarray, sizes: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group that share no earlier bucket and whose lengths allow a link; with two blocks only pairs across."""
+    n, (k, p, q) = len(keys), (group.column(c)[0].as_py() for c in ("k", "p", "q"))
+    split = n if p == q else int(np.searchsorted(group.column("side").to_numpy(), 1))
+    for low in range(0, split, 64):
+        mine = np.arange(low, min(low + 64, split))
+        others = np.arange(low + 1 if p == q else split, n)
+        long, short = np.maximum(sizes[mine, None], sizes[others]), np.minimum(sizes[mine, None], sizes[others])
+        fits = (long - short <= (share * long + 1e-9).astype(np.int64)) & (mine[:, None] < others)
+        for earlier in range(k):
+            fits &= keys[mine, None, earlier] != keys[others, earlier]
+        i, j = np.nonzero(fits)
+        yield mine[i], others[j]
+
+
+def _histograms(words: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.bincount(w % np.uint32(BINS), minlength=BINS) for w in words]).astype(np.int32)
+
+
+def _settled(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair whether it is surely linked, and whether it may be."""
+    sizes = np.array([len(w) for w in words])
+    limit = (share * np.maximum(sizes[i], sizes[j]) + 1e-9).astype(np.int64)
+    linked, possible = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
+    for low in range(0, len(i), PAIRS):
+        a, b = i[low:low + PAIRS], j[low:low + PAIRS]
+        common = np.minimum(bins[a], bins[b]).sum(axis=1)  # no pair has more words in common
+        possible[low:low + PAIRS] = np.maximum(sizes[a], sizes[b]) - common <= limit[low:low + PAIRS]
+    for at in np.flatnonzero(possible).tolist():
+        a, b = words[i[at]], words[j[at]]
+        n = min(len(a), len(b))
+        apart = abs(len(a) - len(b))
+        linked[at] = (np.count_nonzero(a[:n] != b[:n]) + apart <= limit[at]
+                      or apart > 0 and np.count_nonzero(a[len(a) - n:] != b[len(b) - n:]) + apart <= limit[at])
+    return linked, possible
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that connect what all ``pairs`` connect, without a circle."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = above[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def _groups_to_test(reps: DataFrame, share: float) -> DataFrame:
+    """Groups of at most two blocks of a bucket: ``k``, ``key``, ``p``, ``q``, ``side``, ``id``, ``n_words``, ``keys`` of the texts with
+    a pair to be tested there; written."""
+    kind = reps.schema["id"].dataType.simpleString()
+    members = reps.where("id is not null").select("id", "n_words", "keys", F.posexplode("keys").alias("k", "key"))
+    sizes = cut(members.groupBy("k", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("total")).where("n > 1"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int")
+    placed = (members.join(sizes, ["k", "key"]).withColumn("g", blocks).withColumn("mine", F.pmod(F.xxhash64("id", "n_words", "keys"), "g").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+              .select("k", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
+                      (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n_words", "keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                arrays = [[np.frombuffer(x, dtype=np.uint32) for x in part.column(c).to_pylist()] for c in ("wa", "wb")]
-                found = within(list(zip(*arrays)), 1 - similarity)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found)], names=["a", "b", "linked"])
-
-    met = (pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-           .join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a"))
-    return met.select("a", "b", "wa", "wb").mapInArrow(tidy(run), f"a {kind}, b {kind}, linked boolean")
-
-
-def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Representatives (``d1``, ``d2``, ``id``) of equal texts, and links ``a`` < ``b`` between representatives."""
-    reps = cut(sketches.where("n_words > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("r"))
-               .select("d1", "d2", F.col("r.doc_id").alias("id"), "r.keys"))
-    members = reps.select("id", F.posexplode("keys").alias("k", "key"))
-    links = tried = words = None
-    for _ in range(ROUNDS):
-        heads = cut(members.groupBy("k", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "key", "a"))
-        bucketed = cut(members.join(heads, ["k", "key"]).where("id > a").select("k", "key", "a", F.col("id").alias("b")))
-        pairs = bucketed.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        if bucketed.isEmpty():
-            break
-        if words is None:  # later rounds compare texts of this round only
-            words = _word_table(docs, cut(bucketed.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        checked = cut(_verified(pairs, words, similarity))
-        tried = checked if tried is None else cut(tried.unionByName(checked))
-        members = cut(bucketed.join(tried.where("not linked"), ["a", "b"], "left_semi").select(F.col("b").alias("id"), "k", "key"))
-    links = tried.where("linked").select("a", "b") if tried is not None else reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return reps.select("d1", "d2", "id"), links
+        for batch, borders in _whole_groups(batches):
+            keys, sizes = _numbers(batch.column("keys"), SKETCHES), batch.column("n_words").to_numpy()
+            wanted = np.zeros(batch.num_rows, dtype=bool)
+            for low, high in zip(borders, borders[1:] + [batch.num_rows] * (borders[-1] < batch.num_rows)):
+                if high - low > 1:
+                    for i, j in _untested(batch.slice(low, high - low), keys[low:high], sizes[low:high], share):
+                        wanted[low + i] = wanted[low + j] = True
+            if wanted.any():
+                yield batch.filter(pa.array(wanted))
+
+    dealt = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side")
+    return cut(dealt.mapInArrow(tidy(run), f"k int, key long, p int, q int, side int, id {kind}, n_words long, keys array<long>"))
+
+
+def _linked_groups(groups: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """``a``, ``b``, ``n``: the links of a spanning forest of each batch of groups (``n`` null), and for each text ``a`` its number of
+    links there (``b`` null); written."""
+    kind = groups.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, borders in _whole_groups(batches):
+            keys, sizes, ids = _numbers(batch.column("keys"), SKETCHES), batch.column("n_words").to_numpy(), batch.column("id")
+            texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
+            names = ids.to_pylist()
+            first: dict = {}
+            row = [first.setdefault(name, x) for x, name in enumerate(names)]  # one row stands for an id, in whatever groups it is
+            linked: list[tuple[int, int]] = []
+            forests: list[tuple[int, int]] = []
+            waiting: list[tuple[int, int]] = []
+
+            def align() -> None:
+                for at in range(0, len(waiting), PAIRS):
+                    part = waiting[at:at + PAIRS]
+                    linked.extend(x for x, yes in zip(part, within([(texts[a], texts[b]) for a, b in part], share)) if yes)
+                waiting.clear()
+
+            degree: Counter = Counter()
+
+            def settle() -> None:  # links so far are counted and reduced to a forest
+                align()
+                degree.update(row[x] for pair in linked for x in pair)
+                forests[:] = _forest(forests + [(row[a], row[b]) for a, b in linked])
+                linked.clear()
+
+            for low, high in zip(borders, borders[1:] + [batch.num_rows] * (borders[-1] < batch.num_rows)):
+                if high - low < 2:
+                    continue
+                bins = _histograms(texts[low:high])
+                for i, j in _untested(batch.slice(low, high - low), keys[low:high], sizes[low:high], share):
+                    sure, possible = _settled(texts[low:high], bins, i, j, share)
+                    for x, y, yes in zip((low + i[possible]).tolist(), (low + j[possible]).tolist(), sure[possible].tolist()):
+                        if names[x] != names[y]:
+                            (linked if yes else waiting).append((x, y))
+                    if len(waiting) + len(linked) >= 16 * PAIRS:
+                        settle()
+            settle()
+            if degree:
+                rows = list(degree)
+                one = pa.array([x for x, _ in forests] + rows, pa.int64())
+                two = pa.array([y for _, y in forests] + [None] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(one), ids.take(two), pa.array([None] * len(forests) + [degree[x] for x in rows], pa.int64())],
+                                                 names=["a", "b", "n"])
+
+    met = groups.join(words, "id").select(*_GROUP, "side", "id", "n_words", "keys", "words")
+    dealt = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side")
+    return cut(dealt.mapInArrow(tidy(run), f"a {kind}, b {kind}, n long"))
+
+
+def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Representatives (``d1``, ``d2``, ``id``) of equal texts, links ``a``, ``b`` that connect all linked representatives, and ``id``,
+    ``n_links`` over all pairs of representatives that share a key and are similar."""
+    reps = cut(sketches.where("n_words > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_words", "keys")).alias("r"))
+               .select("d1", "d2", F.col("r.doc_id").alias("id"), "r.n_words", "r.keys"))
+    groups = _groups_to_test(reps, 1 - similarity)
+    found = _linked_groups(groups, _word_table(docs, cut(groups.select("id").distinct())), 1 - similarity)
+    degree = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    return reps.select("d1", "d2", "id"), found.where("n is null").select("a", "b"), degree
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,9 +339,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest id of the class), ``n_links`` (links of its representative), per row of ``docs``."""
     sketches = sketch_table(docs)
-    reps, links = find_links(docs, sketches, similarity)
-    links = cut(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    reps, links, degree = find_links(docs, sketches, similarity)
     classes = cut(reps.join(components(links), "id", "left").join(degree, "id", "left")
                   .select("d1", "d2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     worded = sketches.where("n_words > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "class_id", "n_links")
