@@ -2,8 +2,8 @@
 
 Every position of every text is hashed under fixed masks that ignore some token positions, so a replaced word spoils only
 some of the seeds around it. Seeds of documents and benchmark items are joined; each hit fixes a shift between document and
-item, and along that shift the matching tokens are compared: the best stretch (a match counts 1, a difference -2) must hold
-13 equal tokens, or four fifths of a shorter item.
+item, and along that shift the matching tokens are compared: a stretch of positive score (a match counts 1, a difference -2) must
+hold 13 equal tokens, or four fifths of a shorter item. Of the stretches that do, the best-scoring one is reported.
 
 The seeds of documents stream through a broadcast of the item seeds while those number at most ``BROADCAST_SEEDS``; beyond,
 both sides are shuffled by seed. Likewise hits are broadcast to the documents they came from up to ``BROADCAST_HITS``.
@@ -75,15 +75,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                .select("doc_id", "item", "shift", "n_item", low.alias("low"),
                        F.expr("slice(h, greatest(0, shift) + 1, n_item - greatest(0, -shift))").alias("d"))
                .where("size(d) > 0").join(sized, "item").withColumn("t", F.expr("slice(t, low + 1, size(t))")))
-    # best stretch: m, x matches and differences of the stretch that ends here, from token b; the best so far in top
-    step = (f"named_struct('k', a.k + 1, 'm', if(a.m - {MISS} * a.x + v > 0, a.m + if(v > 0, 1, 0), 0), "
-            f"'x', if(a.m - {MISS} * a.x + v > 0, a.x + if(v > 0, 0, 1), 0), 'b', if(a.m - {MISS} * a.x + v > 0, if(a.m = 0, a.k, a.b), a.k + 1), "
-            f"'top', greatest(a.top, if(a.m - {MISS} * a.x + v > 0, named_struct('s', a.m - {MISS} * a.x + v, 'm', a.m + if(v > 0, 1, 0), "
-            f"'n', a.m + a.x + 1, 'b', if(a.m = 0, a.k, a.b)), a.top)))")
-    start = "named_struct('k', 0, 'm', 0, 'x', 0, 'b', 0, 'top', named_struct('s', 0, 'm', 0, 'n', 0, 'b', 0))"
-    scored = aligned.select("doc_id", "item_id", "shift", "low", "n_item", F.expr(
+    # s, m: score and matches of the first k tokens; starts: where a match follows on the lowest score so far; the best-scoring stretch
+    # with enough matches that ends here begins at the last start that leaves enough
+    begun = ("if(v > 0 and (size(a.starts) = 0 or a.s <= element_at(a.starts, -1).s), "
+             "concat(a.starts, array(named_struct('s', a.s, 'm', a.m, 'b', a.k))), a.starts)")
+    last = "get(filter(starts, r -> r.m <= a.m + 1 - need), size(filter(starts, r -> r.m <= a.m + 1 - need)) - 1)"
+    ended = ("transform(array(" + last + "), r -> if(v > 0 and r is not null and a.s + v > r.s, "
+             "greatest(a.top, named_struct('s', a.s + v - r.s, 'm', a.m + 1 - r.m, 'n', a.k + 1 - r.b, 'b', r.b)), a.top))[0]")
+    step = (f"transform(array({begun}), starts -> named_struct('k', a.k + 1, 'm', a.m + if(v > 0, 1, 0), 's', a.s + v, 'starts', starts, "
+            f"'top', {ended}))[0]")
+    start = ("named_struct('k', 0, 'm', 0, 's', 0, 'starts', cast(array() as array<struct<s: int, m: int, b: int>>), "
+             "'top', named_struct('s', 0, 'm', 0, 'n', 0, 'b', 0))")
+    need = F.least(F.lit(MIN_MATCHES), F.ceil(SHORT_SHARE * F.col("n_item"))).cast("int")
+    scored = aligned.withColumn("need", need).select("doc_id", "item_id", "shift", "low", "need", F.expr(
         f"aggregate(zip_with(d, t, (p, q) -> if(p = q, 1, -{MISS})), {start}, (a, v) -> {step}, a -> a.top)").alias("top"))
-    enough = F.col("top.m") >= F.least(F.lit(MIN_MATCHES), F.ceil(SHORT_SHARE * F.col("n_item")))
+    enough = (F.col("top.m") >= F.col("need")) & (F.col("top.s") > 0)
     best = F.max(F.struct(F.col("top.m").alias("n_matches"), F.col("top.n").alias("n_span"),
                           (F.col("shift") + F.col("low") + F.col("top.b")).alias("doc_token"))).alias("best")
     return scored.where(enough).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

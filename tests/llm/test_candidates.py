@@ -1,11 +1,12 @@
-"""Whole results of near-duplicate links, against brute force."""
+"""Whole results of near-duplicate links and of benchmark overlaps, against brute force."""
 
 import collections
 import itertools
 
+import numpy as np
 import pyarrow as pa
 
-from geoledger.llm import order_minhash
+from geoledger.llm import order_minhash, spaced_seeds
 from geoledger.llm.wordarrays import Words
 
 from .conftest import spoken
@@ -46,3 +47,36 @@ def test_every_pair_of_a_bucket_is_tested_and_counted(documents, monkeypatch):
     want = _plain_classes(rows)
     assert got == want
     assert want[5] == (0, 29) and want[201][0] == 200
+
+
+def _most_equal(equal):
+    """Most equal tokens of a stretch of positive score."""
+    return max((sum(equal[b:e]) for b in range(len(equal)) for e in range(b + 1, len(equal) + 1)
+                if 3 * sum(equal[b:e]) > 2 * (e - b)), default=0)
+
+
+def test_overlaps_count_equal_tokens_whatever_stretch_scores_best(spark, documents):
+    items, rows = [], []
+    random = np.random.default_rng(11)
+    for k, n in enumerate([15] * 40 + [30] * 20):
+        item = spoken(1000 + k, n, 50_000)
+        if k == 0:
+            gone = {10, 12}
+        elif k == 1:
+            gone = {2, 4}
+        elif k == 2:
+            gone = {12, 14}
+        else:
+            gone = set(random.choice(n, int(random.integers(1, 4 if n == 15 else 12)), replace=False).tolist())
+        items.append((k, item))
+        rows.append((k, ["zz" if p in gone else w for p, w in enumerate(item)]))
+    want = set()
+    for (k, item), (_, doc) in zip(items, rows):
+        equal = [x == y for x, y in zip(item, doc)]
+        seeded = any(all(equal[p + o] for o in m) for m in spaced_seeds.MASKS for p in range(len(equal) - m[-1]))
+        if seeded and _most_equal(equal) >= min(13, int(np.ceil(0.8 * len(item)))):
+            want.add(k)
+    df = documents([(k, " ".join(doc)) for k, doc in rows])
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in spaced_seeds.find_overlaps(df, benchmark).collect()}
+    assert {0, 1, 2} <= want and got == {(k, k) for k in want}
