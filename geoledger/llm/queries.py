@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import gru_lm, mixture_packing, order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists
+from geoledger.llm import gru_lm, mixture_packing, order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists, whitening
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -94,6 +94,10 @@ def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.piece_digests(mixture_packing.pack_mixture(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -106,4 +110,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_gru_lm": op10_gru_lm,
     "op11_mixture_packing": op11_mixture_packing,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
