@@ -71,4 +71,20 @@ best AS (SELECT page_id, arg_max(domain, length(domain)) AS matched, count(DISTI
 SELECT page_id, url, ts AS fetched_s, matched IS NOT NULL AS blocked, matched, coalesce(n, 0) AS n_lists FROM captures LEFT JOIN best USING (page_id)
 """
 
-ORACLE = {"op2_quality_rules": OP2, "op7_url_lists": OP7}
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+           FROM embeddings WHERE label IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, vec_id, score FROM scored WHERE same
+             QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON p.anchor_id = n.anchor_id
+WHERE NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 10
+"""
+
+ORACLE = {"op13_hard_negatives": OP13, "op2_quality_rules": OP2, "op7_url_lists": OP7}

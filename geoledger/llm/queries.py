@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import gru_lm, mixture_packing, order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists, whitening
+from geoledger.llm import gru_lm, hard_negatives, mixture_packing, order_minhash, packing, page_diff, quality_gam, quality_rules, spaced_seeds, substring_dedup, toxicity, url_lists, whitening
 from geoledger.llm.labelled import remainder
 from geoledger.session import cut
 
@@ -98,6 +98,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -111,4 +115,5 @@ QUERIES = {
     "op10_gru_lm": op10_gru_lm,
     "op11_mixture_packing": op11_mixture_packing,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
