@@ -213,7 +213,8 @@ def pack_mixture(docs: DataFrame, path: str, targets: dict[str, float] | None =
     placed = stretches(placed.withColumn("n", F.col("n").cast("long")), "head", F.col("n"))
     given = stretches(turns, "first", F.col("amount")).withColumnRenamed("first_stretch", "turn_stretch")
     low, high = F.greatest("head", "first"), F.least(F.col("head") + F.col("n"), F.col("first") + F.col("amount"))
-    met = placed.join(given, ["queue", "stretch"]).where((low < high) & (F.col("stretch") == F.greatest("first_stretch", "turn_stretch")))
+    # a merge join: the planner cannot know how many turns a task makes from its few block numbers, and would broadcast them
+    met = placed.hint("merge").join(given, ["queue", "stretch"]).where((low < high) & (F.col("stretch") == F.greatest("first_stretch", "turn_stretch")))
     length = (high - low).cast("int")
     return met.select(
         "doc_id", "queue", (F.col("start") + low - F.col("head")).alias("start"), length.cast("long").alias("length"), "doc_tokens",
