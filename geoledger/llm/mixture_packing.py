@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import row_chunks, text_column
-from geoledger.llm.wordids import vocabulary
+from geoledger.llm.wordids import tokenizer, vocabulary
 from geoledger.session import cut
 
 CAPACITY = 4096
@@ -53,8 +53,14 @@ def queue_numbers(docs: DataFrame, source: str, targets: dict[str, float] | None
     return numbers, {k: float(targets[r.name]) for k, r in enumerate(largest) if targets and r.name in targets}
 
 
+def id_bytes(path: str, end: int) -> int:
+    """Bytes that an id takes while it is stored and shuffled."""
+    return 2 if max(tokenizer(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
 def tokenised_runs(docs: DataFrame, path: str, end: int = END, source: str = "source", numbers: DataFrame | None = None) -> DataFrame:
     """Runs of at most ``STRETCH`` ids with their place in the task's part of the queue; one pass over the texts."""
+    stored = f"<u{id_bytes(path, end)}"
     own = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", F.xxhash64(own).alias("key"))
     rows = rows.join(F.broadcast(numbers), "key", "left") if numbers is not None else rows.withColumn("queue", F.lit(0))  # under QUEUES rows
@@ -69,7 +75,7 @@ def tokenised_runs(docs: DataFrame, path: str, end: int = END, source: str = "so
                 tokens, bounds = known.encode(texts.slice(low, high - low))
                 rows = []
                 for k in range(low, high):
-                    own = np.append(tokens[bounds[k - low]:bounds[k - low + 1]], np.uint32(end)).astype("<u4")
+                    own = np.append(tokens[bounds[k - low]:bounds[k - low + 1]], np.uint32(end)).astype(stored)
                     q = queues[k]
                     for start in range(0, len(own), STRETCH):
                         rows.append((ids[k], q, part, given[q] + start, start, len(own), own[start:start + STRETCH].tobytes()))
@@ -166,14 +172,25 @@ def tail_lengths(tail: int) -> list[tuple[int, int]]:
     return out
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of two bytes as ids of four."""
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        ids = pa.concat_arrays([batch.column(at).cast(pa.binary())])
+        offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset: ids.offset + len(ids) + 1]
+        data = np.frombuffer(ids.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].view("<u2").astype("<u4")
+        wide = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32)), pa.py_buffer(data)])
+        yield batch.set_column(at, "ids", wide)
+
+
 def pack_mixture(docs: DataFrame, path: str, targets: dict[str, float] | None = None, source: str = "source", end: int = END,
                  capacity: int = CAPACITY) -> DataFrame:
     """Pieces with their ids (``doc_id``, ``queue``, ``start``, ``length``, ``doc_tokens``, ``ids`` as little-endian 32-bit
     numbers) and their ``sequence_id`` and ``offset``. ``targets`` are weights of sources."""
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, id_bytes(path, end)
     numbers, named = queue_numbers(docs, source, targets) if source in docs.columns else (None, {})
     runs = cut(tokenised_runs(docs, path, end, source, numbers))
-    held = cut(runs.groupBy("queue", "part").agg(F.sum(F.length("ids") / 4).cast("long").alias("n")))
+    held = cut(runs.groupBy("queue", "part").agg(F.sum(F.length("ids") / width).cast("long").alias("n")))
     base = held.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     if held.count() <= BROADCAST_PARTS:  # else the runs are shuffled once more
         base = F.broadcast(base)
@@ -209,17 +226,18 @@ def pack_mixture(docs: DataFrame, path: str, targets: dict[str, float] | None =
         first = F.floor(F.col(low) / STRETCH)
         return df.withColumn("first_stretch", first).withColumn("stretch", F.explode(F.sequence(first, F.floor((F.col(low) + size - 1) / STRETCH))))
 
-    placed = runs.join(base, ["queue", "part"]).withColumn("head", F.col("base") + F.col("at")).withColumn("n", F.length("ids").cast("long") / 4)
+    placed = runs.join(base, ["queue", "part"]).withColumn("head", F.col("base") + F.col("at")).withColumn("n", F.length("ids") / width)
     placed = stretches(placed.withColumn("n", F.col("n").cast("long")), "head", F.col("n"))
     given = stretches(turns, "first", F.col("amount")).withColumnRenamed("first_stretch", "turn_stretch")
     low, high = F.greatest("head", "first"), F.least(F.col("head") + F.col("n"), F.col("first") + F.col("amount"))
     # a merge join: the planner cannot know how many turns a task makes from its few block numbers, and would broadcast them
     met = placed.hint("merge").join(given, ["queue", "stretch"]).where((low < high) & (F.col("stretch") == F.greatest("first_stretch", "turn_stretch")))
     length = (high - low).cast("int")
-    return met.select(
+    pieces = met.select(
         "doc_id", "queue", (F.col("start") + low - F.col("head")).alias("start"), length.cast("long").alias("length"), "doc_tokens",
-        F.col("ids").substr(((low - F.col("head")) * 4 + 1).cast("int"), length * 4).alias("ids"),
+        F.col("ids").substr(((low - F.col("head")) * width + 1).cast("int"), length * width).alias("ids"),
         F.col("window").alias("sequence_id"), (F.col("place") + low - F.col("first")).alias("offset"))
+    return pieces if width == 4 else pieces.mapInArrow(tidy(_widened), pieces.schema)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
