@@ -11,10 +11,10 @@ from geoledger import schemas, vocab
 from geoledger.functions.values import utc
 from geoledger.operators.merges import single_row
 from geoledger.plans.diff import change_summary, diff_snapshots, point_status_changes, point_status_index
-from geoledger.plans.snapshot_rules import validate_snapshot
+from geoledger.plans.snapshot_rules import validate_collection
 from geoledger.session import cut
 from geoledger.sources.archive import commit_manifest_row, open_snapshot, previous_date, read_manifest, write_partition
-from geoledger.sources.geojson import feature_rows, read_snapshot
+from geoledger.sources.geojson import read_collection
 from geoledger.sources.tables import content_digest, read_newest_version, write_version
 
 class Rejected(RuntimeError):
@@ -43,8 +43,9 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
     if not approved:
         raise Rejected("publication needs an explicit approval after human review")
     moment = utc(now)
-    documents = read_snapshot(spark, candidate_path)
-    violations = cut(validate_snapshot(documents, moment, evidence, sources))
+    collection = read_collection(spark, candidate_path)
+    documents = collection.documents
+    violations = cut(validate_collection(collection, moment, evidence, sources))
     if not violations.isEmpty():
         raise Rejected("snapshot rejected", violations.orderBy("ctx", "idx", "rule"))
     head = documents.select("metadata.snapshot_date", F.coalesce("metadata.methodology_version", F.lit(methodology_version)).alias("version")).first()
@@ -53,7 +54,7 @@ def publish(spark: SparkSession, candidate_path: str, root: str, approved: bool,
     day = head.snapshot_date
     digest = content_digest(spark, candidate_path).first().sha256
 
-    features = cut(feature_rows(documents).drop("document", "properties_text", "geometry_type", "coordinates"))
+    features = cut(collection.features.drop("document", "properties_text", "geometry_type", "coordinates"))
     manifest = read_manifest(spark, root)
     before = previous_date(manifest, day).first().date
     previous = open_snapshot(spark, root, "current", before or "", schemas.SNAPSHOT_FEATURES)

@@ -17,13 +17,17 @@ from geoledger.operators.edges import feature_area_km2
 from geoledger.operators.merges import later_occurrences, unknown_members
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
 from geoledger.session import cut
-from geoledger.sources.geojson import feature_rows
+from geoledger.sources.geojson import Collection, feature_rows
 
 
 def _at(df: DataFrame, rule: str, message: Column) -> DataFrame:
     return df.select("ctx", F.col("idx").cast("bigint").alias("idx"), F.lit(rule).alias("rule"), message.alias("message"))
 
 
+def _feature_count(documents: DataFrame) -> str:
+    return "feature_count" if "feature_count" in documents.columns else "size(features)"
+
+
 def document_rules(documents: DataFrame) -> DataFrame:
     """V-S1 to V-S3."""
     docs = documents.withColumn("idx", F.lit(None).cast("bigint")).withColumn("ctx", F.col("document"))
@@ -32,7 +36,7 @@ def document_rules(documents: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         _at(broken, "V-S1", F.lit("cannot read snapshot")),
         _at(readable.filter("coalesce(type, '') <> 'FeatureCollection'"), "V-S2", F.lit("root.type must be FeatureCollection")),
-        _at(readable.filter("size(features) > 0 AND coalesce(metadata.snapshot_date, '') = ''"), "V-S3",
+        _at(readable.filter(f"{_feature_count(documents)} > 0 AND coalesce(metadata.snapshot_date, '') = ''"), "V-S3",
             F.lit("metadata.snapshot_date is required for non-empty snapshots")),
     ])
 
@@ -124,6 +128,15 @@ def validate_snapshot(documents: DataFrame, now: Column, known_evidence: DataFra
         validate_features(features, now, known_evidence, known_sources, delay_hours, max_area_km2))
 
 
+def validate_collection(collection: Collection, now: Column, known_evidence: DataFrame | None = None,
+                        known_sources: DataFrame | None = None, delay_hours: int = vocab.DELAY_HOURS,
+                        max_area_km2: float = vocab.MAX_FEATURE_KM2) -> DataFrame:
+    """``validate_snapshot`` of snapshots that many tasks have read."""
+    features = cut(collection.features.withColumn("ctx", F.col("document")))
+    return document_rules(collection.documents).unionByName(
+        validate_features(features, now, known_evidence, known_sources, delay_hours, max_area_km2))
+
+
 def schema_violations(features: DataFrame, collection: str) -> DataFrame:
     """Published constraints of snapshot features (V-J1), ordered by path when reported: (collection, path, message)."""
     path = lambda name: F.concat(F.lit("features."), F.col("idx").cast("string"), F.lit(f".properties.{name}"))

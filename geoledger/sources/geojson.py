@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger import schemas
 from geoledger.session import cut
+from geoledger.sources.jsonsplit import SKELETON_SHOWN, read_json_objects
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -16,6 +19,39 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return cut(parsed.withColumn("document", F.col("_metadata.file_path")))  # parsed once, read by every rule
 
 
+@dataclass
+class Collection:
+    """Snapshots read by many tasks. ``documents``: one row a file as ``read_snapshot`` gives it, without the features but
+    with their number; ``features``: rows as ``feature_rows`` gives them, of the readable files."""
+
+    documents: DataFrame
+    features: DataFrame
+
+
+def read_collection(spark: SparkSession, path: str) -> Collection:
+    """Feature collections of any size. A file whose structure or any of whose features cannot be read is one row with its
+    beginning in ``_corrupt`` and has no features. An empty file has no row."""
+    read = read_json_objects(spark, path, "features")
+    permissive = {"columnNameOfCorruptRecord": "_bad"}
+    feature = "type string, properties string, geometry struct<type:string,coordinates:string>, _bad string"
+    parsed = cut(read.objects.select(F.col("path").alias("document"), "idx", F.from_json("text", feature, permissive).alias("f")))
+    head = ("type string, metadata struct<snapshot_date:string,methodology_version:string,moderation_status:string>, features array<string>, _bad string")
+    broken = parsed.where("f._bad IS NOT NULL").select("document").distinct().withColumn("_broken", F.lit(True))
+    documents = read.files.select(F.col("path").alias("document"), "objects", "fault", "skeleton", F.from_json("skeleton", head, permissive).alias("h")).join(broken, "document", "left")
+    # the skeleton's own array holds what is no object
+    unreadable = F.col("fault") | F.coalesce("_broken", F.lit(False)) | F.col("h").isNull() | F.col("h._bad").isNotNull() | (F.coalesce(F.size("h.features"), F.lit(0)) > 0)
+    documents = cut(documents.select(
+        "document", F.when(~unreadable, F.col("h.type")).alias("type"), F.when(~unreadable, F.col("h.metadata")).alias("metadata"),
+        F.when(~unreadable, F.col("h.features")).alias("features"), F.when(~unreadable, F.col("objects")).alias("feature_count"),
+        F.when(unreadable, F.substring("skeleton", 1, SKELETON_SHOWN)).alias("_corrupt")))
+    readable = documents.where("_corrupt IS NULL").select("document", F.col("metadata.snapshot_date").alias("snapshot_date"))
+    rows = parsed.join(readable, "document").select(
+        "document", "snapshot_date", "idx", F.col("f.properties").alias("properties_text"), F.col("f.geometry.type").alias("geometry_type"),
+        F.col("f.geometry.coordinates").alias("coordinates"), F.from_json("f.properties", schemas.FEATURE_PROPERTIES).alias("p"))
+    features = rows.select("document", "snapshot_date", "idx", "properties_text", "geometry_type", "coordinates", "p.*").withColumn("geometry", to_multipolygon())
+    return Collection(documents, features)
+
+
 def to_multipolygon(kind: str = "geometry_type", coordinates: str = "coordinates"):
     """Polygon or MultiPolygon coordinate text as one multipolygon column; NULL when unreadable or another type."""
     single = F.from_json(F.col(coordinates), "array<array<array<double>>>")
