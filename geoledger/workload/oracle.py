@@ -167,7 +167,7 @@ SELECT to_status, from_status, round(km2, 2) AS area_km2, CAST(confidence AS DOU
 FROM areas LEFT JOIN origins USING (part) JOIN proof USING (part)""", _PARTS)
 _LABEL = lambda s: "CASE " + s + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items()) + f" ELSE '{vocab.NO_STATUS_LABEL}' END"
 _sql("snapshot_diff", ("rects_old", "rects_new"), f"""
-SELECT true AS id_form, true AS own_id, true AS closed, {_DAY} AS date, 'change' AS layer, from_status, to_status, round(round(km2, 3), 2) AS area_km2,
+SELECT true AS id_form, true AS own_id, true AS closed, {_DAY} AS date, 'change' AS layer, from_status, to_status, round(km2, 3) AS area_km2,
   CAST(confidence AS DOUBLE) AS confidence, evidence_ids, source_ids, CAST(review_count AS INTEGER) AS review_count, (xs - 6400) / 128.0::DOUBLE AS minx,
   (ys - 3840) / 128.0::DOUBLE AS miny, (xe - 6400) / 128.0::DOUBLE AS maxx, (ye - 3840) / 128.0::DOUBLE AS maxy
 FROM areas LEFT JOIN origins USING (part) JOIN proof USING (part)""", _PARTS)

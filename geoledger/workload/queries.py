@@ -214,7 +214,7 @@ def snapshot_diff(spark, sf):
     own_id = F.count(F.lit(1)).over(Window.partitionBy("id")) == 1
     return found.select(
         F.rlike("id", F.lit(r"^chg-[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9a-f]{16}$")).alias("id_form"), own_id.alias("own_id"), closed.alias("closed"), "date", "layer",
-        "from_status", "to_status", F.round("area_km2", 2).alias("area_km2"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"),
+        "from_status", "to_status", "area_km2", "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"),
         F.array_join("source_ids", ",").alias("source_ids"), F.size("reviews").alias("review_count"), edge(F.array_min, 0).alias("minx"),
         edge(F.array_min, 1).alias("miny"), edge(F.array_max, 0).alias("maxx"), edge(F.array_max, 1).alias("maxy"))
 
