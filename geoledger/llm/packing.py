@@ -12,11 +12,9 @@ packed as often as they occur; other columns are not read. Packings depend on th
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 
 from geoledger.llm.memory import tidy
 from geoledger.llm.wordarrays import row_chunks, text_column
+from geoledger.llm.wordids import vocabulary
 from geoledger.session import cut
 
 CAPACITY = 4096
@@ -35,102 +34,22 @@ EPOCHS = 2
 POPULATION = 4
 CROSSOVERS = 10
 WELL_FILLED = 0.98
-CACHE_WORDS = 400_000  # about 80 MB in a Python worker
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-#: Ids of words that this Python worker has tokenised, by tokeniser file; a worker serves many tasks.
-_REMEMBERED: dict[str, dict[bytes, bytes]] = {}
-
-
-#: ASCII marks; a word's trailing run of them is tokenised apart from what stands before.
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_PLAIN = frozenset(b for b in range(48, 123) if chr(b).isalnum())
-
-
-@lru_cache(maxsize=2)
-def _traits(path: str) -> tuple[int, str, tuple[bytes, ...], bool]:
-    """A special token to part words with (id, text; -1 if there is none), all added tokens, and whether case is ignored."""
-    tokenizer = _tokenizer(path)
-    added = tokenizer.get_added_tokens_decoder()
-    usable = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    folds = tokenizer.encode(letters, add_special_tokens=False).ids == tokenizer.encode(letters.lower(), add_special_tokens=False).ids
-    return *(usable[0] if usable else (-1, "")), tuple(t.content.encode() for t in added.values()), folds
-
-
-def _encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of single words. Many go to the tokeniser in one text, parted by a special token, which it never joins with others."""
-    tokenizer = _tokenizer(path)
-    mark, text, every, _ = _traits(path)
-    out: list[bytes] = []
-    for low in range(0, len(words), 512):
-        part = words[low:low + 512]
-        joined = b" ".join(part)
-        if mark < 0 or any(t in joined for t in every):
-            out += [np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in part]
-            continue
-        ids = np.array(tokenizer.encode(text.encode().join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
-        raw = ids.tobytes()
-        out += [raw[x:y] for x, y in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
-    return out
-
-
-def _learn(missing: list[bytes], path: str, cache: dict[bytes, bytes]) -> None:
-    """Put words into the cache. Stems and trailing marks recur in many words and are tokenised once each."""
-    joined = b" ".join(missing)
-    every = [t for t in _traits(path)[2] if t in joined]
-    parts: list[tuple[bytes, bytes]] = []
-    for word in missing:
-        stem = word.rstrip(_MARKS)
-        if len(stem) == len(word) or not stem or stem[-1] not in _PLAIN or every and any(t in word for t in every):
-            parts.append((word, b""))
-        else:
-            parts.append((stem, word[len(stem):]))
-    new = [w for w in {p for pair in parts for p in pair if p} if w not in cache]
-    cache.update(zip(new, _encode_words(new, path)))
-    cache.update((word, cache[stem] + cache[marks]) for word, (stem, marks) in zip(missing, parts) if marks)
-
-
-def token_ids(texts: list[str], path: str, cache: dict[bytes, bytes]) -> Iterator[np.ndarray]:
-    """Ids of each text, without the end token. The tokeniser drops white space and never joins words across it, nor letters
-    or digits with marks, so a text is the sequence of its words and each distinct word is tokenised once."""
-    folds = _traits(path)[3]
-    split = []
-    for text in texts:
-        raw = text.encode()
-        split.append((raw.lower() if folds and b"<" not in raw else raw).split())
-    missing = {w for words in split for w in words if w not in cache}
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = {w for words in split for w in words}
-    _learn(list(missing), path, cache)
-    for words in split:
-        yield np.frombuffer(b"".join([cache[w] for w in words]), dtype="<u4")
-
-
 def tokenised_pieces(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _REMEMBERED.setdefault(path, {})
+        known = vocabulary(path)
         for batch in batches:
             texts, ids = text_column(batch), batch.column("doc_id").cast(pa.int64())
-            for low, high in row_chunks(texts):
+            for low, high in row_chunks(texts, 2 << 20):
                 rows = []
-                part = texts.slice(low, high - low).to_pylist()
-                for doc_id, tokens in zip(ids.slice(low, high - low).to_pylist(), token_ids(part, path, cache)):
-                    tokens = np.append(tokens, np.uint32(END)).astype("<u4")
+                every, bounds = known.encode(texts.slice(low, high - low))
+                for k, doc_id in enumerate(ids.slice(low, high - low).to_pylist()):
+                    tokens = np.append(every[bounds[k]:bounds[k + 1]], np.uint32(END)).astype("<u4")
                     for piece, start in enumerate(range(0, len(tokens), CAPACITY)):
                         cut_out = tokens[start:start + CAPACITY]
                         rows.append((doc_id, piece, start, len(cut_out), zlib.crc32(cut_out.tobytes())))

@@ -73,8 +73,15 @@ def test_crossover_keeps_every_item_once_and_evolution_does_not_get_worse():
     assert packing.evolve([5], [], 1)[0].bins == [[0]]
 
 
-def test_words_are_tokenised_alike_whatever_is_remembered(tokenizer):
-    texts = [" ".join(spoken(k, 300, 3000)) + " don't I'LL 99bottles" for k in range(20)]
-    cache = {}
-    for _ in range(2):
-        assert [x.tolist() for x in packing.token_ids(texts, vocabulary_path(), cache)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_crossovers_beat_best_fit_decreasing():
+    """Lengths just over a third and the like, which best-fit decreasing packs badly."""
+    random = np.random.default_rng(7)
+    better = 0
+    for seed in range(12):
+        lengths = np.concatenate([random.integers(1366, 1500, 60), random.integers(820, 1000, 60), random.integers(300, 700, 60)]).tolist()
+        first = packing.Packing([], [])
+        first.best_fit(np.argsort(-np.array(lengths), kind="stable").tolist(), lengths)
+        best = packing.evolve(lengths, [], seed)[0]
+        assert best.fitness >= first.fitness and sorted(i for b in best.bins for i in b) == list(range(180))
+        better += best.fitness > first.fitness
+    assert better >= 6
