@@ -95,7 +95,11 @@ def held_messages(messages: DataFrame, now: Column, delay_hours: int = vocab.DEL
 
 def message_updates(dated: DataFrame, now: Column, profile: FeedProfile, delay_hours: int = vocab.DELAY_HOURS) -> DataFrame:
     """Updates of the messages (rows of ``dated_messages``) that are old enough."""
-    messages = dated.filter(released(F.col("published"), now, delay_hours))
+    return updates_of(dated.filter(released(F.col("published"), now, delay_hours)), profile)
+
+
+def updates_of(messages: DataFrame, profile: FeedProfile) -> DataFrame:
+    """Updates of messages that are to be released, whatever their age."""
     group = lambda g: F.regexp_extract_all("chunk", F.lit(profile.link_pattern()), F.lit(g))
     links = messages.select(
         "page_id", "page_pos", "post_id", "published", "published_text", "chunk",
