@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoledger import vocab
 from geoledger.functions.labels import labelled
-from geoledger.operators.edges import boundary_area, edge_table, sheared_sql
+from geoledger.operators.edges import boundary_area, edge_table, exact_sum, sheared_sql
 from geoledger.operators.locate import point_status, points_in_regions
 from geoledger.operators.overlay import (
     SEGMENTS_MEET, boundary_of, common_boundary, dissolve, near_edges, near_segments, partners, prepared, sided_pieces,
@@ -103,7 +103,7 @@ def origin_areas(changes: Changes) -> DataFrame:
     pieces = common_boundary(parts, old)
     status = F.expr("substring(bid, instr(bid, ' ') + 1)")
     by_region = pieces.groupBy("ctx", "aid", "bid").agg(boundary_area().alias("km2"))
-    return by_region.groupBy("ctx", F.col("aid").alias("fid"), status.alias("from_status")).agg(F.sum(F.abs("km2")).alias("overlap_km2"))
+    return by_region.groupBy("ctx", F.col("aid").alias("fid"), status.alias("from_status")).agg(exact_sum(F.abs("km2")).alias("overlap_km2"))
 
 
 def dominant_origin(overlaps: DataFrame, min_overlap_km2: float = vocab.MIN_OVERLAP_KM2) -> DataFrame:
@@ -176,11 +176,11 @@ def diff_snapshots(previous: DataFrame, current: DataFrame, min_part_km2: float
 def change_summary(changes: DataFrame, previous_date: Column | None = None) -> DataFrame:
     """One row per date: from, to, area_change_km2, by_status_km2 (map in key order), feature_count."""
     exact = F.col("area_km2_exact") if "area_km2_exact" in changes.columns else F.col("area_km2")
-    by_status = changes.groupBy("date", "to_status").agg(F.sum(exact).alias("_km2"), F.count(F.lit(1)).alias("_n"))
+    by_status = changes.groupBy("date", "to_status").agg(exact_sum(exact).alias("_km2"), F.count(F.lit(1)).alias("_n"))
     entries = F.sort_array(F.collect_list(F.struct("to_status", F.round("_km2", 3).alias("km2"))))
     return by_status.groupBy("date").agg(
         (previous_date if previous_date is not None else F.lit(None).cast("string")).alias("from"),
-        F.round(F.sum("_km2"), 3).alias("area_change_km2"), F.map_from_entries(entries).alias("by_status_km2"),
+        F.round(exact_sum(F.col("_km2")), 3).alias("area_change_km2"), F.map_from_entries(entries).alias("by_status_km2"),
         F.sum("_n").alias("feature_count"),
     ).withColumnRenamed("date", "to").select("from", "to", "area_change_km2", "by_status_km2", "feature_count")
 

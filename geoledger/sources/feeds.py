@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.functions.text import collapse_space, filled
+from geoledger.functions.text import collapse_space
 
 FEED_CONFIG = "id string, side string, kind string, homepage string, enabled boolean, license_review string, feed_url string"
 
@@ -23,42 +27,76 @@ def read_message_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page_id"), F.col("value").alias("html"))
 
 
-_ENTRY = ("struct<title:array<string>,link:array<struct<_VALUE:string,_href:string>>,pubDate:array<string>,"
-          "published:array<string>,updated:array<string>>")
-_LISTS = f"item array<{_ENTRY}>, entry array<{_ENTRY}>"
-_FEED = f"channel struct<{_LISTS.replace(' array', ':array')}>, {_LISTS}, _corrupt string"
-_READING = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-
-
-def _first_text(*texts: str):
-    """The first text that is not empty, with white space collapsed; white space alone counts as found and gives ''."""
-    every = F.concat(*[F.coalesce(F.col(t), F.array()) for t in texts])
-    return F.coalesce(collapse_space(F.get(F.filter(every, lambda t: F.length(t) > 0), F.lit(0))), F.lit(""))
+#: Local names, in any namespace: what an entry is called, and which elements give its fields.
+_ENTRIES = {"item", "entry"}
+_FIELDS = {"title": "title", "link": "link", "pubDate": "time", "published": "time", "updated": "time"}
+
+
+def entries_of(xml: str) -> list[dict[str, tuple[int, str]]]:
+    """Entries of a document in the order they begin, at any depth. Each field is the text of its first element, in the
+    order of the document, that has any; ``href`` is that of the first link. A field comes with its element's number."""
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    parser.feed(xml)
+    parser.close()
+    found, inside, numbers, count = [], [], [], 0
+    for event, element in parser.read_events():
+        name = element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+        if event == "start":
+            count += 1
+            numbers.append(count)
+            if name in _ENTRIES:
+                inside.append({})
+                found.append(inside[-1])
+            continue
+        number = numbers.pop()
+        here = {_FIELDS[name]: " ".join(element.text.split())} if name in _FIELDS and element.text else {}
+        if name == "link":
+            here["href"] = element.get("href", "")
+        for field, text in here.items():
+            for entry in inside:  # an element inside an inner one belongs to all around it
+                if field not in entry or number < entry[field][0]:
+                    entry[field] = (number, text)
+        if name in _ENTRIES:
+            inside.pop()
+    return found
+
+
+def _feed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for feed in batch.to_pylist():
+            rows = []
+            try:
+                for at, entry in enumerate(entries_of(feed["xml"] or "")):
+                    text = lambda field: entry.get(field, (0, ""))[1]  # noqa: E731, B023
+                    rows.append((feed["source_id"], feed["feed_pos"], at, text("title"), text("link") or text("href"), text("time"), None))
+            except ElementTree.ParseError:
+                rows = [(feed["source_id"], feed["feed_pos"], None, None, None, None, feed["xml"] or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+
+
+_ROWS = pa.schema([("source_id", pa.string()), ("feed_pos", pa.int64()), ("entry_pos", pa.int32()), *((c, pa.string()) for c in (
+    "title", "url", "published_at_raw", "broken"))])
 
 
 def parsed_feeds(feeds: DataFrame) -> DataFrame:
-    """Feed documents through Spark's XML reader, in any namespace; ``feed._corrupt`` holds a text that is not XML."""
-    return feeds.withColumn("feed", F.from_xml("xml", _FEED, _READING))
+    """Entries of feed documents (source_id, feed_pos, xml), and a row with the text in ``broken`` for each that is not XML."""
+    return feeds.select(F.col("source_id").cast("string").alias("source_id"), F.col("feed_pos").cast("bigint").alias("feed_pos"), "xml").mapInArrow(
+        _feed_rows, "source_id string, feed_pos bigint, entry_pos int, title string, url string, published_at_raw string, broken string")
 
 
 def rejected_feeds(feeds: DataFrame) -> DataFrame:
     """(source_id, feed_pos, xml) of documents that are not well-formed XML; kept apart so that one does not stop a run."""
-    return parsed_feeds(feeds).filter("xml IS NULL OR feed IS NULL OR feed._corrupt IS NOT NULL").select("source_id", "feed_pos", "xml")
+    return parsed_feeds(feeds).filter("broken IS NOT NULL").select("source_id", "feed_pos", F.col("broken").alias("xml"))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """Entries of feed documents: source_id, feed_pos, entry_pos, title, url, published_at_raw.
 
-    ``feeds`` carry source_id, feed_pos and xml. Entries are ``item`` or ``entry`` elements of the root or of its
-    channel; the link falls back to its href attribute. Documents that hold no such element or are no XML give no rows.
+    ``feeds`` carry source_id, feed_pos and xml. Entries are ``item`` or ``entry`` elements at any depth and in any namespace;
+    the link falls back to its href attribute. Documents that hold no such element or are no XML give no rows.
     """
-    lists = [F.coalesce(F.col(c), F.array()) for c in ("feed.channel.item", "feed.channel.entry", "feed.item", "feed.entry")]
-    entries = parsed_feeds(feeds).filter("feed._corrupt IS NULL").select("source_id", "feed_pos", F.posexplode(F.concat(*lists)).alias("entry_pos", "e"))
-    href = F.coalesce(F.get(F.col("e.link._href"), F.lit(0)), F.lit(""))
-    return entries.select(
-        "source_id", "feed_pos", "entry_pos", _first_text("e.title").alias("title"),
-        F.coalesce(filled(_first_text("e.link._VALUE")), href).alias("url"),
-        _first_text("e.pubDate", "e.published", "e.updated").alias("published_at_raw"))
+    return parsed_feeds(feeds).filter("broken IS NULL").drop("broken")
 
 
 def read_feed_files(spark: SparkSession, path: str, source_id: str, row_tag: str = "item") -> DataFrame:

@@ -110,6 +110,18 @@ SELECT 'd-' || CAST(idx // 8 % 25 AS VARCHAR) AS snapshot_date, CAST(sum(place)
   CAST(sum(p_size) AS DOUBLE) AS widths FROM (SELECT *, row_number() OVER (PARTITION BY idx // 8 ORDER BY idx) - 1 AS place FROM s_features)
 JOIN part ON p_partkey = idx GROUP BY 1""")
 
+_COLLECTIONS = "placed AS (SELECT *, CAST(idx % 25 AS INTEGER) AS doc, row_number() OVER (PARTITION BY idx % 25 ORDER BY idx) - 1 AS place FROM s_features)"
+_sql("split_snapshots", ("features",), """
+SELECT doc, CASE WHEN doc % 7 = 3 THEN NULL ELSE '2024-01-' || lpad(CAST(doc + 1 AS VARCHAR), 2, '0') END AS snapshot_date, CAST(place AS BIGINT) AS idx, id,
+  '{"}[' || name AS name, confidence, array_to_string(evidence_ids, ',') AS evidence_ids, CASE WHEN idx % 19 = 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type,
+  CASE WHEN idx % 19 <> 0 THEN CAST(idx % 97 AS DOUBLE) END AS side FROM placed WHERE doc <> 24""", _COLLECTIONS)
+_sql("document_rules", ("features",), """
+SELECT DISTINCT doc, rule, message FROM placed JOIN (VALUES ('V-S1', 'cannot read snapshot'), ('V-S2', 'root.type must be FeatureCollection'),
+  ('V-S3', 'metadata.snapshot_date is required for non-empty snapshots')) r(rule, message)
+ON CASE rule WHEN 'V-S1' THEN doc = 24 WHEN 'V-S2' THEN doc % 5 = 2 AND doc <> 24 ELSE doc % 7 = 3 AND doc <> 24 END""", _COLLECTIONS)
+_sql("ordered_table", ("evidence",), """
+SELECT id, source_id, evidence_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM s_evidence) WHERE rn = 1""")
+
 _DAY = "CAST(CAST(DATE '2024-01-02' + CAST(c AS INTEGER) AS DATE) AS VARCHAR)"
 _COLUMN_M = SQL_METRES_PER_LON_DEGREE / 128
 
@@ -181,6 +193,13 @@ SELECT id, o.st AS previous_status, coalesce(n.st, 'unknown') AS status, '2024-0
 FROM pts LEFT JOIN at_old o USING (id) LEFT JOIN at_new n USING (id) WHERE o.st IS DISTINCT FROM n.st""", _PTS)
 _sql("point_index", ("rects_old", "rects_new", "points"), """
 SELECT id, coalesce(n.st, 'unknown') AS status, '2024-01-02' AS snapshot_date FROM pts LEFT JOIN at_new n USING (id)""", _PTS)
+_APART = ", ".join(f"s_{t} AS (SELECT k, c, x0, y0, least(x1, x0 + 20) AS x1, least(y1, y0 + 20) AS y1, status FROM wide_{t} WHERE c = 0)" for t in ("rects_old", "rects_new"))
+ORACLE["published_archive"] = oracle_cte("rects_old", "rects_new", "points").replace("s_rects_", "wide_rects_").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_APART}, {_PARTS}, {_PTS},
+held AS (SELECT 1 AS seq, '2024-01-01' AS snapshot_date, (SELECT count(*) FROM s_rects_old) AS areas, (SELECT count(*) FROM s_rects_old) AS changes, (SELECT count(*) FROM at_old) AS moved
+  UNION ALL SELECT 2, '2024-01-02', (SELECT count(*) FROM s_rects_new), (SELECT count(*) FROM areas),
+    (SELECT count(*) FROM pts LEFT JOIN at_old o USING (id) LEFT JOIN at_new n USING (id) WHERE o.st IS DISTINCT FROM n.st))
+SELECT CAST(seq AS BIGINT) AS seq, 'publish_snapshot' AS action, snapshot_date, (SELECT string_agg(DISTINCT 'rev-' || (k % 5), ',' ORDER BY 'rev-' || (k % 5)) FROM s_rects_old) AS reviewers,
+  changes AS change_count, moved AS settlement_count, areas, changes, moved FROM held"""
 _sql("geometry_validity", ("rects_new",), """
 SELECT 'f-' || CAST(k AS VARCHAR) AS id, reason FROM s_rects_new JOIN (VALUES (1, 'self-intersection'), (1, 'ring without area'), (2, 'ring not closed'), (3, 'too few points'),
   (3, 'ring without area'), (3, 'self-intersection'), (4, 'nested shells'), (5, 'nested holes'), (6, 'interior is cut in two')) r(kind, reason) ON kind = k % 7""")
@@ -280,6 +299,10 @@ def _search(q: str) -> str:
 _shown = lambda lang: f"coalesce(nullif(name_{lang}, ''), nullif(name, ''), nullif(name_uk, ''), nullif(name_ru, ''), nullif(name_en, ''), 'Без названия')"
 _sql("search_points", ("places",), f"SELECT ordinal, id, {_shown('uk')} AS shown " + _search("bolt"))
 _sql("search_alias", ("places",), "SELECT ordinal, id " + _search("item 19"))
+_sql("search_index", ("places",), """
+SELECT query, CAST(rank AS INTEGER) AS rank, id FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY ordinal) AS rank FROM wanted JOIN s_places
+  ON len(list_filter(list_concat([name, name_ru, name_uk, name_en], aliases), lambda x: contains(lower(x), lower(trim(query))))) > 0
+  WHERE length(trim(query)) >= 2) WHERE rank <= 8""", "wanted AS (SELECT DISTINCT unnest([p_brand, ' ' || substr(p_type, 1, 5), substr(p_type, 2, 2), substr(p_type, 1, 1), p_type || '?']) AS query FROM part)")
 _labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items())
 _sql("place_names", ("places",), f"""SELECT id, {_shown('uk')} AS uk, {_shown('en')} AS en,
   CASE WHEN status IS NULL THEN '{vocab.NO_STATUS_LABEL}' ELSE CASE status {_labels} ELSE status END END AS status_label FROM s_places""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,14 +13,17 @@ from geoledger import vocab
 from geoledger.functions import text as T
 from geoledger.functions import values as V
 from geoledger.functions.labels import event_status_label, labelled, localised_name, localised_text
+from geoledger.operators import grams as G
 from geoledger.operators import merges as M
 from geoledger.operators.edges import boundary_area, edge_table, feature_area_km2
 from geoledger.operators.overlay import boundary_of, common_boundary, prepared
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
 from geoledger.plans import diff as D
 from geoledger.plans import intake, messages, readside, registry_rules, snapshot_rules
-from geoledger.session import cut
-from geoledger.sources import geojson
+from geoledger.plans.publish import publish
+from geoledger.session import checkpoint_folder, cut
+from geoledger.sources import archive, geojson
+from geoledger.sources.tables import read_json_table
 from geoledger.workload.standins import load, rect_features, standin
 
 NOW = datetime(2024, 1, 20)
@@ -143,6 +148,61 @@ def snapshot_documents(spark, sf):
         F.sum(F.size("evidence_ids")).cast("bigint").alias("evidence"), F.sum(F.expr("geometry[0][0][1][0]")).alias("widths"))
 
 
+def _folder(spark):
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _written_collections(spark, sf):
+    """The features as 25 GeoJSON files, written below the shared folder; some heads and one file are faulty."""
+    f = standin(spark, sf, "features").withColumn("doc", F.pmod("idx", F.lit(25)).cast("int"))
+    side = (F.col("idx") % 97).cast("double")
+    shape = F.when(F.col("idx") % 19 == 0, F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")))).otherwise(
+        F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(F.lit(x) * side, F.lit(y) * side) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))])).alias("coordinates"))))
+    props = F.to_json(F.struct("id", F.concat(F.lit('{"}['), "name").alias("name"), "status", "valid_from", "confidence", "evidence_ids", "source_ids"))
+    text = F.concat(F.lit('{"type": "Feature",\n "properties": '), props, F.lit(', "geometry": '), shape, F.lit("}"))
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("idx"))
+    lines = f.select("doc", number.alias("n"), F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("")), text).alias("value"))
+    docs = f.select("doc").distinct()
+    day = F.when(F.col("doc") % 7 == 3, F.lit("null")).otherwise(F.format_string('"2024-01-%02d"', F.col("doc") + 1))
+    kind = F.when(F.col("doc") % 5 == 2, F.lit("Features")).otherwise(F.lit("FeatureCollection"))
+    head = docs.select("doc", F.lit(0).alias("n"), F.concat(F.lit('{"metadata": {"snapshot_date": '), day, F.lit(', "note": "}, [{"}, "type": "'), kind, F.lit('", "features": [')).alias("value"))
+    tail = docs.select("doc", F.lit(2**31 - 1).alias("n"), F.when(F.col("doc") == 24, F.lit("]")).otherwise(F.lit("]}")).alias("value"))
+    path = _folder(spark)
+    whole = head.unionByName(lines).unionByName(tail).repartition("doc").sortWithinPartitions("doc", "n")
+    whole.select("doc", "value").write.partitionBy("doc").text(path)
+    read = geojson.read_collection(spark, path)
+    doc = F.regexp_extract("document", "/doc=([0-9]+)/", 1).cast("int").alias("doc")
+    return read, doc
+
+
+@query
+def split_snapshots(spark, sf):
+    """Features of GeoJSON files that are read by many tasks, with their place in the file."""
+    read, doc = _written_collections(spark, sf)
+    return read.features.select(doc, "snapshot_date", "idx", "id", "name", "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"), "geometry_type",
+                                F.expr("geometry[0][0][1][0]").alias("side"))
+
+
+@query
+def document_rules(spark, sf):
+    read, doc = _written_collections(spark, sf)
+    return snapshot_rules.document_rules(read.documents.withColumn("document", doc)).select(F.col("ctx").alias("doc"), "rule", "message")
+
+
+@query
+def ordered_table(spark, sf):
+    """Evidence from JSON arrays, by its order in the files: the first row of each id."""
+    rows = standin(spark, sf, "evidence").select("ordinal", "id", "source_id", "evidence_type", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("part"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("ordinal", "id"))
+    text = F.to_json(F.struct("id", "source_id", "evidence_type"))
+    lines = rows.select("part", number.alias("n"), F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("[")), text).alias("value"))
+    ends = rows.select("part").distinct().select("part", F.lit(2**31 - 1).alias("n"), F.lit("]").alias("value"))
+    path = _folder(spark)
+    lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
+    table = read_json_table(spark, path, "id string, source_id string, evidence_type string", ordinal=True)
+    return M.first_match(table, "id", "ordinal").select("id", "source_id", "evidence_type")
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 def _old(spark, sf):
@@ -436,6 +496,18 @@ def search_alias(spark, sf):
     return readside.search_points(standin(spark, sf, "places"), "item 19").select("ordinal", "id")
 
 
+@query
+def search_index(spark, sf):
+    """The first eight places for every brand, beginning of a type and two letters of it, through an index of letter runs."""
+    places, parts = standin(spark, sf, "places"), load(spark, sf, "part")
+    path = _folder(spark)
+    names = G.searched_names([F.col(c) for c in ("name", "name_ru", "name_uk", "name_en")], F.col("aliases"))
+    G.write_postings(places, "id", names, path)
+    texts = F.array("p_brand", F.concat(F.lit(" "), F.substring("p_type", 1, 5)), F.substring("p_type", 2, 2), F.substring("p_type", 1, 1), F.concat("p_type", F.lit("?")))
+    queries = parts.select(F.explode(texts).alias("query"))
+    return G.search(spark, path, queries, places, "id", names, "ordinal")
+
+
 @query
 def place_names(spark, sf):
     return standin(spark, sf, "places").select(
@@ -564,6 +636,31 @@ def archive_open_date(spark, sf):
     return standin(spark, sf, "archive").filter(F.col("snapshot_date") == F.lit(date(1998, 3, 14))).select("id", "area_km2", "pos")
 
 
+@query
+def published_archive(spark, sf):
+    """Both snapshots published through the gate: the audit with what the archive holds of each date."""
+    root, points = _folder(spark), standin(spark, sf, "points").drop("ordinal")
+    for day, rects in (("2024-01-01", "rects_old"), ("2024-01-02", "rects_new")):
+        apart = standin(spark, sf, rects).where("c = 0").withColumns({"x1": F.least("x1", F.col("x0") + 20), "y1": F.least("y1", F.col("y0") + 20)})  # no overlaps
+        f = rect_features(apart)
+        moderation = F.struct(F.lit("approved").alias("decision"), "moderation.reviewer", F.lit("2024-01-02T00:00:00Z").alias("reviewed_at"), F.lit("seen").alias("rationale"))
+        props = F.to_json(F.struct("id", F.col("id").alias("name"), "status", F.lit("2024-01-01T00:00:00Z").alias("valid_from"), "confidence", "evidence_ids", "source_ids", moderation.alias("moderation")))
+        text = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geojson.geometry_struct(), F.lit("}"))
+        number = F.row_number().over(Window.partitionBy("ctx").orderBy("idx"))
+        lines = f.select(number.alias("n"), F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("")), text).alias("value"))
+        ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","metadata":{"snapshot_date":"%s"},"features":[' % day), (2**31 - 1, "]}")], "n int, value string")
+        candidate = f"{_folder(spark)}/candidate"
+        lines.unionByName(ends).coalesce(1).sortWithinPartitions("n").select("value").write.text(candidate)
+        publish(spark, candidate, root, True, RULES_NOW, points)
+    dates = [r.date for r in archive.read_manifest(spark, root).select("date").collect()]  # two
+    counts = [archive.open_snapshot(spark, root, t, d, archive.ARCHIVE_SCHEMAS[t]).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(d).alias("snapshot_date"), F.lit(t).alias("table"), "rows") for d in dates for t in ("current", "changes", "points")]
+    wide = reduce(DataFrame.unionByName, counts).groupBy("snapshot_date").pivot("table", ["current", "changes", "points"]).agg(F.max("rows"))
+    audit = readside.newest_audit(archive.read_audit(spark, root)).join(archive.read_manifest(spark, root).select(F.col("date").alias("snapshot_date"), "change_count", "settlement_count"), "snapshot_date")
+    return audit.join(wide, "snapshot_date").select("seq", "action", "snapshot_date", F.array_join("reviewers", ",").alias("reviewers"), "change_count", "settlement_count",
+                                                    F.col("current").alias("areas"), F.col("changes").alias("changes"), F.col("points").alias("moved"))
+
+
 @query
 def manifest_upsert(spark, sf):
     base = standin(spark, sf, "manifest").select("date", "change_count", "settlement_count")

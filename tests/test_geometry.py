@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import feature, rect
-from geoledger.operators.edges import boundary_area, edge_table, feature_area_km2
+from geoledger.operators.edges import boundary_area, edge_table, exact_sum, feature_area_km2
 from geoledger.operators.locate import point_status
 from geoledger.operators.overlay import common_boundary, dissolve, prepared, subtract
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
@@ -182,3 +182,22 @@ def test_edge_area_matches_feature_area(spark):
     table = edges(spark, [("c", "x", rect(10, 50, 11, 51))])
     direct = feature_area_km2(spark.createDataFrame([("c", "x", rect(10, 50, 11, 51))], SHAPES), ["fid"]).first().area_km2
     assert abs(table.agg(boundary_area().alias("a")).first().a - direct) < 1e-9
+
+
+def test_sums_do_not_hang_on_the_partitions(spark):
+    """Equal bits over any number of partitions, where plain sums of doubles differ."""
+    rows = spark.range(60_000).selectExpr("id % 7 AS k", "CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END * pow(10, id % 13 - 5) * (1 + rand(3)) AS v")
+    rows = cut(rows)
+    exact, plain = set(), set()
+    for parts in (1, 8, 64):
+        dealt = rows.repartition(parts, F.xxhash64("v", F.lit(parts)))
+        both = {r.k: (r.e, r.p) for r in dealt.groupBy("k").agg(exact_sum(F.col("v")).alias("e"), F.sum("v").alias("p")).collect()}
+        exact.add(tuple(both[k][0].hex() for k in sorted(both)))
+        plain.add(tuple(both[k][1].hex() for k in sorted(both)))
+        assert all(abs(e - p) <= 1e-6 for e, p in both.values())
+    assert len(exact) == 1 and len(plain) > 1
+    edge = spark.createDataFrame([("c", "cell", rect(30, 48, 30.05, 48.05))], SHAPES)
+    assert len({feature_area_km2(edge.repartition(n), ["fid"]).first().area_km2.hex() for n in (1, 8)}) == 1
+    tiny = spark.createDataFrame([("c", "tiny", rect(30, 48, 30.000001, 48.000001))], SHAPES)
+    assert 0 < feature_area_km2(tiny, ["fid"]).first().area_km2 < 1e-6
+    assert spark.range(0).agg(exact_sum(F.col("id").cast("double")).alias("e")).first().e is None

@@ -9,7 +9,8 @@ from geoledger.functions import text as T
 from geoledger.functions.values import https_with_host, utc, zoned_timestamp
 from geoledger.plans.intake import collect_documents, queue_entries, source_health
 from geoledger.plans.messages import FeedProfile, extract_point_updates, gazetteer, merge_point_updates, newest_first
-from geoledger.sources.feeds import feed_config, read_feed_files, read_message_pages, rejected_feeds
+from geoledger.operators.grams import search, searched_names, write_postings
+from geoledger.sources.feeds import feed_config, feed_entries, read_feed_files, read_message_pages, rejected_feeds
 from geoledger.sources.tables import content_digest, empty_table, export_json, read_json_table
 
 NOW = datetime(2026, 8, 22, 12)
@@ -98,6 +99,34 @@ def test_feeds(spark, tmp_path):
     assert [r.id for r in config.collect()] == ["on"]
 
 
+def test_entries_at_any_depth_and_in_document_order(spark):
+    deep = ('<r:RDF xmlns:r="urn:r" xmlns="urn:f"><group><list><item><meta><title>deep</title></meta><updated>u</updated><published>p</published><link/>'
+            '<link href="https://b.example/second">https://b.example/text</link></item></list></group>'
+            "<entry><title> </title><title>second</title><link>  </link><link href='https://c.example/2'/><pubDate></pubDate><published>p2</published></entry>"
+            "<item><entry><title>inner</title><link href='https://d.example/in'/></entry><title>outer</title><link>https://d.example/out</link></item></r:RDF>")
+    rows = feed_entries(spark.createDataFrame([("s", 0, deep), ("s", 1, None), ("s", 2, ""), ("s", 3, "<r/>")], "source_id string, feed_pos int, xml string")).orderBy("entry_pos").collect()
+    assert [(r.entry_pos, r.title, r.url, r.published_at_raw) for r in rows] == [
+        (0, "deep", "https://b.example/text", "u"), (1, "", "", "p2"),  # white space counts as found; the first link has no address
+        (2, "inner", "https://d.example/out", ""), (3, "inner", "https://d.example/in", "")]
+
+
+def test_search_by_index_equals_the_scan(spark, tmp_path):
+    words = ["Bolt", "bo", "Größe", "Київ", "ab", "a", "", "olt b", "100%_x", "aaa aaaa", "BOLTED bolt"]
+    rows = [(f"p{k}", k, words[k % len(words)], None if k % 3 else words[(k * 7) % len(words)], None if k % 4 == 1 else [words[(k * 5) % len(words)], None]) for k in range(60)]
+    places = spark.createDataFrame(rows, "id string, ordinal int, name string, name_uk string, aliases array<string>")
+    names = [F.col("name"), F.col("name_uk")]
+    asked = ["  BoLt ", "bo", "b", "", "київ", "ИЇ", "%_", "aaaa", "lt b", "größe", "zz", "nothing here", None]
+    write_postings(places, "id", searched_names(names, F.col("aliases")), str(tmp_path))
+    got = {}
+    for r in search(spark, str(tmp_path), spark.createDataFrame([(q,) for q in asked], "query string"), places, "id", searched_names(names, F.col("aliases")), "ordinal").collect():
+        got.setdefault(r.query, {})[r.rank] = r.id
+    for q in asked:
+        want = [] if q is None else [r.id for r in places.filter(T.name_matches(q, names, F.col("aliases"))).orderBy("ordinal").limit(8).collect()]
+        assert [v for _, v in sorted(got.get(q, {}).items())] == want, q
+    plan = spark.read.parquet(f"{tmp_path}/postings").where(F.col("bucket").isin([3]))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan
+
+
 def test_health(spark):
     sources = spark.createDataFrame([("a", None), ("b", True), ("c", False)], "id string, monitor boolean")
     schema = "source_id string, http_status int, error_class string, checked_at timestamp"
