@@ -223,11 +223,10 @@ _sql("updates_over_two_polls", ("message_parts",), """
 SELECT CASE WHEN utc <= TIMESTAMP '2024-01-09' THEN 1 ELSE 2 END AS poll, id, sequence FROM updates""", _LINKS)
 _sql("rejected_messages", ("message_parts",), "SELECT page_id, post_id, stamp AS published_text FROM msg WHERE zone = '' AND user_id % 7 <> 0", _LINKS)
 _sql("merged_events", ("message_parts", "events"), """
-SELECT false AS from_feed, verification_status, count(*) AS rows, max(id) AS max_id, max(title) AS max_title FROM s_events GROUP BY verification_status
-UNION ALL SELECT true, 'probable', count(*), max(id), max('Геолокированное обновление: ' || label) FROM updates HAVING count(*) > 0""", _LINKS)
+SELECT id, title, verification_status, event_kind, CAST(event_date AS VARCHAR) AS event_date, coalesce(location_label, '?') AS label, array_to_string(evidence_ids, ',') AS evidence_ids, false AS from_feed FROM s_events
+UNION ALL SELECT id, 'Геолокированное обновление: ' || label, 'probable', 'territorial_update', event_date, label, 'ev-' || id, true FROM updates""", _LINKS)
 _sql("merged_evidence", ("message_parts", "evidence"), """
-SELECT false AS from_feed, evidence_type, count(*) AS rows, max(url) AS max_url FROM s_evidence GROUP BY evidence_type
-UNION ALL SELECT true, 'licensed_map', count(*), max(post_url) FROM updates HAVING count(*) > 0""", _LINKS)
+SELECT id, source_id, evidence_type, url FROM s_evidence UNION ALL SELECT 'ev-' || id, 'feed-map', 'licensed_map', post_url FROM updates""", _LINKS)
 _sql("merged_points", ("message_parts", "points"), """
 SELECT id, name, '' AS admin1, '' AS aliases, source_id FROM s_points
 UNION ALL SELECT 'settlement-' || id, label, 'Україна', label, 'feed-map' FROM updates""", _LINKS)
@@ -345,7 +344,8 @@ _sql("period_total_month", ("archive",), f"SELECT count(*) AS change_count, roun
 _sql("period_fallback", ("archive",), """
 SELECT id, area_km2, pos, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS rn FROM s_archive
   WHERE snapshot_date = (SELECT max(snapshot_date) FROM s_archive)) WHERE rn = 1""")
-_sql("archive_dates", ("archive",), "SELECT snapshot_date, count(*) AS change_count, round(sum(area_km2), 2) AS area_change_km2 FROM s_archive GROUP BY snapshot_date")
+_sql("archive_dates", ("archive",), """
+SELECT snapshot_date, count(*) AS change_count, round(sum(area_km2), 2) AS area_change_km2, row_number() OVER (ORDER BY snapshot_date DESC) - 1 AS ordinal FROM s_archive GROUP BY snapshot_date""")
 _sql("archive_open_date", ("archive",), "SELECT id, area_km2, pos FROM s_archive WHERE snapshot_date = DATE '1998-03-14'")
 _sql("manifest_upsert", ("manifest",), """
 SELECT date, change_count, settlement_count FROM s_manifest WHERE date NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem)
@@ -370,7 +370,7 @@ SELECT o_orderkey AS seq, 'publish_snapshot' AS action, CAST(CAST(o_orderdate AS
 _sql("latest_event", ("events",), "SELECT id, event_date FROM s_events ORDER BY coalesce(published_at, event_date) DESC, id DESC LIMIT 1")
 _sql("location_labels", ("events",), "SELECT event_kind, count(DISTINCT coalesce(location_label, '?')) AS labels, count(*) AS updates FROM s_events GROUP BY event_kind")
 _sql("coordinate_lookup", ("events", "claims"), """
-SELECT e.id, p.title FROM s_events e LEFT JOIN (SELECT lat, lon, arg_min(title, ordinal) AS title FROM s_claims WHERE lat IS NOT NULL GROUP BY lat, lon) p ON p.lat = e.lat AND p.lon = e.lon""")
+SELECT e.id, p.title, coalesce(p.title, e.location_label, '?') AS name_uk FROM s_events e LEFT JOIN (SELECT lat, lon, arg_min(title, ordinal) AS title FROM s_claims WHERE lat IS NOT NULL GROUP BY lat, lon) p ON p.lat = e.lat AND p.lon = e.lon""")
 _sql("event_status_labels", ("events",), "SELECT id, " + ", ".join(
     "CASE verification_status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE verification_status END AS {language}"
     for language, labels in vocab.EVENT_STATUS_LABELS.items()) + " FROM s_events")

@@ -20,7 +20,7 @@ from geoledger.operators.overlay import boundary_of, common_boundary, prepared
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
 from geoledger.plans import diff as D
 from geoledger.plans import intake, messages, readside, registry_rules, snapshot_rules
-from geoledger.plans.publish import publish
+from geoledger.plans.publish import audit_row, publish
 from geoledger.session import checkpoint_folder, cut
 from geoledger.sources import archive, geojson
 from geoledger.sources.tables import read_json_table
@@ -45,8 +45,8 @@ def query(fn):
 @query
 def evidence_unknown_source(spark, sf):
     evidence, sources = standin(spark, sf, "evidence"), standin(spark, sf, "sources")
-    return evidence.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti").groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("evidence_rows"))
+    unknown = M.unknown_members(evidence.withColumn("members", F.array("source_id")), ["ordinal", "id"], "members", sources)
+    return unknown.select(F.explode("unknown").alias("source_id")).groupBy("source_id").agg(F.count(F.lit(1)).alias("evidence_rows"))
 
 
 @query
@@ -371,14 +371,13 @@ def _merged(spark, sf):
 
 @query
 def merged_events(spark, sf):
-    return _merged(spark, sf).events.groupBy(F.array_contains("source_ids", "feed-map").alias("from_feed"), "verification_status").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"), F.max("title").alias("max_title"))
+    return _merged(spark, sf).events.select("id", "title", "verification_status", "event_kind", "event_date", F.coalesce("location_label", F.lit("?")).alias("label"),
+                                            F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_contains("source_ids", "feed-map").alias("from_feed"))
 
 
 @query
 def merged_evidence(spark, sf):
-    return _merged(spark, sf).evidence.groupBy((F.col("source_id") == "feed-map").alias("from_feed"), "evidence_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("url").alias("max_url"))
+    return _merged(spark, sf).evidence.select("id", "source_id", "evidence_type", "url")
 
 
 @query
@@ -626,9 +625,9 @@ def period_fallback(spark, sf):
 
 @query
 def archive_dates(spark, sf):
-    found = standin(spark, sf, "archive").groupBy("snapshot_date").agg(
+    found = standin(spark, sf, "archive").groupBy(F.col("snapshot_date").alias("date")).agg(
         F.count(F.lit(1)).alias("change_count"), F.round(F.sum("area_km2"), 2).alias("area_change_km2"))
-    return found.orderBy(F.desc("snapshot_date"))
+    return archive.ordered_manifest(found).withColumnRenamed("date", "snapshot_date")
 
 
 @query
@@ -704,8 +703,8 @@ def replace_source_evidence(spark, sf):
 
 @query
 def audit_reviewers(spark, sf):
-    f = _features(spark, sf)
-    return f.groupBy("status").agg(F.array_join(F.sort_array(F.collect_set("moderation.reviewer")), ",").alias("reviewers"))
+    f = _features(spark, sf).withColumn("snapshot_date", F.col("status"))
+    return audit_row(f, "digest", V.utc(RULES_NOW)).select(F.col("snapshot_date").alias("status"), F.array_join("reviewers", ",").alias("reviewers"))
 
 
 @query
@@ -729,8 +728,9 @@ def location_labels(spark, sf):
 @query
 def coordinate_lookup(spark, sf):
     """Place names by rounded coordinates, joined on decimals."""
-    e = standin(spark, sf, "events").select("id", F.round("location.lat", 6).cast("decimal(9,6)").alias("lat_key"), F.round("location.lon", 6).cast("decimal(9,6)").alias("lon_key"))
     places = standin(spark, sf, "claims").filter("location IS NOT NULL").select(
         F.round("location.lat", 6).cast("decimal(9,6)").alias("lat_key"), F.round("location.lon", 6).cast("decimal(9,6)").alias("lon_key"), "ordinal", "title")
-    named = M.pick(places, ["lat_key", "lon_key"], F.col("ordinal"), last=False)
-    return e.join(named, ["lat_key", "lon_key"], "left").select("id", "title")
+    named = M.pick(places, ["lat_key", "lon_key"], F.col("ordinal"), last=False).select(
+        "lat_key", "lon_key", *(F.col("title").alias(c) for c in ("known_uk", "known_ru", "known_en", "known_admin1")))
+    updates = standin(spark, sf, "events").select("id", F.coalesce("location_label", F.lit("?")).alias("label"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
+    return messages.named_updates(updates, named).select("id", F.col("known_ru").alias("title"), "name_uk")
