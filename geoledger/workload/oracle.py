@@ -150,6 +150,15 @@ _MEET = "a.c = b.c AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.
 _sql("feature_overlaps", ("rects_new",), f"""
 SELECT least('f-' || CAST(a.k AS VARCHAR), 'f-' || CAST(b.k AS VARCHAR)) AS left_id, greatest('f-' || CAST(a.k AS VARCHAR), 'f-' || CAST(b.k AS VARCHAR)) AS right_id,
   round({_pair_area('a', 'b')}, 2) AS overlap_km2 FROM s_rects_new a JOIN s_rects_new b ON a.k < b.k AND {_MEET}""")
+_sql("geometry_rules", ("rects_new",), f"""
+SELECT k AS idx, 'V-S16' AS rule, 'geometry is empty' AS message FROM shaped WHERE kind = 'empty'
+UNION ALL SELECT k, 'V-S18', 'geometry has zero area' FROM shaped WHERE kind = 'empty'
+UNION ALL SELECT k, 'V-S16', 'invalid geometry: nested shells' FROM shaped WHERE kind = 'nested'
+UNION ALL SELECT k, 'V-S17', 'coordinates outside WGS84 bounds' FROM shaped WHERE kind = 'far'
+UNION ALL SELECT k, 'V-S18', 'anomalous area' FROM shaped WHERE kind <> 'empty' AND (x1 - x0) * {_COLUMN_M!r} * ({_y('y1')} - {_y('y0')}
+  + CASE kind WHEN 'nested' THEN 0.5 * ({_y('y0 + 0.75 * (y1 - y0)')} - {_y('y0 + 0.25 * (y1 - y0)')}) ELSE 0 END) / 1e6 > 900
+UNION ALL SELECT a.k, 'V-S20', 'overlaps feature[' || b.k || ']' FROM shaped a JOIN shaped b ON a.k < b.k AND a.kind = b.kind AND a.kind IN ('plain', 'far') AND {_MEET}""",
+     "shaped AS (SELECT *, CASE WHEN k % 13 = 6 THEN 'empty' WHEN k % 7 = 4 THEN 'nested' WHEN k % 11 = 5 THEN 'far' ELSE 'plain' END AS kind FROM s_rects_new)")
 _sql("cross_snapshot_overlap", ("rects_old", "rects_new"), f"""
 SELECT 'f-' || CAST(a.k AS VARCHAR) AS old_id, 'f-' || CAST(b.k AS VARCHAR) AS new_id, round({_pair_area('a', 'b')}, 2) AS overlap_km2
 FROM s_rects_old a JOIN s_rects_new b ON {_MEET}""")

@@ -189,6 +189,17 @@ def document_rules(spark, sf):
     return snapshot_rules.document_rules(read.documents.withColumn("document", doc)).select(F.col("ctx").alias("doc"), "rule", "message")
 
 
+@query
+def geometry_rules(spark, sf):
+    """Nested shells, empty geometry, coordinates beyond the globe, large areas and overlaps of what is sound."""
+    at = lambda u, v: f"array(r[0][0] + {u}D * (r[2][0] - r[0][0]), r[0][1] + {v}D * (r[2][1] - r[0][1]))"
+    inner = f"array({at(0.25, 0.25)}, {at(0.75, 0.25)}, {at(0.75, 0.75)}, {at(0.25, 0.75)}, {at(0.25, 0.25)})"
+    kinds = f"""CASE WHEN idx % 13 = 6 THEN slice(geometry, 1, 0) WHEN idx % 7 = 4 THEN transform(geometry[0], r -> array(array(r), array({inner})))[0]
+        WHEN idx % 11 = 5 THEN transform(geometry, g -> transform(g, r -> transform(r, p -> array(p[0] + 360D, p[1])))) ELSE geometry END"""
+    found = snapshot_rules.geometry_rules(_new(spark, sf).withColumn("geometry", F.expr(kinds)), max_area_km2=900)
+    return found.select("idx", "rule", F.regexp_replace("message", " (by )?[0-9.]+ km².*$", "").alias("message"))
+
+
 @query
 def ordered_table(spark, sf):
     """Evidence from JSON arrays, by its order in the files: the first row of each id."""
