@@ -46,6 +46,17 @@ def https_with_host(url: Column) -> Column:
     return F.rlike(F.coalesce(url, F.lit("")), F.lit(r"^[\x00-\x20]*(?i)https://[^/?#]"))
 
 
+def is_date_time(text: Column) -> Column:
+    """Date, time with seconds and zone in the form that schemas call date-time, and a moment that exists."""
+    form = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"))
+    return F.coalesce(form & F.try_to_timestamp(F.upper(text)).isNotNull(), F.lit(False))
+
+
+def is_uri(text: Column) -> Column:
+    """A scheme, and behind it only characters that an address may hold."""
+    return F.coalesce(F.rlike(text, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:([!#$&-;=?-\[\]_a-z~]|%[0-9A-Fa-f]{2})*$")), F.lit(False))
+
+
 def absent(column: Column) -> Column:
     """NULL or empty text."""
     return F.coalesce(column.cast("string"), F.lit("")) == ""

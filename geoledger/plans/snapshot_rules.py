@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoledger import vocab
-from geoledger.functions.values import absent, age_hours, zoned_timestamp
+from geoledger.functions.values import absent, age_hours, is_date_time, is_uri, zoned_timestamp
 from geoledger.operators.edges import feature_area_km2
 from geoledger.operators.merges import later_occurrences, unknown_members
 from geoledger.operators.validity import bounds, invalid_features, overlapping_pairs
@@ -167,6 +167,8 @@ def evidence_schema_violations(evidence: DataFrame) -> DataFrame:
     hits.append(F.when(F.col("verification_note").isNull(), F.struct(F.lit("verification_note").alias("field"), F.lit("required").alias("message"))))
     hits.append(F.when(~absent(F.col("evidence_type")) & ~F.col("evidence_type").isin(*vocab.EVIDENCE_TYPES),
                        F.struct(F.lit("evidence_type").alias("field"), F.lit("not allowed").alias("message"))))
+    for field, sound, message in (("published_at", is_date_time, "not a date-time"), ("url", is_uri, "not a uri")):
+        hits.append(F.when(~absent(F.col(field)) & ~sound(F.col(field)), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))))
     return evidence.select("ordinal", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("ordinal", "v.*")
 
 

@@ -67,7 +67,8 @@ _sql("registry_rule_counts", ("sources", "evidence", "events", "claims"),
      "SELECT collection, rule, count(*) AS violations FROM (" + " UNION ALL ".join(
          [_SOURCES, _EVIDENCE, _event_rules("s_events", "events"), _event_rules("s_claims", "claims"), _MANIFEST]) + ") GROUP BY collection, rule")
 _sql("evidence_schema", ("evidence",),
-     "SELECT 'evidence_type' AS field, 'required' AS message, count(*) AS violations FROM s_evidence WHERE evidence_type = ''")
+     """SELECT 'evidence_type' AS field, 'required' AS message, count(*) AS violations FROM s_evidence WHERE evidence_type = ''
+UNION ALL SELECT 'published_at', 'not a date-time', count(*) FROM s_evidence""")
 _sql("event_schema", ("events",), f"""
 SELECT ordinal, 'title' AS field, 'required and not empty' AS message FROM s_events WHERE title = ''
 UNION ALL SELECT ordinal, 'summary', 'required and not empty' FROM s_events WHERE summary IS NULL
@@ -119,6 +120,11 @@ _sql("document_rules", ("features",), """
 SELECT DISTINCT doc, rule, message FROM placed JOIN (VALUES ('V-S1', 'cannot read snapshot'), ('V-S2', 'root.type must be FeatureCollection'),
   ('V-S3', 'metadata.snapshot_date is required for non-empty snapshots')) r(rule, message)
 ON CASE rule WHEN 'V-S1' THEN doc = 24 WHEN 'V-S2' THEN doc % 5 = 2 AND doc <> 24 ELSE doc % 7 = 3 AND doc <> 24 END""", _COLLECTIONS)
+_sql("metadata_schema", ("features",), """
+SELECT DISTINCT doc, path, message FROM placed JOIN (VALUES ('type', 'must be FeatureCollection'), ('metadata.methodology_version', 'required'), ('metadata.moderation_status', 'not allowed'))
+  r(path, message) ON doc <> 24 AND (path <> 'type' OR doc % 5 = 2)""", _COLLECTIONS)
+_sql("source_addresses", ("sources", "events"), """
+SELECT id, false AS sound FROM s_sources UNION ALL SELECT id, published_at IS NOT NULL FROM s_events""")
 _sql("ordered_table", ("evidence",), """
 SELECT id, source_id, evidence_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM s_evidence) WHERE rn = 1""")
 

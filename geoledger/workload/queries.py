@@ -189,6 +189,19 @@ def document_rules(spark, sf):
     return snapshot_rules.document_rules(read.documents.withColumn("document", doc)).select(F.col("ctx").alias("doc"), "rule", "message")
 
 
+@query
+def metadata_schema(spark, sf):
+    read, doc = _written_collections(spark, sf)
+    return snapshot_rules.metadata_schema_violations(read.documents.withColumn("document", doc)).withColumnRenamed("document", "doc")
+
+
+@query
+def source_addresses(spark, sf):
+    """Which addresses of sources and times of events have the form that the published schemas ask for."""
+    urls = standin(spark, sf, "sources").select("id", V.is_uri(F.col("url")).alias("sound"))
+    return urls.unionByName(standin(spark, sf, "events").select("id", V.is_date_time(F.coalesce("published_at", "event_date")).alias("sound")))
+
+
 @query
 def geometry_rules(spark, sf):
     """Nested shells, empty geometry, coordinates beyond the globe, large areas and overlaps of what is sound."""

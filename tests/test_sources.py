@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoledger import schemas
 from geoledger.functions import text as T
-from geoledger.functions.values import https_with_host, utc, zoned_timestamp
+from geoledger.functions.values import https_with_host, is_date_time, is_uri, utc, zoned_timestamp
 from geoledger.plans.intake import collect_documents, queue_entries, source_health
 from geoledger.plans.messages import FeedProfile, extract_point_updates, gazetteer, merge_point_updates, newest_first
 from geoledger.operators.grams import search, searched_names, write_postings
@@ -34,6 +34,10 @@ def test_urls_and_times(spark):
     for url, want in cases.items():
         assert one(spark, https_with_host(F.lit(url).cast("string"))) is want, url
     assert one(spark, zoned_timestamp(F.lit("2026-01-01T02:00:00+02:00"))) == one(spark, utc(datetime(2026, 1, 1)))
+    moments = {"2026-01-01T00:00:00Z": True, "2026-01-01t00:00:00.5+02:00": True, "2026-01-01T00:00:00": False, "2026-13-01T00:00:00Z": False, "2026-01-01": False, None: False}
+    uris = {"https://a.example/x?y=%20#z": True, "urn:a:b": True, "http://[::1]/": True, "https://a b": False, "//a.example": False, "x": False, "https://a/%zz": False, "https://a/{b}": False, None: False}
+    for sound, cases in ((is_date_time, moments), (is_uri, uris)):
+        assert [one(spark, sound(F.lit(v).cast("string"))) for v in cases] == list(cases.values())
     for bad in ("2026-01-01T00:00:00", "yesterday", "", "2026-13-01T00:00:00Z"):
         assert one(spark, zoned_timestamp(F.lit(bad))) is None
 
