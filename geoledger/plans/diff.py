@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoledger import vocab
 from geoledger.functions.labels import labelled
+from geoledger.operators.candidates import box_pairs
 from geoledger.operators.edges import boundary_area, edge_table, exact_sum, sheared_sql
 from geoledger.operators.locate import point_status, points_in_regions
 from geoledger.operators.overlay import (
@@ -148,13 +149,40 @@ def provenance(touching: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, empty) for c in ("evidence_ids", "source_ids")})
 
 
+def dirty_features(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What can take part in a change: current features that did not stand there before with the same status and geometry, and
+    the previous and the current features whose boxes meet theirs.
+
+    What was gained lies within the changed features: an equal feature covers nothing that its twin did not cover before. So
+    borders are cut and overlaid only there, and the cost follows the change and not the map.
+    """
+    shape = lambda df: _status(df).withColumn("_shape", F.xxhash64("geometry"))
+    new, old = shape(current).alias("n"), shape(previous).select("ctx", "status", "_shape", "geometry").alias("o")
+    same = ((F.col("n.ctx") == F.col("o.ctx")) & (F.col("n.status") == F.col("o.status")) & (F.col("n._shape") == F.col("o._shape"))
+            & (F.col("n.geometry") == F.col("o.geometry")))
+    dirty = cut(new.join(old, same, "left_anti").drop("_shape"))
+    flat = F.flatten(F.flatten("geometry"))
+    edge = lambda pick, k: pick(F.transform(flat, lambda p: p[k]))
+    box = lambda df, name: df.select(
+        "ctx", F.col("id").alias(name), edge(F.array_min, 0).alias("minx"), edge(F.array_min, 1).alias("miny"), edge(F.array_max, 0).alias("maxx"),
+        edge(F.array_max, 1).alias("maxy")).where("minx IS NOT NULL")
+    boxes = cut(box(dirty, "_changed"))
+
+    def near(df: DataFrame) -> DataFrame:
+        met = box_pairs(boxes, box(df, "id"), ["_changed"], ["id"]).select("ctx", "id").distinct()
+        return cut(df.join(met, ["ctx", "id"], "left_semi"))
+
+    return dirty, near(previous), near(current)
+
+
 def diff_snapshots(previous: DataFrame, current: DataFrame, min_part_km2: float = vocab.MIN_PART_KM2,
                    labels: dict[str, str] | None = None) -> DataFrame:
     """One row per changed part: id, date, layer, statuses, texts, area, provenance, geometry (ctx = date)."""
     current = cut(current)
-    changes = changed_parts(previous, current, min_part_km2)
+    dirty, before, around = dirty_features(previous, current)
+    changes = changed_parts(before, dirty, min_part_km2)
     origin = dominant_origin(origin_areas(changes))
-    proof = provenance(touching_features(changes, current), current)
+    proof = provenance(touching_features(changes, around), around)
     polygons = part_polygons(changes.parts)
     shapes = polygons.select("ctx", F.col("part").cast("string").alias("fid"), "geometry")
     joined = (changes.areas.join(origin, ["ctx", "fid"], "left").join(proof, ["ctx", "fid"], "left")

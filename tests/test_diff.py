@@ -111,3 +111,29 @@ def test_archive_dates_pair_up(features):
     previous, current = consecutive_pairs(archive)
     assert sorted((r.snapshot_date, r.ctx) for r in previous.collect()) == [("2026-01-01", "2026-01-02"), ("2026-01-02", "2026-01-03")]
     assert current.count() == 3
+
+
+def test_only_what_changed_is_overlaid(spark, features, monkeypatch):
+    """A map of which little changed gives the rows of the overlay of the whole map, from few features."""
+    import random
+
+    from geoledger.plans import diff as D
+
+    rnd, statuses = random.Random(5), ("contested", "control_ua", "control_ru")
+    place = lambda k: ((k % 8) * 1.0, (k // 8) * 1.0)
+    old = [(k, statuses[k % 3], rect(x, y, x + 1, y + 1)) for k, (x, y) in ((k, place(k)) for k in range(40))]
+    new = list(old)
+    new[9] = (9, statuses[1], old[9][2])                                  # another status
+    x, y = place(20)
+    new[20] = (20, old[20][1], rect(x - 0.25, y, x + 1, y + 0.5))         # another shape, over its neighbour
+    new[33] = (133, old[33][1], old[33][2])                               # another id only
+    new = [f for f in new if f[0] not in (5, 19)] + [(50, "contested", rect(20, 20, 21, 21))]
+    rnd.shuffle(new)
+    table = lambda rows: features([feature(k, s, g) for k, s, g in rows])
+    dirty, before, around = D.dirty_features(table(old), table(new))
+    assert sorted(r.id for r in dirty.collect()) == ["f20", "f50", "f9"] and before.count() < 20 and around.count() < 20
+    rows = lambda: sorted((r.to_status, str(r.from_status), r.area_km2_exact.hex(), r.confidence, str(r.evidence_ids), str(r.reviews),
+                           sorted(str(p) for part in r.geometry for ring in part for p in ring[1:])) for r in diff_snapshots(table(old), table(new)).collect())
+    quick = rows()
+    monkeypatch.setattr(D, "dirty_features", lambda previous, current: (current, previous, current))
+    assert quick == rows() and len(quick) >= 3
