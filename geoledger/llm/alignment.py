@@ -6,6 +6,7 @@ import numpy as np
 
 CELLS = 1_000_000  # cells of a group of pairs in memory; only a single longer pair takes more
 NARROW = 12
+FAR = 1 << 28
 
 
 def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +30,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _group(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     """Edit distance of each pair along paths that stay within ``width`` of the diagonal (an upper bound of the true one)."""
     rows = max(len(a) for a, _ in pairs)
-    far = np.int32(1 << 28)
+    far = np.int32(FAR)
     left = np.zeros((len(pairs), rows), dtype=np.int64)
     right = np.full((len(pairs), rows + 2 * width + 1), -1, dtype=np.int64)
     for p, (a, b) in enumerate(pairs):
@@ -55,17 +56,16 @@ def _group(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray
     return out
 
 
-def within(pairs: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
-    """Whether the edit distance of each pair is at most ``share`` of the longer sequence."""
-    result = np.zeros(len(pairs), dtype=bool)
+def bounds(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
+    """For each pair a number that its edit distance does not exceed, at most its limit; ``FAR`` where the distance is above the limit."""
+    result = np.full(len(pairs), FAR, dtype=np.int64)
     waiting: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-    for k, (a, b) in enumerate(pairs):
-        limit = int(share * max(len(a), len(b)) + 1e-9)
+    for k, ((a, b), limit) in enumerate(zip(pairs, limits)):
         if abs(len(a) - len(b)) > limit:
             continue
         a, b = _trimmed(a, b)
         if len(a) == 0 or len(b) == 0:
-            result[k] = max(len(a), len(b)) <= limit
+            result[k] = max(len(a), len(b))
         elif max(len(a), len(b)) - _common(a, b) <= limit:
             waiting.append((k, a, b, limit))
     for final in (False, True):  # a narrow band settles most pairs; a band as wide as the limit settles the others exactly
@@ -83,9 +83,14 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarr
             part = waiting[low:high]
             for item, distance in zip(part, _group([(a, b) for _, a, b, _ in part], width)):
                 if distance <= item[3]:
-                    result[item[0]] = True
+                    result[item[0]] = distance
                 elif not final:
                     rest.append(item)
             low = high
         waiting = rest
     return result
+
+
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``share`` of the longer sequence."""
+    return bounds(pairs, [int(share * max(len(a), len(b)) + 1e-9) for a, b in pairs]) < FAR

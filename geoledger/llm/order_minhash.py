@@ -5,16 +5,24 @@ function a text keeps the two smallest labelled windows in the order in which th
 such an ordered pair are candidates, so texts with the same windows in another order rarely are. A candidate is a link if
 the edit distance of the word sequences, found by alignment in a band, is at most a fifth of the longer one.
 
-Skew: exact copies are reduced to one representative before anything else. All pairs of a bucket are tested: its members are
-dealt over blocks of about ``BLOCK`` (fewer where texts are long) and every two blocks form a group, so a bucket of any size is spread over many tasks and no
-task holds more than two blocks. A pair is tested only in the first of the buckets that it shares, which the keys tell without a
-shuffle. Lengths, word histograms and position-wise differences bound the distance and settle most pairs; the others are aligned.
-A batch of groups returns how many links each text has there and a spanning forest of them, so rows grow with texts and not with pairs;
-the work grows with the pairs of a bucket. Classes are the connected components of the links, found by jobs over tables of links.
+Skew: exact copies are reduced to one representative, told apart by a digest of its words, before anything else. In buckets of more
+than one block of ``BLOCK`` texts (fewer where texts are long) each block is then reduced to cliques: leaders are taken in rising
+length, and a text within a tenth of the leader's length joins it. Edit distance is a metric and the leader is the shortest, so all
+members of a leader are linked to each other, which needs neither tests nor more than one row a member. A text is dealt to a block
+in the largest of its buckets only. From then on a clique is one unit with its members' keys, and a bucket of n close texts holds
+about n / 256 units.
+
+The units of a bucket are dealt over blocks and every two blocks form a group, so no task holds more than two blocks. Two texts
+outside cliques are tested only in the first bucket they share, which their keys tell without a shuffle; a batch of groups returns how
+many links each has there and a spanning forest of them. For a clique the distance of the leaders and the radii tell whether all
+its members are linked to those of the other unit, or none; only the pairs left over are tested member by member. Lengths, word histograms
+and position-wise differences settle most tests, the others are aligned. Classes are the connected components, found by jobs over tables.
+
+Links are the similar pairs that share a key, belong to one clique, or belong to cliques that share a key.
 
 Defined results: a text with fewer than five words is one window; null and texts without words form classes of their own;
-rows that repeat a ``doc_id`` are told apart by their texts; a text whose smallest id is null has a null class and no links;
-other columns are not read.
+rows that repeat a ``doc_id`` are told apart by their texts; a class is named by its smallest id that is not null (null if it has
+none), so classes that share such an id share the name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.alignment import within
+from geoledger.llm.alignment import FAR, bounds
 from geoledger.llm.memory import tidy
 from geoledger.llm.names import spare_name
 from geoledger.llm.wordarrays import Words, mix, row_chunks, text_column
@@ -103,8 +111,14 @@ def _sequence_digest(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return sums[0], sums[1]
 
 
+def _digests(words: Words) -> pa.Array:
+    """16 bytes that stand for each text's word sequence."""
+    both = np.stack(_sequence_digest(words), axis=1)
+    return pa.array([row.tobytes() for row in both], pa.binary())
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """``doc_id``, digest ``d1``, ``d2`` of the words, ``n_words``, ``keys``; written, one pass over the texts."""
+    """``doc_id``, ``mark`` (a hash of the text), ``rep`` (a digest of its words), ``n_words``, ``keys``; written, one pass over the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,21 +127,23 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             for low, high in row_chunks(texts):
                 words = Words(texts.slice(low, high - low))
                 keys = iter(order_sketches(words).view(np.int64))
-                d1, d2 = _sequence_digest(words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(d1), pa.array(d2), pa.array(words.counts),
+                    [batch.column("doc_id").slice(low, high - low), batch.column("mark").slice(low, high - low), _digests(words), pa.array(words.counts),
                      pa.array([next(keys) if n else None for n in words.counts.tolist()], pa.list_(pa.int64()))],
-                    names=["doc_id", "d1", "d2", "n_words", "keys"])
+                    names=["doc_id", "mark", "rep", "n_words", "keys"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, d1 long, d2 long, n_words long, keys array<long>"))
+    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+               .mapInArrow(tidy(run), f"doc_id {kind}, mark long, rep binary, n_words long, keys array<long>"))
 
 
-def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id`` and its word hashes (32 bits each) for the documents in ``ids``; written."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = ids.withColumnRenamed("id", "__id")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _word_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rep`` and its word hashes (32 bits each) for the representatives ``rep``, ``id`` in ``wanted``; written."""
+    ids = _few(cut(wanted.select(F.col("id").alias("__id")).distinct()))
+    reps = _few(cut(wanted.select("rep").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,26 +152,26 @@ def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 words = Words(texts.slice(low, high - low))
                 short = words.hashes.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low),
+                    [_digests(words),
                      pa.array([short[a:b].tobytes() for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())], pa.binary())],
-                    names=["id", "words"])
+                    names=["rep", "words"])
 
-    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
-    # rows that repeat an id: one of their texts, always the same
-    return cut(chosen.mapInArrow(tidy(run), f"id {kind}, words binary").groupBy("id").agg(F.max("words").alias("words")))
+    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    return cut(chosen.mapInArrow(tidy(run), "rep binary, words binary").join(reps, "rep", "left_semi")
+               .groupBy("rep").agg(F.max("words").alias("words")))
 
 
 _GROUP = ("k", "key", "p", "q")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = _GROUP) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
     """Batches that end where a group ends, and the borders of their groups; rows come sorted by group."""
     held = None
     for batch in batches:
         batch = batch if held is None else pa.concat_batches([held, batch])
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy() for c in _GROUP]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         starts = [0, *(np.flatnonzero(new) + 1).tolist()]
         held = batch.slice(starts[-1])
@@ -169,18 +185,42 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
-def _untested(group: pa.RecordBatch, keys: np.ndarray, sizes: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group that share no earlier bucket and whose lengths allow a link; with two blocks only pairs across."""
-    n, (k, p, q) = len(keys), (group.column(c)[0].as_py() for c in ("k", "p", "q"))
+def _borders(starts: list[int], end: int) -> Iterator[tuple[int, int]]:
+    return zip(starts, starts[1:] + [end] * (starts[-1] < end))
+
+
+class _Units:
+    """Sizes of the units of a batch, and how far apart the leaders of two units may be."""
+
+    def __init__(self, batch: pa.RecordBatch, share: float):
+        self.n, self.members, self.radius, self.longest = (batch.column(c).to_numpy() for c in ("n_words", "members", "radius", "longest"))
+        self.keys, self.share = _numbers(batch.column("keys"), SKETCHES), share
+
+    def limit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """If leaders are farther apart, no member of one unit is linked to one of the other."""
+        return (self.share * np.maximum(self.longest[i], self.longest[j]) + 1e-9).astype(np.int64) + self.radius[i] + self.radius[j]
+
+    def all_linked(self, x: int, y: int, distance: int) -> bool:
+        return distance + self.radius[x] + self.radius[y] <= int(self.share * max(self.n[x], self.n[y]) + 1e-9)
+
+    def single(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.members[i] == 1) & (self.members[j] == 1)
+
+
+def _untested(group: pa.RecordBatch, units: _Units, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the group that begins at row ``at`` whose lengths allow a link, of single texts only those that share no earlier
+    bucket; with two blocks only pairs across."""
+    n, (k, p, q) = group.num_rows, (group.column(c)[0].as_py() for c in ("k", "p", "q"))
     split = n if p == q else int(np.searchsorted(group.column("side").to_numpy(), 1))
     for low in range(0, split, 64):
-        mine = np.arange(low, min(low + 64, split))
-        others = np.arange(low + 1 if p == q else split, n)
-        long, short = np.maximum(sizes[mine, None], sizes[others]), np.minimum(sizes[mine, None], sizes[others])
-        fits = (long - short <= (share * long + 1e-9).astype(np.int64)) & (mine[:, None] < others)
-        for earlier in range(k):
-            fits &= keys[mine, None, earlier] != keys[others, earlier]
-        i, j = np.nonzero(fits)
+        mine = at + np.arange(low, min(low + 64, split))
+        others = at + np.arange(low + 1 if p == q else split, n)
+        left = mine[:, None]
+        fits = (np.abs(units.n[left] - units.n[others]) <= units.limit(left, others)) & (left < others)
+        earlier = np.zeros(fits.shape, dtype=bool)
+        for e in range(k):
+            earlier |= units.keys[left, e] == units.keys[others, e]
+        i, j = np.nonzero(fits & ~(earlier & units.single(left, others)))
         yield mine[i], others[j]
 
 
@@ -188,11 +228,10 @@ def _histograms(words: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bincount(w % np.uint32(BINS), minlength=BINS) for w in words]).astype(np.int32)
 
 
-def _settled(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair whether it is surely linked, and whether it may be."""
+def _settled(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair a bound of its distance that is within the limit (``FAR`` if none was found yet), and whether it may be within."""
     sizes = np.array([len(w) for w in words])
-    limit = (share * np.maximum(sizes[i], sizes[j]) + 1e-9).astype(np.int64)
-    linked, possible = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
+    found, possible = np.full(len(i), FAR, dtype=np.int64), np.zeros(len(i), dtype=bool)
     for low in range(0, len(i), PAIRS):
         a, b = i[low:low + PAIRS], j[low:low + PAIRS]
         common = np.minimum(bins[a], bins[b]).sum(axis=1)  # no pair has more words in common
@@ -201,9 +240,20 @@ def _settled(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.nda
         a, b = words[i[at]], words[j[at]]
         n = min(len(a), len(b))
         apart = abs(len(a) - len(b))
-        linked[at] = (np.count_nonzero(a[:n] != b[:n]) + apart <= limit[at]
-                      or apart > 0 and np.count_nonzero(a[len(a) - n:] != b[len(b) - n:]) + apart <= limit[at])
-    return linked, possible
+        distance = np.count_nonzero(a[:n] != b[:n]) + apart
+        if apart and distance > limit[at]:
+            distance = np.count_nonzero(a[len(a) - n:] != b[len(b) - n:]) + apart
+        if distance <= limit[at]:
+            found[at] = distance
+    return found, possible
+
+
+def _measured(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Bounds of the distances of pairs, ``FAR`` beyond the limit."""
+    found, possible = _settled(words, bins, i, j, limit)
+    rest = np.flatnonzero(possible & (found == FAR))
+    found[rest] = bounds([(words[a], words[b]) for a, b in zip(i[rest].tolist(), j[rest].tolist())], limit[rest].tolist())
+    return found
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,96 +275,209 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _groups_to_test(reps: DataFrame, share: float) -> DataFrame:
-    """Groups of at most two blocks of a bucket: ``k``, ``key``, ``p``, ``q``, ``side``, ``id``, ``n_words``, ``keys`` of the texts with
-    a pair to be tested there; written."""
-    kind = reps.schema["id"].dataType.simpleString()
-    members = reps.where("id is not null").select("id", "n_words", "keys", F.posexplode("keys").alias("k", "key"))
-    sizes = cut(members.groupBy("k", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("total")).where("n > 1"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int")
-    placed = (members.join(sizes, ["k", "key"]).withColumn("g", blocks).withColumn("mine", F.pmod(F.xxhash64("id", "n_words", "keys"), "g").cast("int"))
+def _members(reps: DataFrame) -> DataFrame:
+    return reps.select("rep", "n_words", F.posexplode("keys").alias("k", "key"))
+
+
+def _blocks() -> F.Column:
+    return F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WORDS)).cast("int")
+
+
+def _cliques(docs: DataFrame, reps: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """``unit`` (the leader), ``rep``, ``off`` (a bound of the distance between them) of the texts of large buckets, and their words;
+    written. A text alone is no clique."""
+    large = cut(_members(reps).groupBy("k", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"))
+                .withColumn("g", _blocks()).where("g > 1 AND n > 2"))
+    homes = cut(_members(reps).join(large, ["k", "key"]).groupBy("rep", "n_words").agg(F.max(F.struct("n", "k", "key", "g")).alias("h"))
+                .selectExpr("rep", "n_words", "h.k", "h.key", "cast(pmod(xxhash64(rep), h.g) AS int) AS p").withColumn("q", F.col("p")))
+    words = _word_table(docs, homes.join(reps.select("rep", "id"), "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches):
+            names, sizes = batch.column("rep"), batch.column("n_words").to_numpy()
+            texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
+            for low, high in _borders(starts, batch.num_rows):
+                bins, left = _histograms(texts[low:high]), np.arange(high - low)
+                while len(left) > 1:
+                    head, others = left[:1], left[1:]
+                    radius = int(share / 2 * sizes[low + head[0]] + 1e-9)
+                    close = others[sizes[low + others] - sizes[low + head[0]] <= radius]
+                    off = _measured(texts[low:high], bins, np.repeat(head, len(close)), close, np.full(len(close), radius))
+                    joined = close[off < FAR]
+                    if len(joined):
+                        rows = np.append(head, joined)
+                        yield pa.RecordBatch.from_arrays(
+                            [names.take(pa.array(np.full(len(rows), low + head[0]))), names.take(pa.array(low + rows)), pa.array(np.append(0, off[off < FAR]))],
+                            names=["unit", "rep", "off"])
+                    left = others[~np.isin(others, joined)]
+
+    dealt = homes.join(words, "rep").select(*_GROUP, "rep", "n_words", "words").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "n_words", "rep")
+    return cut(dealt.mapInArrow(tidy(run), "unit binary, rep binary, off long")), words
+
+
+_UNIT = ("rep", "n_words", "members", "radius", "longest", "keys")
+_UNIT_TYPES = "rep binary, n_words long, members long, radius long, longest long, keys array<long>"
+
+
+def _groups_to_test(reps: DataFrame, cliques: DataFrame, units: DataFrame, share: float) -> DataFrame:
+    """Groups of at most two blocks of a bucket: ``k``, ``key``, ``p``, ``q``, ``side`` and the units with a pair to be tested there; written."""
+    own = _members(reps).join(cliques.select("rep", "unit"), "rep", "left")
+    found = cut(own.where("unit IS NULL").select("k", "key", "rep").unionByName(
+        own.where("unit IS NOT NULL").select("k", "key", F.col("unit").alias("rep")).distinct()))
+    sized = found.join(units.select("rep", "n_words"), "rep")
+    sizes = cut(sized.groupBy("k", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("total")).where("n > 1"))
+    placed = (found.join(sizes, ["k", "key"]).withColumn("g", _blocks()).withColumn("mine", F.pmod(F.xxhash64("rep"), "g").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
               .select("k", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
-                      (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n_words", "keys"))
+                      (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep").join(units, "rep").select(*_GROUP, "side", *_UNIT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, borders in _whole_groups(batches):
-            keys, sizes = _numbers(batch.column("keys"), SKETCHES), batch.column("n_words").to_numpy()
-            wanted = np.zeros(batch.num_rows, dtype=bool)
-            for low, high in zip(borders, borders[1:] + [batch.num_rows] * (borders[-1] < batch.num_rows)):
+        for batch, starts in _whole_groups(batches):
+            sized, wanted = _Units(batch, share), np.zeros(batch.num_rows, dtype=bool)
+            for low, high in _borders(starts, batch.num_rows):
                 if high - low > 1:
-                    for i, j in _untested(batch.slice(low, high - low), keys[low:high], sizes[low:high], share):
-                        wanted[low + i] = wanted[low + j] = True
+                    for i, j in _untested(batch.slice(low, high - low), sized, low):
+                        wanted[i] = wanted[j] = True
             if wanted.any():
                 yield batch.filter(pa.array(wanted))
 
     dealt = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side")
-    return cut(dealt.mapInArrow(tidy(run), f"k int, key long, p int, q int, side int, id {kind}, n_words long, keys array<long>"))
+    return cut(dealt.mapInArrow(tidy(run), f"k int, key long, p int, q int, side int, {_UNIT_TYPES}"))
+
+
+_FOREST, _DEGREE, _ALL, _SOME = range(4)
 
 
 def _linked_groups(groups: DataFrame, words: DataFrame, share: float) -> DataFrame:
-    """``a``, ``b``, ``n``: the links of a spanning forest of each batch of groups (``n`` null), and for each text ``a`` its number of
-    links there (``b`` null); written."""
-    kind = groups.schema["id"].dataType.simpleString()
+    """``a``, ``b``, ``kind``, ``n``; written. For single texts the links of a spanning forest of each batch of groups, and for each text ``a``
+    its number ``n`` of links there; for pairs with a clique whether all members are linked, or some may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, borders in _whole_groups(batches):
-            keys, sizes, ids = _numbers(batch.column("keys"), SKETCHES), batch.column("n_words").to_numpy(), batch.column("id")
+        for batch, starts in _whole_groups(batches):
+            units, ids = _Units(batch, share), batch.column("rep")
             texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
             names = ids.to_pylist()
             first: dict = {}
-            row = [first.setdefault(name, x) for x, name in enumerate(names)]  # one row stands for an id, in whatever groups it is
+            row = [first.setdefault(name, x) for x, name in enumerate(names)]  # one row stands for a unit, in whatever groups it is
             linked: list[tuple[int, int]] = []
             forests: list[tuple[int, int]] = []
-            waiting: list[tuple[int, int]] = []
+            waiting: list[tuple[int, int, int]] = []
+            met: dict[tuple[int, int], int] = {}
+            degree: Counter = Counter()
 
-            def align() -> None:
+            def found(x: int, y: int, distance: int) -> None:
+                if units.members[x] == units.members[y] == 1:
+                    linked.append((x, y))
+                else:
+                    pair = (row[x], row[y]) if names[x] < names[y] else (row[y], row[x])
+                    met[pair] = min(met.get(pair, _SOME), _ALL if units.all_linked(x, y, distance) else _SOME)
+
+            def settle() -> None:  # links so far are counted and reduced to a forest
                 for at in range(0, len(waiting), PAIRS):
                     part = waiting[at:at + PAIRS]
-                    linked.extend(x for x, yes in zip(part, within([(texts[a], texts[b]) for a, b in part], share)) if yes)
+                    for (x, y, _), distance in zip(part, bounds([(texts[x], texts[y]) for x, y, _ in part], [w[2] for w in part]).tolist()):
+                        if distance < FAR:
+                            found(x, y, distance)
                 waiting.clear()
-
-            degree: Counter = Counter()
-
-            def settle() -> None:  # links so far are counted and reduced to a forest
-                align()
                 degree.update(row[x] for pair in linked for x in pair)
                 forests[:] = _forest(forests + [(row[a], row[b]) for a, b in linked])
                 linked.clear()
 
-            for low, high in zip(borders, borders[1:] + [batch.num_rows] * (borders[-1] < batch.num_rows)):
+            for low, high in _borders(starts, batch.num_rows):
                 if high - low < 2:
                     continue
                 bins = _histograms(texts[low:high])
-                for i, j in _untested(batch.slice(low, high - low), keys[low:high], sizes[low:high], share):
-                    sure, possible = _settled(texts[low:high], bins, i, j, share)
-                    for x, y, yes in zip((low + i[possible]).tolist(), (low + j[possible]).tolist(), sure[possible].tolist()):
-                        if names[x] != names[y]:
-                            (linked if yes else waiting).append((x, y))
+                for i, j in _untested(batch.slice(low, high - low), units, low):
+                    limit = units.limit(i, j)
+                    distances, possible = _settled(texts[low:high], bins, i - low, j - low, limit)
+                    for x, y, most, distance in zip(*(c[possible].tolist() for c in (i, j, limit, distances))):
+                        if distance < FAR:
+                            found(x, y, distance)
+                        else:
+                            waiting.append((x, y, most))
                     if len(waiting) + len(linked) >= 16 * PAIRS:
                         settle()
             settle()
-            if degree:
-                rows = list(degree)
-                one = pa.array([x for x, _ in forests] + rows, pa.int64())
-                two = pa.array([y for _, y in forests] + [None] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(one), ids.take(two), pa.array([None] * len(forests) + [degree[x] for x in rows], pa.int64())],
-                                                 names=["a", "b", "n"])
-
-    met = groups.join(words, "id").select(*_GROUP, "side", "id", "n_words", "keys", "words")
+            out = ([(a, b, _FOREST, None) for a, b in forests] + [(a, None, _DEGREE, n) for a, n in degree.items()]
+                   + [(a, b, kind, None) for (a, b), kind in met.items()])
+            if out:
+                one, two, kinds, n = (pa.array(c, pa.int64()) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([ids.take(one), ids.take(two), kinds, n], names=["a", "b", "kind", "n"])
+
+    met = groups.join(words, "rep").select(*_GROUP, "side", *_UNIT, "words")
     dealt = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side")
-    return cut(dealt.mapInArrow(tidy(run), f"a {kind}, b {kind}, n long"))
+    return cut(dealt.mapInArrow(tidy(run), "a binary, b binary, kind long, n long"))
+
 
+def _linked_members(pairs: DataFrame, cliques: DataFrame, units: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """For pairs ``a``, ``b`` of units: the pairs with a link (``rep`` null), and for each ``rep`` its number ``n`` of links there; written."""
+    alone = units.where("members = 1").select(F.col("rep").alias("unit"), "rep")
+    texts = cliques.select("unit", "rep").unionByName(alone).join(words, "rep")
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("unit")),
+                                                     F.struct(F.lit(1).alias("side"), F.col("b").alias("unit")))).alias("s"))
 
-def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Representatives (``d1``, ``d2``, ``id``) of equal texts, links ``a``, ``b`` that connect all linked representatives, and ``id``,
-    ``n_links`` over all pairs of representatives that share a key and are similar."""
-    reps = cut(sketches.where("n_words > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_words", "keys")).alias("r"))
-               .select("d1", "d2", F.col("r.doc_id").alias("id"), "r.n_words", "r.keys"))
-    groups = _groups_to_test(reps, 1 - similarity)
-    found = _linked_groups(groups, _word_table(docs, cut(groups.select("id").distinct())), 1 - similarity)
-    degree = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    return reps.select("d1", "d2", "id"), found.where("n is null").select("a", "b"), degree
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, ("a", "b")):
+            side, names = batch.column("side").to_numpy(), batch.column("rep").to_pylist()
+            texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            degree: Counter = Counter()
+            linked = []
+            for low, high in _borders(starts, batch.num_rows):
+                bins, split = _histograms(texts[low:high]), int(np.searchsorted(side[low:high], 1))
+                some = False
+                for x in range(split):
+                    j = np.arange(split, high - low)
+                    limit = (share * np.maximum(sizes[low + x], sizes[low + j]) + 1e-9).astype(np.int64)
+                    j, limit = (c[np.abs(sizes[low + j] - sizes[low + x]) <= limit] for c in (j, limit))
+                    close = j[_measured(texts[low:high], bins, np.full(len(j), x), j, limit) < FAR]
+                    degree.update({names[low + x]: len(close)})
+                    degree.update(names[low + y] for y in close.tolist())
+                    some |= len(close) > 0
+                if some:
+                    linked.append(low)
+            counted = [(name, n) for name, n in degree.items() if n]
+            empty = [None] * len(counted)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(c).take(pa.array(linked, pa.int64())).to_pylist() + empty, pa.binary()) for c in ("a", "b")]
+                + [pa.array([None] * len(linked) + [name for name, _ in counted], pa.binary()),
+                   pa.array([None] * len(linked) + [n for _, n in counted], pa.int64())], names=["a", "b", "rep", "n"])
+
+    met = sides.select("a", "b", "s.side", "s.unit").join(texts, "unit").select("a", "b", "side", "rep", "words")
+    dealt = met.repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    return cut(dealt.mapInArrow(tidy(run), "a binary, b binary, rep binary, n long"))
+
+
+def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Representatives ``rep``, ``id`` (the smallest that is not null), ``unit``, ``n_links`` of equal texts, and links ``a``, ``b`` of units that
+    connect all linked representatives."""
+    share = 1 - similarity
+    reps = cut(sketches.where("n_words > 0").groupBy("rep").agg(
+        F.min("doc_id").alias("id"), F.min("n_words").alias("n_words"), F.min("keys").alias("keys")))
+    cliques, clique_words = _cliques(docs, reps, share)
+    joined = reps.join(cliques, "rep", "left").withColumn("unit", F.coalesce("unit", "rep"))
+    shape = joined.groupBy(F.col("unit").alias("rep")).agg(
+        F.count("*").alias("members"), F.coalesce(F.max("off"), F.lit(0)).cast("long").alias("radius"), F.max("n_words").alias("longest"))
+    units = cut(reps.join(shape, "rep").select(*_UNIT))
+    groups = _groups_to_test(reps, cliques, units, share)
+    words = _word_table(docs, groups.select("rep").distinct().join(reps.select("rep", "id"), "rep"))
+    found = _linked_groups(groups, words, share)
+
+    pairs = cut(found.where(f"kind >= {_ALL}").groupBy("a", "b").agg(F.min("kind").alias("kind")))
+    sure, open_pairs = pairs.where(f"kind = {_ALL}").select("a", "b"), pairs.where(f"kind = {_SOME}").select("a", "b")
+    every = words.unionByName(clique_words).groupBy("rep").agg(F.max("words").alias("words"))
+    tested = _linked_members(open_pairs, cliques, units, every, share)
+    both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    by_unit = (both.join(units.select(F.col("rep").alias("b"), "members"), "b").select("a", F.col("members").alias("n"))
+               .unionByName(found.where(f"kind = {_DEGREE}").select("a", "n"))
+               .groupBy(F.col("a").alias("unit")).agg(F.sum("n").alias("whole")))
+    by_text = tested.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("single"))
+    counted = (joined.select("rep", "id", "unit").join(units.select(F.col("rep").alias("unit"), "members"), "unit")
+               .join(by_unit, "unit", "left").join(by_text, "rep", "left")
+               .selectExpr("rep", "id", "unit", "members - 1 + coalesce(whole, 0) + coalesce(single, 0) AS n_links"))
+    links = (found.where(f"kind = {_FOREST}").select("a", "b").unionByName(sure)
+             .unionByName(tested.where("rep IS NULL").select("a", "b")))
+    return cut(counted), links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,22 +499,40 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("id", "c")
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``class_id`` (the smallest id of the class), ``n_links`` (links of its representative), per row of ``docs``."""
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and for each ``rep`` its class ``part`` (a digest), the name ``class_id`` of that class, and ``n_links``; written."""
     sketches = sketch_table(docs)
-    reps, links, degree = find_links(docs, sketches, similarity)
-    classes = cut(reps.join(components(links), "id", "left").join(degree, "id", "left")
-                  .select("d1", "d2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    worded = sketches.where("n_words > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "class_id", "n_links")
+    reps, links = find_links(docs, sketches, similarity)
+    parts = components(links).select(F.col("id").alias("unit"), F.col("class_id").alias("part"))
+    placed = cut(reps.join(parts, "unit", "left").withColumn("part", F.coalesce("part", "unit")))
+    names = placed.groupBy("part").agg(F.min("id").alias("class_id"))
+    return sketches, cut(placed.join(names, "part").selectExpr("rep", "part", "class_id", "cast(n_links AS long) AS n_links"))
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``class_id`` (the smallest id of the class), ``n_links`` (links of its text to other texts), per row of ``docs``."""
+    sketches, classes = _classes(docs, similarity)
+    worded = sketches.where("n_words > 0").select("doc_id", "rep").join(classes, "rep").select("doc_id", "class_id", "n_links")
     empty = sketches.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.unionByName(empty)
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its class, all columns kept. Rows with one id stay together."""
-    classes = near_duplicate_classes(docs, similarity)
-    copy = spare_name(docs, "copy")
-    gone = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(copy)).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col(copy), "left_anti")
+    """One row of ``docs`` for each class, all columns kept: a row with its smallest id that is not null (of several texts with that id the one
+    of the smallest hash; of equal rows any one). All rows without words stay."""
+    sketches, classes = _classes(docs, similarity)
+    rows = cut(sketches.where("n_words > 0").groupBy("doc_id", "mark", "rep").agg(F.count("*").alias("rows"))
+               .join(classes.select("rep", "part"), "rep").select("doc_id", "mark", "part", "rows"))
+    best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")).select(
+        "part", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"))
+    mine = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
+    judged = cut(rows.join(best, "part").select("doc_id", "mark", mine.alias("stays"), "rows"))
+    copy, mark = spare_name(docs, "copy"), spare_name(docs, "mark")
+    named = (F.col("doc_id").alias(copy), F.col("mark").alias(mark))
+    same = F.col("doc_id").eqNullSafe(F.col(copy)) & (F.xxhash64("text") == F.col(mark))
+    kept = docs.join(_few(cut(judged.where("NOT stays").select(*named))), same, "left_anti")
+    repeated = cut(judged.where("stays AND rows > 1").select(*named))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(_few(repeated), same, "left_anti").unionByName(
+        kept.join(_few(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
