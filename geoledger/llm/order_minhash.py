@@ -7,7 +7,7 @@ the edit distance of the word sequences, found by alignment in a band, is at mos
 
 Skew: exact copies are reduced to one representative, told apart by a digest of its words, before anything else. In buckets of more
 than one block of ``BLOCK`` texts (fewer where texts are long) each block is then reduced to cliques: leaders are taken in rising
-length, and a text within a tenth of the leader's length joins it. Edit distance is a metric and the leader is the shortest, so all
+length, and a text within a fifteenth of the leader's length (a third of the limit) joins it. Edit distance is a metric and the leader is the shortest, so all
 members of a leader are linked to each other, which needs neither tests nor more than one row a member. A text is dealt to a block
 in the largest of its buckets only. From then on a clique is one unit with its members' keys, and a bucket of n close texts holds
 about n / 256 units.
@@ -300,7 +300,7 @@ def _cliques(docs: DataFrame, reps: DataFrame, share: float) -> tuple[DataFrame,
                 bins, left = _histograms(texts[low:high]), np.arange(high - low)
                 while len(left) > 1:
                     head, others = left[:1], left[1:]
-                    radius = int(share / 2 * sizes[low + head[0]] + 1e-9)
+                    radius = int(share / 3 * sizes[low + head[0]] + 1e-9)  # so leaders as close as members settle their cliques
                     close = others[sizes[low + others] - sizes[low + head[0]] <= radius]
                     off = _measured(texts[low:high], bins, np.repeat(head, len(close)), close, np.full(len(close), radius))
                     joined = close[off < FAR]
