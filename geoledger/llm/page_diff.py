@@ -3,7 +3,8 @@
 Pages are sorted by host and path; neighbours in that order are paired, their lines (block texts) aligned by longest common
 subsequence, and lines that both share are deleted: what a site repeats on neighbouring pages is not an article. Markup
 decides first: the contents of scripts, forms, navigation and the like are never text, and lines that a page itself marks
-as its article are never deleted, so passages that two articles share survive. A neighbour that shares nearly all its text
+as its article are never deleted, so passages that two articles share survive. All other lines, also those beside a marked
+article, stay unless the neighbour has them too. A neighbour that shares nearly all its text
 is a copy and is passed over for the neighbour on the other side; between two copies nothing is deleted.
 
 Work and memory: pages are dealt over tasks by ranges of (host, path, id), so a host of any size is spread over many tasks;
@@ -117,8 +118,6 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             stack.append(flags)
             chrome, article = chrome + flags[1], article + flags[2]
     flush()
-    if any(marked for _, marked in out):
-        return [line for line in out if line[1]]
     return out
 
 
