@@ -2,9 +2,11 @@
 
 The frequent words form classes of equal size; the network predicts the class of the next token, then the token within its
 class. All other words share one token whose probability is divided by their corpus counts, so the score is a proper log
-probability of the text over an open vocabulary. The network is trained in numpy by truncated backpropagation through time on
-a bounded sample; counts cover all training documents. For scoring, the state is carried from window to window, so a
-document of any length is scored as a whole.
+probability of the text over an open vocabulary. The network learns from all training documents, by truncated backpropagation
+through time in numpy inside the tasks: a hash deals the documents over rounds and, within a round, over trainers; each trainer
+goes on from the network of the round before, and the mean of what they arrive at is the network of the next round. The number of
+trainers follows the tokens. For scoring, the state is carried from window to window, so a document of any length is
+scored as a whole.
 
 Data flow: counts are summed by Spark. The ``KEPT`` most frequent words travel to the tasks; the counts of all rarer words
 are met by a join on the word's hash (a rare word has few occurrences, so no key is hot) and summed up by document.
@@ -31,10 +33,13 @@ KEPT = 1 << 17
 CLASSES = 32
 CLASS_SIZE = 32
 HIDDEN = 24
-TRAIN_DOCS = 2000
 STREAMS = 64
 WINDOW = 32
 EPOCHS = 2
+ROUNDS = 4
+SHARE = 1 << 19  # tokens that a trainer gets in a round, about
+SLICES = 16  # parts in which weights are shuffled to be averaged
+MOST_TASKS = 1024  # tasks of a round; beyond it a task holds several trainers, one after another
 RATE = 4e-3
 ADDED = 0.1
 BATCH = 256
@@ -168,48 +173,63 @@ class GatedNetwork:
                 back[rows] += d @ p["w"][k].T
         return out, back
 
-    def train(self, stream: np.ndarray) -> None:
-        """Adam over windows of ``STREAMS`` parallel streams; gradients stop at window borders, states go on."""
-        length = (len(stream) - 1) // STREAMS
+    def train(self, stream: np.ndarray, begun: float = 0.0, part: float = 1.0) -> None:
+        """Adam over windows of ``STREAMS`` parallel streams; gradients stop at window borders, states go on. The rate falls to
+        zero over the whole training, of which this is ``part`` after the share ``begun``."""
+        streams = min(STREAMS, max((len(stream) - 1) // WINDOW, 1))
+        length = (len(stream) - 1) // streams
         if length < 1:
             return
-        inputs = stream[:STREAMS * length].reshape(STREAMS, length)
-        targets = stream[1:STREAMS * length + 1].reshape(STREAMS, length)
+        inputs = stream[:streams * length].reshape(streams, length)
+        targets = stream[1:streams * length + 1].reshape(streams, length)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, total = 0, EPOCHS * -(-length // WINDOW)
         for _ in range(EPOCHS):
-            h = np.zeros((STREAMS, HIDDEN), dtype=np.float32)
+            h = np.zeros((streams, HIDDEN), dtype=np.float32)
             for low in range(0, length, WINDOW):
-                part = inputs[:, low:low + WINDOW]
-                out, h, steps = self.states(part, h, keep=True)
+                tokens = inputs[:, low:low + WINDOW]
+                out, h, steps = self.states(tokens, h, keep=True)
                 gradient = {k: np.zeros_like(v) for k, v in self.p.items()}
                 goal = targets[:, low:low + WINDOW].T.reshape(-1)
                 _, back = self.log_probabilities(out.reshape(-1, HIDDEN), goal, gradient)
-                self._backward(part, steps, back.reshape(out.shape), gradient)
+                self._backward(tokens, steps, back.reshape(out.shape), gradient)
                 step += 1
                 scale = 1.0 / len(goal)
-                rate = RATE * (1 - step / (total + 1))
+                rate = RATE * (1 - begun - part * step / (total + 1))
                 for k, g in gradient.items():
                     g = g * scale
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] -= (rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)]).astype(np.float64)
+
+    def set_weights(self, values: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = values[at:at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+
     def _backward(self, tokens: np.ndarray, steps: list, back: np.ndarray, gradient: dict) -> None:
         later = np.zeros_like(back[0])
         u = self.p["u"]
+        every = np.empty((len(steps), *later.shape[:1], 3 * HIDDEN), dtype=np.float32)
         for t in range(len(steps) - 1, -1, -1):
             h, z, r, n, recurrent = steps[t]
             d = back[t] + later
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (h - n) * z * (1 - z)
             dr = dn * recurrent * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], axis=1)
-            np.add.at(gradient["x"], tokens[:, t], gates)
+            every[t] = np.concatenate([dz, dr, dn], axis=1)
             from_state = np.concatenate([dz, dr, dn * r], axis=1)
             gradient["u"] += h.T @ from_state
             later = (d * z + from_state @ u.T) * (tokens[:, t] != self.end)[:, None]
+        flat = tokens.T.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        gradient["x"][flat[order][starts]] += np.add.reduceat(every.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each token sequence (its last token is the end), in windows with carried state."""
@@ -237,9 +257,9 @@ class GatedNetwork:
 
 
 def train_network(training: DataFrame, vocabulary: Vocabulary) -> GatedNetwork:
-    """A network from at most ``TRAIN_DOCS`` documents of ``training``, the first in the order of a hash."""
-    sample = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).withColumnRenamed("doc_id", "__id")
+    """A network that has learnt from every document of ``training``, each in one round and there ``EPOCHS`` times."""
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+    trainers = max(1, -(-vocabulary.tokens // (ROUNDS * SHARE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,20 +268,65 @@ def train_network(training: DataFrame, vocabulary: Vocabulary) -> GatedNetwork:
                 words = _hashes(texts.slice(low, high - low))
                 tokens = shared.value.look_up(words.hashes.view(np.int64))[1].astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low),
-                     pa.array([tokens[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:])], pa.binary())], names=["doc_id", "tokens"])
+                    [batch.column("place").slice(low, high - low),
+                     pa.array([tokens[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:])], pa.binary())], names=["place", "tokens"])
 
-    kind = training.schema["doc_id"].dataType.simpleString()
-    chosen = training.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left_semi")  # at most TRAIN_DOCS ids
-    rows = chosen.mapInArrow(tidy(run), f"doc_id {kind}, tokens binary").orderBy(F.xxhash64("doc_id"), "doc_id", "tokens").toArrow()
+    dealt = training.select(F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(tidy(run), "place long, tokens binary")
+    turn, trainer = F.pmod("place", F.lit(ROUNDS)), F.pmod(F.floor(F.col("place") / ROUNDS), F.lit(trainers))
+    learning = cut(dealt.select("place", "tokens", turn.cast("int").alias("turn"), trainer.cast("long").alias("trainer")))
     network = GatedNetwork(vocabulary.shares, vocabulary.end)
-    parts = [np.array([vocabulary.end], dtype=np.int32)]
-    for tokens in rows.column("tokens").to_pylist():
-        parts += [np.frombuffer(tokens, dtype=np.int16).astype(np.int32), parts[0]]
-    network.train(np.concatenate(parts))
+    if vocabulary.tokens:
+        for number in range(ROUNDS):
+            mine = learning.where(F.col("turn") == number).drop("turn")
+            network.set_weights(_next_weights(mine, network, number, trainers))
     return network
 
 
+def _next_weights(learning: DataFrame, network: GatedNetwork, number: int, trainers: int) -> np.ndarray:
+    """The mean of the weights at which the trainers of a round arrive, each weighted by its tokens."""
+    model = learning.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, key, parts = None, 0, None, []
+
+        def learn() -> None:
+            nonlocal total, seen
+            own = GatedNetwork.__new__(GatedNetwork)
+            own.end, own.p = model.value.end, {k: v.copy() for k, v in model.value.p.items()}
+            end = np.array([own.end], dtype=np.int32)
+            pieces = [end]
+            for tokens in parts:
+                pieces += [np.frombuffer(tokens, dtype=np.int16).astype(np.int32), end]
+            stream = np.concatenate(pieces)
+            own.train(stream, number / ROUNDS, 1 / ROUNDS)
+            weighted = own.weights() * len(stream)
+            total, seen = weighted if total is None else total + weighted, seen + len(stream)
+
+        for batch in batches:
+            for trainer, tokens in zip(batch.column("trainer").to_pylist(), batch.column("tokens").to_pylist()):
+                if trainer != key and parts:
+                    learn()
+                    parts = []
+                key = trainer
+                parts.append(tokens)
+        if parts:
+            learn()
+        if seen:
+            slices = [x.tobytes() for x in np.array_split(total, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array(slices, pa.binary())],
+                                             names=["slice", "seen", "total"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(t) for t in table.column("total").to_pylist()], axis=0)
+        value = total / sum(table.column("seen").to_pylist())
+        return pa.table({"slice": table.column("slice").slice(0, 1), "value": pa.array([value.tobytes()], pa.binary())})
+
+    ordered = learning.repartition(min(trainers, MOST_TASKS), "trainer").sortWithinPartitions("trainer", "place", "tokens")
+    found = ordered.mapInArrow(tidy(run), "slice int, seen long, total binary").groupBy("slice").applyInArrow(mean, "slice int, value binary")
+    rows = {r["slice"]: r["value"] for r in found.collect()}  # the weights of one network
+    return np.concatenate([np.frombuffer(rows[k]) for k in sorted(rows)]) if rows else network.weights()
+
+
 def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, network: GatedNetwork) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score``, ``score`` for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()

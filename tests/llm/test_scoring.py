@@ -186,3 +186,18 @@ def test_network_gradients_and_windows(monkeypatch):
     monkeypatch.setattr(gru_lm, "WINDOW", 7)
     monkeypatch.setattr(gru_lm, "BATCH", 2)
     assert np.allclose(whole, network.score(documents), rtol=1e-4)
+
+
+def test_every_training_document_reaches_the_network(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARE", 64)
+    docs = spark.createDataFrame([(k, f"one two three {k % 3} four") for k in range(300)], "doc_id long, text string")
+    vocabulary = gru_lm.read_vocabulary(gru_lm.count_words(docs))
+    seen, real = [], gru_lm._next_weights
+    def counted(learning, *rest):
+        seen.append(learning.count())
+        return real(learning, *rest)
+    monkeypatch.setattr(gru_lm, "_next_weights", counted)
+    before = gru_lm.GatedNetwork(vocabulary.shares, vocabulary.end).weights()
+    network = gru_lm.train_network(docs, vocabulary)
+    assert len(seen) == gru_lm.ROUNDS and sum(seen) == 300
+    assert np.isfinite(network.weights()).all() and np.abs(network.weights() - before).max() > 1e-4
