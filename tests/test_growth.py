@@ -4,6 +4,9 @@ import datetime
 
 import pytest
 
+from conftest import rect
+from geoledger.operators import candidates
+from geoledger.operators.validity import invalid_features
 from geoledger.workload import queries as W
 
 _LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_returnflag string, l_shipdate date"
@@ -28,3 +31,18 @@ def test_a_json_array_is_one_file_whatever_the_partitions(spark, small_partition
     got = sorted(tuple(r) for r in W.ordered_table(spark, str(tmp_path)).collect())
     assert got == sorted(tuple(r) for r in W.first_evidence_per_id(spark, str(tmp_path)).collect())
     assert len(got) == 900
+
+
+def test_validity_sends_no_growing_table_through_the_driver(spark):
+    found = invalid_features(spark.createDataFrame([(f"c{k}", f"f{k}", rect(k, 0, k + 1, 1)) for k in range(4)], "ctx string, id string, geometry array<array<array<array<double>>>>"))
+    kinds = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert kinds and not [k for k in kinds if "Broadcast" in k]
+
+
+def test_boxes_visit_only_grids_that_hold_boxes(spark):
+    box = "ctx string, {0} long, minx double, maxx double, miny double, maxy double"
+    left = spark.createDataFrame([("c", k, k * 0.5, k * 0.5 + 0.4, 0.0, 0.4) for k in range(20)], box.format("a"))
+    right = spark.createDataFrame([("c", 0, 0.0, 10.0, 0.0, 10.0), ("c", 1, 1.1, 1.15, 0.1, 0.15), ("d", 2, 0.0, 1.0, 0.0, 1.0)], box.format("b"))
+    assert sorted(candidates._native_levels(left)) == [4] and len(candidates._native_levels(right)) == 3
+    got = sorted((r.a, r.b) for r in candidates.box_pairs(left, right, ["a"], ["b"]).collect())
+    assert got == sorted([(k, 0) for k in range(20)] + [(2, 1)])
