@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoledger import vocab
 from geoledger.functions.values import absent, https_with_host
 from geoledger.operators.merges import duplicates, unknown_members
+from geoledger.session import cut
 
 COLUMNS = ("collection", "ordinal", "rule", "message")
 
@@ -80,10 +81,18 @@ def event_rules(events: DataFrame, collection: str, sources: DataFrame, evidence
 
 
 def manifest_rules(manifest: DataFrame) -> DataFrame:
-    """Dates unique and newest first, in the order of the ordinals, which may have gaps. One row for each published date,
-    so one window over the table is small."""
-    following = F.lead("date").over(Window.orderBy("ordinal"))
-    rising = _any(manifest.select("date", following.alias("_later")).filter(F.col("_later") > F.col("date")))
+    """Dates unique and newest first, in the order of the ordinals, which may have gaps.
+
+    Neighbours are compared within ranges of ordinals, and the last row of each range with the first one of the next.
+    """
+    ranges = cut(manifest.select("ordinal", "date").repartitionByRange("ordinal").withColumn("_range", F.spark_partition_id()))
+    later = lambda over: F.lead("date").over(over).alias("_later")
+    numbered = ranges.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("ordinal")))
+    inner = numbered.select("date", later(Window.partitionBy("_range").orderBy("_n")))
+    end = lambda pick: pick(F.struct("date"), "_n")["date"]
+    ends = numbered.groupBy("_range").agg(end(F.min_by).alias("_first"), end(F.max_by).alias("date"))  # one row a range
+    outer = ends.select("date", F.lead("_first").over(Window.orderBy("_range")).alias("_later"))
+    rising = _any(inner.unionByName(outer).filter(F.col("_later") > F.col("date")))
     return _rows(rising, "manifest", "V-D15", F.lit("dates must be reverse chronological")).unionByName(
         _repeated(manifest, "date", "manifest", "V-D14", "duplicate dates"))
 

@@ -7,6 +7,7 @@ import pytest
 from conftest import rect
 from geoledger.operators import candidates
 from geoledger.operators.validity import invalid_features
+from geoledger.plans.registry_rules import manifest_rules
 from geoledger.workload import queries as W
 
 _LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_returnflag string, l_shipdate date"
@@ -46,3 +47,21 @@ def test_boxes_visit_only_grids_that_hold_boxes(spark):
     assert sorted(candidates._native_levels(left)) == [4] and len(candidates._native_levels(right)) == 3
     got = sorted((r.a, r.b) for r in candidates.box_pairs(left, right, ["a"], ["b"]).collect())
     assert got == sorted([(k, 0) for k in range(20)] + [(2, 1)])
+
+
+def _rising(spark, rows):
+    found = manifest_rules(spark.createDataFrame(rows, "ordinal long, date date"))
+    return sorted(r.rule for r in found.collect())
+
+
+def test_neighbours_of_a_long_manifest(spark, small_partitions):
+    days = [(k, datetime.date(2000, 1, 1) + datetime.timedelta(days=2000 - k)) for k in range(2000)]
+    assert _rising(spark, days) == []
+    for wrong in (1, 700, 1999):  # one day too late, whatever the range it comes to
+        assert "V-D15" in _rising(spark, [(k, d + datetime.timedelta(days=5 if k == wrong else 0)) for k, d in days])
+
+
+def test_manifest_rows_are_not_one_task(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS ordinal", "date_sub(DATE '2020-01-01', CAST(id AS int)) AS date")
+    plan = manifest_rules(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "windowspecdefinition(ordinal" not in plan
