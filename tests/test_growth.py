@@ -4,9 +4,10 @@ import datetime
 
 import pytest
 
-from conftest import rect
-from geoledger.operators import candidates
+from conftest import feature, rect
+from geoledger.operators import candidates, overlay, rings
 from geoledger.operators.validity import invalid_features
+from geoledger.plans import diff
 from geoledger.plans.registry_rules import manifest_rules
 from geoledger.workload import queries as W
 
@@ -65,3 +66,68 @@ def test_manifest_rows_are_not_one_task(spark):
     rows = spark.range(0, 4000, 1, 4).selectExpr("id AS ordinal", "date_sub(DATE '2020-01-01', CAST(id AS int)) AS date")
     plan = manifest_rules(rows)._jdf.queryExecution().executedPlan().toString()
     assert "_range" in plan and "windowspecdefinition(ordinal" not in plan
+
+
+def _cycles(sizes):
+    """(id, next) of rings of the given sizes, their edges dealt over all numbers."""
+    count = sum(sizes)
+    step = next(k for k in range(count // 3 + 2, 10 * count) if all(k % p for p in range(2, count + 1) if count % p == 0))
+    ids, low, links = [k * step % count for k in range(count)], 0, []
+    for n in sizes:
+        mine = ids[low:low + n]
+        links += zip(mine, mine[1:] + mine[:1])
+        low += n
+    return links
+
+
+def _walked(links):
+    after, out = dict(links), {}
+    for start in after:
+        ring, at, n = [start], after[start], 1
+        while at != start:
+            ring.append(at)
+            at = after[at]
+        out[start] = (min(ring), ring.index(min(ring)))
+    return out
+
+
+def test_rings_inside_a_block_take_no_rounds(spark, monkeypatch):
+    links = _cycles([1, 2, 3, 4, 40, 7, 5])
+    monkeypatch.setattr(rings, "MAX_ROUNDS", 0)
+    got = {r.id: (r.ring, r.dist) for r in rings.ring_labels(spark.createDataFrame(links, "id long, next long")).collect()}
+    assert got == _walked(links)
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_rings_across_blocks(spark, monkeypatch, bits):
+    links = _cycles([1, 2, 3, 4, 40, 7, 6])
+    table = spark.createDataFrame(links + [(100, 101), (101, links[0][0]), (200, None)], "id long, next long")  # two that run into a ring, one that ends
+    monkeypatch.setattr(rings, "BLOCK_BITS", bits, raising=False)
+    got = {r.id: (r.ring, r.dist) for r in rings.ring_labels(table).collect()}
+    ring, dist = _walked(links)[links[0][0]]
+    assert got == {**_walked(links), 100: (ring, dist + 2), 101: (ring, dist + 1), 200: (200, 0)}
+
+
+def test_what_stands_in_both_snapshots_is_one_region(spark, features, monkeypatch):
+    seen, plain = [], overlay.prepared
+
+    def counted(*given):
+        found = plain(*given)
+        seen.append(found.stats.count())
+        return found
+
+    monkeypatch.setattr(overlay, "prepared", counted)
+    old = features([feature(1, "lost", rect(0, 0, 2, 2)), feature(2, "lost", rect(1, 0, 3, 2))])
+    new = features([feature(1, "lost", rect(0, 0, 2, 2)), feature(2, "lost", rect(1, 0, 4, 2))])
+    pieces = diff.gained_areas(old, new)
+    assert seen == [3]
+    gained = overlay.boundary_of(pieces, "a AND NOT b")
+    assert sorted({x for r in gained.collect() for x in (r.x1, r.x2)}) == [3.0, 4.0]
+
+
+def test_overlay_joins_by_numbers(spark, features):
+    from geoledger.operators.edges import edge_table
+    table = features([feature(1, "lost", rect(0, 0, 2, 2)), feature(2, "lost", rect(1, 1, 3, 3))])
+    regions = overlay.prepared(edge_table(table, diff.F.col("ctx"), diff.F.col("id")))
+    assert "string" not in dict(regions.index.dtypes).values()
+    assert overlay.common_boundary(regions, regions, "aid < bid").select("aid", "bid").distinct().count() == 1
