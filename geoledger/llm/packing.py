@@ -34,6 +34,7 @@ EPOCHS = 2
 POPULATION = 4
 CROSSOVERS = 10
 WELL_FILLED = 0.98
+TEXT_BYTES = 1 << 19  # of text at a time: word arrays take some 30 times that
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,7 +46,7 @@ def tokenised_pieces(docs: DataFrame, path: str) -> DataFrame:
         known = vocabulary(path)
         for batch in batches:
             texts, ids = text_column(batch), batch.column("doc_id").cast(pa.int64())
-            for low, high in row_chunks(texts, 2 << 20):
+            for low, high in row_chunks(texts, TEXT_BYTES):
                 rows = []
                 every, bounds = known.encode(texts.slice(low, high - low))
                 for k, doc_id in enumerate(ids.slice(low, high - low).to_pylist()):

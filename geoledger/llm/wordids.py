@@ -16,7 +16,6 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from geoledger.llm.wordarrays import Words
@@ -124,7 +123,8 @@ class Vocabulary:
         fold = self.folds and not any(t in low for t in self.added)  # added tokens mind the case
         raw = low if fold else raw
         words = Words(texts, lower=fold)
-        codes, distinct = pd.factorize(words.hashes)
+        coded = pa.array(words.hashes).dictionary_encode()  # by first appearance
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         if not len(distinct):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
         place = self._places(distinct)

@@ -74,3 +74,11 @@ def test_squeezed_integers_come_back():
         assert (unsqueeze(squeeze(values), kind) == values).all() and len(unsqueeze(squeeze(values[:0]), kind)) == 0
     ids = random.integers(-5, 2**62, 100)
     assert (unsqueeze(squeeze(ids, rising=False), np.int64, rising=False) == ids).all()
+
+
+def test_packing_workers_load_no_pandas():
+    """What a worker imports stays with it, and executors run many."""
+    import subprocess
+    import sys
+    code = "import sys, geoledger.llm.packing; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
