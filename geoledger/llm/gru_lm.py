@@ -5,8 +5,8 @@ class. All other words share one token whose probability is divided by their cor
 probability of the text over an open vocabulary. The network learns from all training documents, by truncated backpropagation
 through time in numpy inside the tasks: a hash deals the documents over rounds and, within a round, over trainers; each trainer
 goes on from the network of the round before, and the mean of what they arrive at is the network of the next round. The number of
-trainers follows the tokens. For scoring, the state is carried from window to window, so a document of any length is
-scored as a whole.
+trainers follows the tokens, and each has a task of its own. For scoring, documents are strung together in streams and the state is
+carried from window to window and cleared between documents, so a document of any length is scored as a whole.
 
 Data flow: counts are summed by Spark. The ``KEPT`` most frequent words travel to the tasks; the counts of all rarer words
 are met by a join on the word's hash (a rare word has few occurrences, so no key is hot) and summed up by document.
@@ -17,12 +17,13 @@ are scored one by one; only ``doc_id`` and ``text`` are read; words are told apa
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.llm.memory import tidy
@@ -103,9 +104,18 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top.column("word").to_numpy(), top.column("c").to_numpy(), int(total["n"] or 0), int(total["v"]))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax_of(scores: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the log of the softmax at its target, and the softmax."""
+    rows = np.arange(len(targets))
+    with np.errstate(over="ignore"):
+        shares = np.exp(scores)
+    sums = shares @ np.ones(shares.shape[1], dtype=shares.dtype)
+    if len(sums) and not (sums.min() > 1e-30 and sums.max() < 1e30):  # far from zero: shifted first
+        scores = scores - scores.max(axis=1, keepdims=True)
+        shares = np.exp(scores)
+        sums = shares.sum(axis=1)
+    shares /= sums[:, None]
+    return scores[rows, targets] - np.log(sums), shares
 
 
 class GatedNetwork:
@@ -125,53 +135,86 @@ class GatedNetwork:
         }
 
     def states(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False):
-        """Hidden states after each of the tokens (rows: sequences); the state is cleared where a document begins."""
-        p = self.p
-        gates = p["x"][tokens]
-        out = np.empty((tokens.shape[1], len(h), HIDDEN), dtype=np.float32)
-        steps = []
-        for t in range(tokens.shape[1]):
-            h = h * (tokens[:, t] != self.end)[:, None]
-            from_state = h @ p["u"]
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (gates[:, t, :2 * HIDDEN] + from_state[:, :2 * HIDDEN]))
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(gates[:, t, 2 * HIDDEN:] + r * from_state[:, 2 * HIDDEN:])
-            if keep:
-                steps.append((h, z, r, n, from_state[:, 2 * HIDDEN:]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h, steps
+        """Hidden states after each of the tokens (rows: sequences); the state is cleared where a document begins.
+
+        Inside, a sequence is a column, so each gate is one block of memory, and the weights carry the factors that the
+        exponentials need: the gates are 1 / (1 + exp(-x)), the candidate 2 / (1 + exp(-2x)) - 1."""
+        p, n_steps, width = self.p, tokens.shape[1], len(h)
+        factor = np.full(3 * HIDDEN, -1, dtype=p["x"].dtype)
+        factor[2 * HIDDEN:] = -2
+        gates = np.ascontiguousarray((p["x"] * factor)[tokens.T].transpose(0, 2, 1))
+        u = np.ascontiguousarray((p["u"] * factor).T)
+        ended = tokens.T == self.end
+        cleared = ended.any(axis=1).tolist()
+        h = np.ascontiguousarray(h.T, dtype=p["x"].dtype)
+        kept = n_steps if keep else 1  # without gradients each step overwrites the one before
+        before, n = (np.empty((kept, HIDDEN, width), h.dtype) for _ in range(2))
+        zr, sums = np.empty((kept, 2 * HIDDEN, width), h.dtype), np.empty((kept, 3 * HIDDEN, width), h.dtype)
+        out = np.empty((n_steps, HIDDEN, width), h.dtype)
+        with np.errstate(over="ignore"):
+            for t in range(n_steps):
+                k = t if keep else 0
+                old, new, both, s, o = before[k], n[k], zr[k], sums[k], out[t]
+                if cleared[t]:
+                    np.multiply(h, ~ended[t], out=old)
+                elif keep:
+                    old[:] = h
+                else:
+                    old = h
+                np.dot(u, old, out=s)
+                np.add(gates[t, :2 * HIDDEN], s[:2 * HIDDEN], out=both)
+                np.exp(both, out=both)
+                both += 1
+                np.reciprocal(both, out=both)
+                np.multiply(both[HIDDEN:], s[2 * HIDDEN:], out=new)
+                new += gates[t, 2 * HIDDEN:]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                np.subtract(old, new, out=o)
+                o *= both[:HIDDEN]
+                o += new
+                h = o
+        return out.transpose(0, 2, 1), np.ascontiguousarray(h.T), (before, zr, n, sums) if keep else ()
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, gradient: dict | None = None):
         """Natural log probability of each target after its state; with ``gradient``, also adds the loss gradients and
         returns the gradient for the states."""
         p = self.p
-        group, inside = targets // CLASS_SIZE, targets % CLASS_SIZE
-        logs = _log_softmax(h @ p["c"] + p["cb"])
-        out = logs[np.arange(len(h)), group].copy()
-        back = None
-        if gradient is not None:
-            d = np.exp(logs)
-            d[np.arange(len(h)), group] -= 1
-            gradient["c"] += h.T @ d
-            gradient["cb"] += d.sum(axis=0)
-            back = d @ p["c"].T
+        group = (targets // CLASS_SIZE).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[edges[k]:edges[k + 1]]
-            if not len(rows):
-                continue
-            mine = h[rows]
-            logs = _log_softmax(mine @ p["w"][k] + p["wb"][k])
-            out[rows] += logs[np.arange(len(rows)), inside[rows]]
-            if gradient is not None:
-                d = np.exp(logs)
-                d[np.arange(len(rows)), inside[rows]] -= 1
-                gradient["w"][k] += mine.T @ d
-                gradient["wb"][k] += d.sum(axis=0)
-                back[rows] += d @ p["w"][k].T
-        return out, back
+        group, inside = group[order], (targets % CLASS_SIZE)[order]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:len(group)])
+        borders = list(zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(group)]))
+        states = np.ones((len(h), HIDDEN + 1), dtype=h.dtype)  # the last column meets the offsets
+        states[:, :HIDDEN] = h[order]
+        first, classes = _softmax_of(states @ np.concatenate([p["c"], p["cb"][None]]), group)
+        weights = np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+        scores = np.empty((len(h), CLASS_SIZE), dtype=h.dtype)
+        for k, low, high in borders:
+            np.dot(states[low:high], weights[k], out=scores[low:high])
+        second, words = _softmax_of(scores, inside)
+        out = np.empty_like(first)
+        out[order] = first + second
+        if gradient is None:
+            return out, None
+        rows = np.arange(len(h))
+        classes[rows, group] -= 1
+        words[rows, inside] -= 1
+        across = states.T @ classes
+        gradient["c"] += across[:HIDDEN]
+        gradient["cb"] += across[HIDDEN]
+        back, inner, turned = classes @ p["c"].T, np.empty_like(states[:, :HIDDEN]), np.ascontiguousarray(p["w"].transpose(0, 2, 1))
+        for k, low, high in borders:
+            own = np.dot(states[low:high].T, words[low:high])
+            gradient["w"][k] += own[:HIDDEN]
+            gradient["wb"][k] += own[HIDDEN]
+            np.dot(words[low:high], turned[k], out=inner[low:high])
+        back += inner
+        spread = np.empty_like(back)
+        spread[order] = back
+        return out, spread
 
     def train(self, stream: np.ndarray, begun: float = 0.0, part: float = 1.0) -> None:
         """Adam over windows of ``STREAMS`` parallel streams; gradients stop at window borders, states go on. The rate falls to
@@ -182,26 +225,41 @@ class GatedNetwork:
             return
         inputs = stream[:streams * length].reshape(streams, length)
         targets = stream[1:streams * length + 1].reshape(streams, length)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        values, own = self._views(np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)]))
+        changes, gradient = self._views(np.zeros_like(values))
+        self.p = own
+        first, second, step_of = np.zeros_like(values), np.zeros_like(values), np.empty_like(values)
         step, total = 0, EPOCHS * -(-length // WINDOW)
         for _ in range(EPOCHS):
             h = np.zeros((streams, HIDDEN), dtype=np.float32)
             for low in range(0, length, WINDOW):
                 tokens = inputs[:, low:low + WINDOW]
                 out, h, steps = self.states(tokens, h, keep=True)
-                gradient = {k: np.zeros_like(v) for k, v in self.p.items()}
+                changes[:] = 0
                 goal = targets[:, low:low + WINDOW].T.reshape(-1)
                 _, back = self.log_probabilities(out.reshape(-1, HIDDEN), goal, gradient)
                 self._backward(tokens, steps, back.reshape(out.shape), gradient)
                 step += 1
-                scale = 1.0 / len(goal)
                 rate = RATE * (1 - begun - part * step / (total + 1))
-                for k, g in gradient.items():
-                    g = g * scale
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] -= (rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+                changes *= 1.0 / len(goal)
+                first *= 0.9
+                second *= 0.99
+                first += np.multiply(changes, 0.1, out=step_of)
+                changes *= changes
+                second += np.multiply(changes, 0.01, out=step_of)
+                np.sqrt(np.multiply(second, 1 / (1 - 0.99 ** step), out=step_of), out=step_of)
+                step_of += 1e-8
+                np.divide(first, step_of, out=step_of)
+                step_of *= rate / (1 - 0.9 ** step)
+                values -= step_of
+
+    def _views(self, values: np.ndarray) -> tuple[np.ndarray, dict]:
+        """One array of all weights, and its parts under their names."""
+        parts, at = {}, 0
+        for k in sorted(self.p):
+            parts[k] = values[at:at + self.p[k].size].reshape(self.p[k].shape)
+            at += self.p[k].size
+        return values, parts
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)]).astype(np.float64)
@@ -212,47 +270,67 @@ class GatedNetwork:
             self.p[k] = values[at:at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
             at += self.p[k].size
 
-    def _backward(self, tokens: np.ndarray, steps: list, back: np.ndarray, gradient: dict) -> None:
-        later = np.zeros_like(back[0])
-        u = self.p["u"]
-        every = np.empty((len(steps), *later.shape[:1], 3 * HIDDEN), dtype=np.float32)
-        for t in range(len(steps) - 1, -1, -1):
-            h, z, r, n, recurrent = steps[t]
-            d = back[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * recurrent * r * (1 - r)
-            every[t] = np.concatenate([dz, dr, dn], axis=1)
-            from_state = np.concatenate([dz, dr, dn * r], axis=1)
-            gradient["u"] += h.T @ from_state
-            later = (d * z + from_state @ u.T) * (tokens[:, t] != self.end)[:, None]
+    def _backward(self, tokens: np.ndarray, steps: tuple, back: np.ndarray, gradient: dict) -> None:
+        before, zr, n, sums = steps
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        back = np.ascontiguousarray(back.transpose(0, 2, 1))
+        rest = 1 - z
+        to_n, to_z, to_r = rest * (1 - n * n), (before - n) * z * rest, sums[:, 2 * HIDDEN:] * -0.5 * r * (1 - r)
+        ended = tokens.T == self.end
+        cleared = ended.any(axis=1).tolist()
+        every, candidates, later, u = np.empty_like(sums), np.empty_like(n), np.zeros_like(back[0]), self.p["u"]
+        for t in range(len(n) - 1, -1, -1):
+            d, dn, e = back[t], candidates[t], every[t]
+            d += later
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(d, to_z[t], out=e[:HIDDEN])
+            np.multiply(dn, to_r[t], out=e[HIDDEN:2 * HIDDEN])
+            np.multiply(dn, r[t], out=e[2 * HIDDEN:])
+            later = u @ e
+            d *= z[t]
+            later += d
+            if cleared[t]:
+                later *= ~ended[t]
+        gradient["u"] += np.matmul(before, every.transpose(0, 2, 1)).sum(axis=0)
+        every[:, 2 * HIDDEN:] = candidates
         flat = tokens.T.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        gradient["x"][flat[order][starts]] += np.add.reduceat(every.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        gradient["x"][flat[starts]] += np.add.reduceat(every.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each token sequence (its last token is the end), in windows with carried state."""
+        """Natural log probability of each token sequence (its last token is the end), in windows with carried state.
+
+        Documents follow each other in streams of about equal length: the end token of one clears the state for the next."""
+        if not documents:
+            return np.zeros(0)
+        sizes = np.array([len(d) for d in documents])
+        streams: list[list[int]] = [[] for _ in range(min(BATCH, max(1, int(sizes.sum() // sizes.max()))))]
+        filled = [(0, k) for k in range(len(streams))]
+        for k in np.argsort(-sizes, kind="stable").tolist():
+            size, at = filled[0]
+            streams[at].append(k)
+            heapq.heapreplace(filled, (size + int(sizes[k]), at))
+        streams.sort(key=lambda s: -int(sizes[s].sum()))
+        order = [k for s in streams for k in s]
+        flat = np.concatenate([documents[k] for k in order])
+        logs = np.empty(len(flat), dtype=np.float64)
+        stops = np.cumsum([int(sizes[s].sum()) for s in streams])
+        starts = np.append(0, stops[:-1])
+        lengths = stops - starts
+        h = np.zeros((len(streams), HIDDEN), dtype=np.float32)
+        for at in range(0, int(lengths[0]), WINDOW):
+            live = int(np.count_nonzero(lengths > at))  # streams are sorted by falling length
+            place = (starts[:live] + at)[:, None] + np.arange(min(WINDOW, int(lengths[0]) - at))
+            real = place < stops[:live, None]
+            before = np.where(place > starts[:live, None], flat[np.minimum(place, len(flat)) - 1], self.end)
+            states, h, _ = self.states(before, h[:live])
+            real = real.T.reshape(-1)
+            wanted = place.T.reshape(-1)[real]
+            logs[wanted], _ = self.log_probabilities(states.reshape(-1, HIDDEN)[real], flat[wanted])
         out = np.zeros(len(documents))
-        order = sorted(range(len(documents)), key=lambda k: -len(documents[k]))
-        for low in range(0, len(order), BATCH):
-            rows = order[low:low + BATCH]
-            h = np.zeros((len(rows), HIDDEN), dtype=np.float32)
-            last = np.full(len(rows), self.end, dtype=np.int32)
-            for at in range(0, len(documents[rows[0]]), WINDOW):
-                live = sum(1 for k in rows if len(documents[k]) > at)  # rows are sorted by falling length
-                goal = np.full((live, WINDOW), -1, dtype=np.int32)
-                for i, k in enumerate(rows[:live]):
-                    part = documents[k][at:at + WINDOW]
-                    goal[i, :len(part)] = part
-                inputs = np.concatenate([last[:live, None], goal[:, :-1]], axis=1)
-                states, h, _ = self.states(np.maximum(inputs, 0), h[:live])
-                last = goal[:, -1]
-                real = goal.T.reshape(-1) >= 0
-                found, _ = self.log_probabilities(states.reshape(-1, HIDDEN)[real], goal.T.reshape(-1)[real])
-                spread = np.zeros(goal.size)
-                spread[real] = found
-                out[rows[:live]] += spread.reshape(WINDOW, live).sum(axis=0)
+        out[order] = np.add.reduceat(logs, np.append(0, np.cumsum(sizes[order])[:-1]))
         return out
 
 
@@ -273,7 +351,9 @@ def train_network(training: DataFrame, vocabulary: Vocabulary) -> GatedNetwork:
 
     dealt = training.select(F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(tidy(run), "place long, tokens binary")
     turn, trainer = F.pmod("place", F.lit(ROUNDS)), F.pmod(F.floor(F.col("place") / ROUNDS), F.lit(trainers))
-    learning = cut(dealt.select("place", "tokens", turn.cast("int").alias("turn"), trainer.cast("long").alias("trainer")))
+    learning = cut(dealt.select("place", "tokens", turn.cast("int").alias("turn"), trainer.cast("long").alias("trainer"))
+                   .withColumn("task", F.col("trainer") % min(trainers, MOST_TASKS)).join(F.broadcast(_seats(training.sparkSession, trainers)), "task", "left")
+                   .withColumn("seat", F.coalesce("seat", "task")))
     network = GatedNetwork(vocabulary.shares, vocabulary.end)
     if vocabulary.tokens:
         for number in range(ROUNDS):
@@ -282,6 +362,13 @@ def train_network(training: DataFrame, vocabulary: Vocabulary) -> GatedNetwork:
     return network
 
 
+def _seats(spark: SparkSession, trainers: int) -> DataFrame:
+    """``task``, ``seat``: for each task of a round a number that is shuffled to a partition of its own. The tasks' own numbers would
+    meet in some partitions and leave others empty, and the round would last as long as the fullest."""
+    tasks = min(trainers, MOST_TASKS)
+    return spark.range(64 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).cast("long").alias("task")).agg(F.min("id").alias("seat"))
+
+
 def _next_weights(learning: DataFrame, network: GatedNetwork, number: int, trainers: int) -> np.ndarray:
     """The mean of the weights at which the trainers of a round arrive, each weighted by its tokens."""
     model = learning.sparkSession.sparkContext.broadcast(network)
@@ -321,7 +408,7 @@ def _next_weights(learning: DataFrame, network: GatedNetwork, number: int, train
         value = total / sum(table.column("seen").to_pylist())
         return pa.table({"slice": table.column("slice").slice(0, 1), "value": pa.array([value.tobytes()], pa.binary())})
 
-    ordered = learning.repartition(min(trainers, MOST_TASKS), "trainer").sortWithinPartitions("trainer", "place", "tokens")
+    ordered = learning.repartition(min(trainers, MOST_TASKS), "seat").sortWithinPartitions("trainer", "place", "tokens")
     found = ordered.mapInArrow(tidy(run), "slice int, seen long, total binary").groupBy("slice").applyInArrow(mean, "slice int, value binary")
     rows = {r["slice"]: r["value"] for r in found.collect()}  # the weights of one network
     return np.concatenate([np.frombuffer(rows[k]) for k in sorted(rows)]) if rows else network.weights()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from geoledger.llm import gru_lm, quality_gam, quality_rules, toxicity
 from geoledger.llm.labelled import fit_logistic, remainder
@@ -201,3 +202,30 @@ def test_every_training_document_reaches_the_network(spark, monkeypatch):
     network = gru_lm.train_network(docs, vocabulary)
     assert len(seen) == gru_lm.ROUNDS and sum(seen) == 300
     assert np.isfinite(network.weights()).all() and np.abs(network.weights() - before).max() > 1e-4
+
+
+def test_every_trainer_of_a_round_has_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARE", 64)
+    docs = spark.createDataFrame([(k, f"one two three {k % 3} four") for k in range(600)], "doc_id long, text string")
+    vocabulary = gru_lm.read_vocabulary(gru_lm.count_words(docs))
+    tasks = []
+
+    def watched(learning, network, number, trainers):
+        frame = type(learning)
+        shuffled = frame.repartition
+
+        def counted(self, n, *keys):
+            out = shuffled(self, n, *keys)
+            tasks.append((trainers, out.select(spark_partition_id().alias("p"), "trainer").distinct().groupBy("p").count().collect()))
+            return out
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(frame, "repartition", counted)
+            return real_next(learning, network, number, trainers)
+
+    real_next = gru_lm._next_weights
+    monkeypatch.setattr(gru_lm, "_next_weights", watched)
+    gru_lm.train_network(docs, vocabulary)
+    assert len(tasks) == gru_lm.ROUNDS
+    for trainers, rows in tasks:
+        assert trainers > 8 and len(rows) == trainers and all(r["count"] == 1 for r in rows)
