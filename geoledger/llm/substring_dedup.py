@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.memory import tidy
+from geoledger.llm.memory import small_batches, tidy
 from geoledger.llm.wordarrays import Words, by_text, mix, row_chunks, text_column
 from geoledger.session import cut
 
@@ -86,7 +86,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                                                  names=["chunk", "n_words", "blob"])
                 number += 1
 
-    return cut(docs.mapInArrow(tidy(run), "chunk long, n_words long, blob binary"))
+    return cut(small_batches(docs).mapInArrow(tidy(run), "chunk long, n_words long, blob binary"))
 
 
 def _opened(blob: bytes) -> tuple[pa.RecordBatch, Words, np.ndarray]:

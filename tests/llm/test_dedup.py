@@ -73,6 +73,18 @@ def test_repeats_are_cut_out_and_everything_else_stays(spark, documents, passage
     assert substring_dedup.removal_digests(df.limit(0)).count() == 0
 
 
+def test_chunks_are_made_of_small_batches(spark, documents, monkeypatch):
+    """A worker is sent some thousand texts at a time, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    try:
+        df = documents([(k, f"text {k}") for k in range(9000)]).coalesce(1)
+        assert substring_dedup.chunk_table(df).count() >= 5  # a chunk never joins two batches
+    finally:
+        spark.conf.set(name, before)
+
+
 def _edited(words, every, mark):
     return [f"{mark}{k}" if k % every == every // 2 else w for k, w in enumerate(words)]
 
