@@ -15,8 +15,8 @@ about n / 256 units.
 The units of a bucket are dealt over blocks and every two blocks form a group, so no task holds more than two blocks. Two texts
 outside cliques are tested only in the first bucket they share, which their keys tell without a shuffle; a batch of groups returns how
 many links each has there and a spanning forest of them. For a clique the distance of the leaders and the radii tell whether all
-its members are linked to those of the other unit, or none; only the pairs left over are tested member by member. Lengths, word histograms
-and position-wise differences settle most tests, the others are aligned. Classes are the connected components, found by jobs over tables.
+its members are linked to those of the other unit, or none; only the pairs left over are tested member by member. Lengths and word
+histograms settle many tests, the others are aligned by bit vectors, thousands at a time. Classes are the connected components, found by jobs over tables.
 
 Links are the similar pairs that share a key, belong to one clique, or belong to cliques that share a key.
 
@@ -27,7 +27,6 @@ none), so classes that share such an id share the name; other columns are not re
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,34 +227,47 @@ def _histograms(words: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bincount(w % np.uint32(BINS), minlength=BINS) for w in words]).astype(np.int32)
 
 
-def _settled(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair a bound of its distance that is within the limit (``FAR`` if none was found yet), and whether it may be within."""
-    sizes = np.array([len(w) for w in words])
-    found, possible = np.full(len(i), FAR, dtype=np.int64), np.zeros(len(i), dtype=bool)
+def _possible(sizes: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the words that the pairs have in common allow distances within the limit."""
+    possible = np.zeros(len(i), dtype=bool)
     for low in range(0, len(i), PAIRS):
         a, b = i[low:low + PAIRS], j[low:low + PAIRS]
         common = np.minimum(bins[a], bins[b]).sum(axis=1)  # no pair has more words in common
         possible[low:low + PAIRS] = np.maximum(sizes[a], sizes[b]) - common <= limit[low:low + PAIRS]
-    for at in np.flatnonzero(possible).tolist():
-        a, b = words[i[at]], words[j[at]]
-        n = min(len(a), len(b))
-        apart = abs(len(a) - len(b))
-        distance = np.count_nonzero(a[:n] != b[:n]) + apart
-        if apart and distance > limit[at]:
-            distance = np.count_nonzero(a[len(a) - n:] != b[len(b) - n:]) + apart
-        if distance <= limit[at]:
-            found[at] = distance
-    return found, possible
+    return possible
 
 
 def _measured(words: list[np.ndarray], bins: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Bounds of the distances of pairs, ``FAR`` beyond the limit."""
-    found, possible = _settled(words, bins, i, j, limit)
-    rest = np.flatnonzero(possible & (found == FAR))
+    found = np.full(len(i), FAR, dtype=np.int64)
+    rest = np.flatnonzero(_possible(np.array([len(w) for w in words]), bins, i, j, limit))
     found[rest] = bounds([(words[a], words[b]) for a, b in zip(i[rest].tolist(), j[rest].tolist())], limit[rest].tolist())
     return found
 
 
+class _Waiting:
+    """Pairs of rows of one batch, tested many at a time."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.texts, self.parts, self.n = texts, [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> bool:
+        """Whether it is time to test."""
+        self.parts.append((i, j, limit))
+        self.n += len(i)
+        return self.n >= 16 * PAIRS
+
+    def linked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The waiting pairs within their limits, with their distances; none waits afterwards."""
+        if not self.n:
+            self.parts = []
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+        i, j, limit = (np.concatenate(c) for c in zip(*self.parts))
+        distances = bounds([(self.texts[x], self.texts[y]) for x, y in zip(i.tolist(), j.tolist())], limit.tolist())
+        near, self.parts, self.n = distances < FAR, [], 0
+        return i[near], j[near], distances[near]
+
+
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs that connect what all ``pairs`` connect, without a circle."""
     above: dict[int, int] = {}
@@ -356,32 +368,23 @@ def _linked_groups(groups: DataFrame, words: DataFrame, share: float) -> DataFra
         for batch, starts in _whole_groups(batches):
             units, ids = _Units(batch, share), batch.column("rep")
             texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
-            names = ids.to_pylist()
+            names, sizes = ids.to_pylist(), np.array([len(t) for t in texts])
             first: dict = {}
-            row = [first.setdefault(name, x) for x, name in enumerate(names)]  # one row stands for a unit, in whatever groups it is
-            linked: list[tuple[int, int]] = []
+            row = np.array([first.setdefault(name, x) for x, name in enumerate(names)])  # one row stands for a unit, in whatever groups it is
             forests: list[tuple[int, int]] = []
-            waiting: list[tuple[int, int, int]] = []
+            waiting = _Waiting(texts)
             met: dict[tuple[int, int], int] = {}
-            degree: Counter = Counter()
-
-            def found(x: int, y: int, distance: int) -> None:
-                if units.members[x] == units.members[y] == 1:
-                    linked.append((x, y))
-                else:
-                    pair = (row[x], row[y]) if names[x] < names[y] else (row[y], row[x])
-                    met[pair] = min(met.get(pair, _SOME), _ALL if units.all_linked(x, y, distance) else _SOME)
+            counts = np.zeros(len(names), dtype=np.int64)
 
             def settle() -> None:  # links so far are counted and reduced to a forest
-                for at in range(0, len(waiting), PAIRS):
-                    part = waiting[at:at + PAIRS]
-                    for (x, y, _), distance in zip(part, bounds([(texts[x], texts[y]) for x, y, _ in part], [w[2] for w in part]).tolist()):
-                        if distance < FAR:
-                            found(x, y, distance)
-                waiting.clear()
-                degree.update(row[x] for pair in linked for x in pair)
-                forests[:] = _forest(forests + [(row[a], row[b]) for a, b in linked])
-                linked.clear()
+                i, j, distances = waiting.linked()
+                alone = units.single(i, j)
+                x, y = row[i[alone]], row[j[alone]]
+                np.add.at(counts, np.concatenate([x, y]), 1)
+                forests[:] = _forest(forests + list(zip(x.tolist(), y.tolist())))
+                for x, y, distance in zip(*(c[~alone].tolist() for c in (i, j, distances))):
+                    pair = (int(row[x]), int(row[y])) if names[x] < names[y] else (int(row[y]), int(row[x]))
+                    met[pair] = min(met.get(pair, _SOME), _ALL if units.all_linked(x, y, distance) else _SOME)
 
             for low, high in _borders(starts, batch.num_rows):
                 if high - low < 2:
@@ -389,15 +392,11 @@ def _linked_groups(groups: DataFrame, words: DataFrame, share: float) -> DataFra
                 bins = _histograms(texts[low:high])
                 for i, j in _untested(batch.slice(low, high - low), units, low):
                     limit = units.limit(i, j)
-                    distances, possible = _settled(texts[low:high], bins, i - low, j - low, limit)
-                    for x, y, most, distance in zip(*(c[possible].tolist() for c in (i, j, limit, distances))):
-                        if distance < FAR:
-                            found(x, y, distance)
-                        else:
-                            waiting.append((x, y, most))
-                    if len(waiting) + len(linked) >= 16 * PAIRS:
+                    possible = _possible(sizes[low:high], bins, i - low, j - low, limit)
+                    if waiting.add(i[possible], j[possible], limit[possible]):
                         settle()
             settle()
+            degree = {x: int(counts[x]) for x in np.flatnonzero(counts).tolist()}
             out = ([(a, b, _FOREST, None) for a, b in forests] + [(a, None, _DEGREE, n) for a, n in degree.items()]
                    + [(a, b, kind, None) for (a, b), kind in met.items()])
             if out:
@@ -410,42 +409,56 @@ def _linked_groups(groups: DataFrame, words: DataFrame, share: float) -> DataFra
 
 
 def _linked_members(pairs: DataFrame, cliques: DataFrame, units: DataFrame, words: DataFrame, share: float) -> DataFrame:
-    """For pairs ``a``, ``b`` of units: the pairs with a link (``rep`` null), and for each ``rep`` its number ``n`` of links there; written."""
+    """For pairs ``a``, ``b`` of units: the pairs with a link (``rep`` null), and for each ``rep`` its number ``n`` of links there; written.
+
+    The larger unit of a pair is at home; its guests are dealt over groups of about ``BLOCK`` texts, so the members of a unit travel
+    once a group and not once a pair."""
     alone = units.where("members = 1").select(F.col("rep").alias("unit"), "rep")
     texts = cliques.select("unit", "rep").unionByName(alone).join(words, "rep")
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("unit")),
-                                                     F.struct(F.lit(1).alias("side"), F.col("b").alias("unit")))).alias("s"))
+    size = units.select(F.struct("members", F.col("rep").alias("unit"), "longest").alias("s"), "rep")
+    sized = (pairs.join(size.select(F.col("rep").alias("a"), F.col("s").alias("one")), "a")
+             .join(size.select(F.col("rep").alias("b"), F.col("s").alias("two")), "b")
+             .select(F.greatest("one", "two").alias("h"), F.least("one", "two").alias("v")))
+    visits = cut(sized.selectExpr("h.unit AS home", "v.unit AS guest", "v.members AS texts", "v.members * v.longest AS words"))
+    room = (visits.groupBy("home").agg(F.sum("texts").alias("n"), F.sum("words").alias("total")).select("home", _blocks().alias("g")))
+    dealt = cut(visits.join(room, "home").select("home", "guest", F.pmod(F.xxhash64("guest"), "g").cast("int").alias("part")))
+    sides = (dealt.select("home", "part", F.lit(1).alias("side"), F.col("guest").alias("unit"))
+             .unionByName(dealt.select("home", "part", F.lit(0).alias("side"), F.col("home").alias("unit")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in _whole_groups(batches, ("a", "b")):
-            side, names = batch.column("side").to_numpy(), batch.column("rep").to_pylist()
+        for batch, starts in _whole_groups(batches, ("home", "part")):
+            side, unit = batch.column("side").to_numpy(), batch.column("unit").to_numpy(zero_copy_only=False)
             texts = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
-            sizes = np.array([len(t) for t in texts])
-            degree: Counter = Counter()
-            linked = []
+            sizes, waiting = np.array([len(t) for t in texts]), _Waiting(texts)
+            counts, linked = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+
+            def settle() -> None:
+                i, j, _ = waiting.linked()
+                np.add.at(counts, np.concatenate([i, j]), 1)
+                linked[j] = True
+
             for low, high in _borders(starts, batch.num_rows):
-                bins, split = _histograms(texts[low:high]), int(np.searchsorted(side[low:high], 1))
-                some = False
-                for x in range(split):
-                    j = np.arange(split, high - low)
-                    limit = (share * np.maximum(sizes[low + x], sizes[low + j]) + 1e-9).astype(np.int64)
-                    j, limit = (c[np.abs(sizes[low + j] - sizes[low + x]) <= limit] for c in (j, limit))
-                    close = j[_measured(texts[low:high], bins, np.full(len(j), x), j, limit) < FAR]
-                    degree.update({names[low + x]: len(close)})
-                    degree.update(names[low + y] for y in close.tolist())
-                    some |= len(close) > 0
-                if some:
-                    linked.append(low)
-            counted = [(name, n) for name, n in degree.items() if n]
-            empty = [None] * len(counted)
+                bins, split = _histograms(texts[low:high]), low + int(np.searchsorted(side[low:high], 1))
+                for at in range(low, split, 64):
+                    mine, others = np.arange(at, min(at + 64, split))[:, None], np.arange(split, high)
+                    limit = (share * np.maximum(sizes[mine], sizes[others]) + 1e-9).astype(np.int64)
+                    x, y = np.nonzero(np.abs(sizes[mine] - sizes[others]) <= limit)
+                    i, j, limit = at + x, others[y], limit[x, y]
+                    possible = _possible(sizes[low:high], bins, i - low, j - low, limit)
+                    if waiting.add(i[possible], j[possible], limit[possible]):
+                        settle()
+            settle()
+            near, counted = np.flatnonzero(linked), np.flatnonzero(counts)
+            met = {(h, u) for h, u in zip(batch.column("home").take(pa.array(near)).to_pylist(), unit[near].tolist())}
+            blank = [None] * len(counted)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column(c).take(pa.array(linked, pa.int64())).to_pylist() + empty, pa.binary()) for c in ("a", "b")]
-                + [pa.array([None] * len(linked) + [name for name, _ in counted], pa.binary()),
-                   pa.array([None] * len(linked) + [n for _, n in counted], pa.int64())], names=["a", "b", "rep", "n"])
+                [pa.array([pair[k] for pair in met] + blank, pa.binary()) for k in (0, 1)]
+                + [pa.array([None] * len(met) + batch.column("rep").take(pa.array(counted)).to_pylist(), pa.binary()),
+                   pa.array([None] * len(met) + counts[counted].tolist(), pa.int64())], names=["a", "b", "rep", "n"])
 
-    met = sides.select("a", "b", "s.side", "s.unit").join(texts, "unit").select("a", "b", "side", "rep", "words")
-    dealt = met.repartition("a", "b").sortWithinPartitions("a", "b", "side")
-    return cut(dealt.mapInArrow(tidy(run), "a binary, b binary, rep binary, n long"))
+    met = sides.join(texts, "unit").select("home", "part", "side", "unit", "rep", "words")
+    return cut(met.repartition("home", "part").sortWithinPartitions("home", "part", "side", "unit")
+               .mapInArrow(tidy(run), "a binary, b binary, rep binary, n long"))
 
 
 def find_links(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

@@ -82,3 +82,33 @@ def test_packing_workers_load_no_pandas():
     import sys
     code = "import sys, geoledger.llm.packing; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
+def test_many_alignments_agree_with_plain_edit_distance():
+    from geoledger.llm.alignment import FAR, _bits, bounds
+
+    random = np.random.default_rng(5)
+    pairs = []
+    for vocabulary in (3, 100, 10 ** 6):
+        for _ in range(60):
+            a = random.integers(0, vocabulary, random.integers(1, 150)).tolist()
+            b = list(a)
+            for _ in range(int(random.integers(0, 1 + len(a) // 3))):
+                at = int(random.integers(0, len(b) + 1))
+                b[at:at + int(random.integers(0, 2))] = random.integers(0, vocabulary, random.integers(0, 2)).tolist()
+            pairs.append((np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)))
+
+    def plain(a, b):
+        now = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            before, now = now, [i + 1]
+            for j, y in enumerate(b):
+                now.append(min(before[j] + (x != y), before[j + 1] + 1, now[j] + 1))
+        return now[-1]
+
+    want = [plain(a.tolist(), b.tolist()) for a, b in pairs]
+    limits = [max(len(a), len(b)) // 5 for a, b in pairs]
+    assert [d < FAR for d in bounds(pairs, limits)] == [w <= most for w, most in zip(want, limits)]
+    worded = [k for k, (_, b) in enumerate(pairs) if len(b)]
+    for width in (63, 64, 150):
+        assert [w for k, w in zip(worded, _bits([pairs[k] for k in worded], width).tolist()) if want[k] <= width] == [want[k] for k in worded if want[k] <= width]
